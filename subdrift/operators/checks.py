@@ -2,13 +2,12 @@
 
 Each takes a normalised ``Snapshot`` and returns findings. Existence tests are
 semi and anti joins on server-prefixed keys; message texts are built after the
-joins, so only findings pay for them.
+joins, so only findings pay for them. ``table_drift`` and ``column_drift`` answer
+two checks in one pass over the inputs, for runs that want all of them.
 
-Skew: ``Subscriptions`` salts subscriptions of hot source tables and hot queues
-explicitly, because those joins have an aggregate below one side, where adaptive
-execution cannot split. The joins on wide tables and long subscriptions
-(``columns`` with ``subs``, ``src_cols`` with ``subs``) have plain shuffles on
-both sides and are left to the adaptive skew join, which splits either side.
+Skew: subscriptions of hot source tables and hot queues are salted. Tables with
+very many columns and subscriptions with very many columns meet in joins with a
+plain shuffle on both sides, which the adaptive skew join splits on either side.
 """
 
 from __future__ import annotations
@@ -31,6 +30,7 @@ DEBUG_WIDTH = 18
 _SUBSCRIPTION = [SERVER, CAPTURE_SCHEMA, "subname"]
 _TABLE = [SERVER, "source_owner", "source_name"]
 _QUEUE = [SERVER, CAPTURE_SCHEMA, "sendq"]
+_TARGET = ["target_owner", "target_name"]
 _QUEUE_SALT = "_queue_salt"
 
 
@@ -50,9 +50,13 @@ class Options:
             raise ValueError(f"lang must be one of {texts.LANGUAGES}, got {self.lang!r}")
         if self.mode not in ("plain", "generator"):
             raise ValueError(f"mode must be 'plain' or 'generator', got {self.mode!r}")
-        if self.flag_prefix and self.mode != "generator":
+        if self.flag_prefix and not self.generator:
             raise ValueError("flag_prefix shows generator flags and needs mode='generator'")
 
+    @property
+    def generator(self) -> bool:
+        return self.mode == "generator"
+
 
 class Subscriptions:
     """Subscriptions salted by source table, with the partner side to match."""
@@ -64,9 +68,9 @@ class Subscriptions:
     def partners(self, df: DataFrame) -> DataFrame:
         return copy_per_salt(df, self._hot)
 
-    def keys_of(self, df: DataFrame, *more: str) -> DataFrame:
-        """Distinct partner keys: copies are combined before the shuffle of the join."""
-        return self.partners(df.select(*_TABLE, *more)).distinct()
+    def tables(self, tables: DataFrame) -> DataFrame:
+        """Distinct keys of ``tables``: copies are combined before the shuffle of the join."""
+        return self.partners(tables.select(_TABLE)).distinct()
 
 
 def source_table_not_found(snapshot: Snapshot, options: Options = Options()) -> DataFrame:
@@ -75,33 +79,56 @@ def source_table_not_found(snapshot: Snapshot, options: Options = Options()) ->
     Subscriptions without a matching send queue are not reported.
     """
     subs = Subscriptions(snapshot, options)
-    orphans = subs.rows.join(subs.keys_of(snapshot.tables), [*_TABLE, SALT], "left_anti").drop(SALT)
+    orphans = subs.rows.join(subs.tables(snapshot.tables), [*_TABLE, SALT], "left_anti")
+    return _findings(_with_queue(orphans, snapshot, options, "inner"), [_table_gone()], options)
+
 
-    hot_queues = hot_keys(snapshot.subs, _QUEUE, options.rows_per_salt)
-    queued = add_salt(orphans, hot_queues, _QUEUE_SALT).join(
-        copy_per_salt(snapshot.sendqueues, hot_queues, _QUEUE_SALT), [*_QUEUE, _QUEUE_SALT], "inner"
+def data_capture_missing(snapshot: Snapshot, options: Options = Options()) -> DataFrame:
+    """C-DCC: subscribed tables whose capture flag is set to something other than 'Y'.
+
+    A NULL flag is not reported.
+    """
+    subs = Subscriptions(snapshot, options)
+    unflagged = subs.tables(snapshot.tables.where(F.col("data_capture") != "Y"))
+    return _findings(
+        subs.rows.join(unflagged, [*_TABLE, SALT], "left_semi"), [_capture_off()], options
+    )
+
+
+def table_drift(snapshot: Snapshot, options: Options = Options()) -> DataFrame:
+    """C-TNF and C-DCC from one join of subscriptions and tables."""
+    subs = Subscriptions(snapshot, options)
+    status = (
+        subs.partners(snapshot.tables)
+        .groupBy(*_TABLE, SALT)
+        .agg(F.bool_or(F.col("data_capture") != "Y").alias("_off"))
+        .withColumn("_known", F.lit(True))
     )
-    severity = F.when(F.col("state") == "A", "ERROR").otherwise("WARNING")
-    return _findings(queued, "C-TNF", options, sev=severity, table_known=False)
+    gone = F.col("_known").isNull()
+    drifted = subs.rows.join(status, [*_TABLE, SALT], "left").where(gone | F.col("_off"))
+    # Only subscriptions of vanished tables look for their queue.
+    drifted = drifted.withColumn("sendq", F.when(gone, F.col("sendq")))
+    queued = _with_queue(drifted, snapshot, options, "left").where(~gone | F.col("_queued"))
+    return _findings(queued, [_table_gone(when=gone), _capture_off()], options)
 
 
 def subscribed_column_missing(snapshot: Snapshot, options: Options = Options()) -> DataFrame:
     """C-CNF: subscribed columns that are not in the catalogue although their table is."""
     subs = Subscriptions(snapshot, options)
-    with_table = subs.rows.join(subs.keys_of(snapshot.tables), [*_TABLE, SALT], "left_semi")
+    with_table = subs.rows.join(subs.tables(snapshot.tables), [*_TABLE, SALT], "left_semi")
     listed = snapshot.src_cols.join(with_table, _SUBSCRIPTION, "inner")
     missing = listed.join(
         subs.partners(snapshot.columns), [*_TABLE, "column_name", SALT], "left_anti"
     )
-    return _findings(missing, "C-CNF", options, table_known=False, has_column=True)
+    return _findings(missing, [_column_gone()], options)
 
 
 def column_not_subscribed(snapshot: Snapshot, options: Options = Options()) -> DataFrame:
     """C-CNS: catalogue columns of subscribed tables that the subscription does not list.
 
     Every pair of a subscription and a column of its table is either a row of
-    ``src_cols`` or unlisted, so in plain mode the join below makes no more rows than
-    there are listed columns and findings together.
+    ``src_cols`` or unlisted, so in plain mode the join makes no more rows than there
+    are listed columns and findings together.
 
     In generator mode an unlisted column counts if the clause is silent, includes it,
     or does not exclude it. The clauses are joined last, to unlisted columns only.
@@ -109,82 +136,149 @@ def column_not_subscribed(snapshot: Snapshot, options: Options = Options()) -> D
     subs = Subscriptions(snapshot, options)
     owned = subs.partners(snapshot.columns).join(subs.rows, [*_TABLE, SALT], "inner")
     unlisted = owned.join(snapshot.src_cols, [*_SUBSCRIPTION, "column_name"], "left_anti")
-    if options.mode == "plain":
-        return _findings(unlisted, "C-CNS", options, has_column=True)
+    if options.generator:
+        unlisted = _with_clause(unlisted, subs, snapshot).where(_clause_reports())
+    return _findings(unlisted, [_column_unlisted(options)], options)
 
+
+def column_drift(snapshot: Snapshot, options: Options = Options()) -> DataFrame:
+    """C-CNF and C-CNS from one comparison of catalogue and configuration.
+
+    The columns each subscription should know (from the catalogue) and those it lists
+    are put under each other and grouped per subscription and column; a group seen on
+    one side only is drift. The grouping combines before it shuffles and keeps two
+    flags per group, so neither copies nor hot tables burden it.
+    """
+    subs = Subscriptions(snapshot, options)
+    kept = [*_SUBSCRIPTION, *_TABLE[1:], "state", "target_server", SALT]
+    if options.generator:
+        kept += _TARGET
+    rows = subs.rows.select(kept)
+
+    in_catalogue = subs.partners(snapshot.columns).join(rows, [*_TABLE, SALT], "inner")
+    listed = snapshot.src_cols.join(rows, _SUBSCRIPTION, "inner")
+    # A column without a name equals no other, so those of the two sides must not meet.
+    nameless = F.col("column_name").isNull()
+    sides = in_catalogue.select(
+        *kept, "column_name", nameless.alias("_side"), F.lit(1).alias("_c"), F.lit(0).alias("_l")
+    ).unionByName(
+        listed.select(
+            *kept, "column_name", F.lit(False).alias("_side"), F.lit(0).alias("_c"), F.lit(1).alias("_l")
+        )
+    )
+    drift = (
+        sides.groupBy(*kept, "column_name", "_side")
+        .agg(F.max("_c").alias("_c"), F.max("_l").alias("_l"))
+        .where(F.col("_c") != F.col("_l"))
+    )
+
+    # Columns of a vanished table belong to C-TNF.
+    unlisted = F.col("_c") == 1
+    known = subs.tables(snapshot.tables).withColumn("_known", F.lit(True))
+    drift = drift.join(known, [*_TABLE, SALT], "left").where(unlisted | F.col("_known"))
+    if options.generator:
+        drift = _with_clause(drift, subs, snapshot).where(~unlisted | _clause_reports())
+    return _findings(drift, [_column_unlisted(options, when=unlisted), _column_gone()], options)
+
+
+def _with_queue(subs: DataFrame, snapshot: Snapshot, options: Options, how: str) -> DataFrame:
+    """Subscriptions with the map name of their send queue; many share one queue."""
+    hot = hot_keys(snapshot.subs, _QUEUE, options.rows_per_salt)
+    queues = copy_per_salt(snapshot.sendqueues, hot, _QUEUE_SALT)
+    return add_salt(subs, hot, _QUEUE_SALT).join(
+        queues.withColumn("_queued", F.lit(True)), [*_QUEUE, _QUEUE_SALT], how
+    )
+
+
+def _with_clause(unlisted: DataFrame, subs: Subscriptions, snapshot: Snapshot) -> DataFrame:
+    """Adds the clause keyword and whether the clause includes or excludes the column."""
     if snapshot.q_base is None:
         raise ValueError("generator mode needs the q_base table")
-    intent = [SERVER, CAPTURE_SCHEMA, "source_owner", "source_name", "target_owner", "target_name"]
-    clause_texts = (
-        snapshot.q_base.withColumn("_clause", clauses.compact(F.col("targetcolclause")))
-        .withColumn("_keyword", clauses.keyword(F.col("_clause")))
-        .select(*intent, "_clause", "_keyword")
-    )
-    clause, column, word = F.col("_clause"), F.col("column_name"), F.col("_keyword")
-    judged = unlisted.join(subs.partners(clause_texts), [*intent, SALT], "left").select(
-        "*",
-        clauses.mention_flag(clauses.INCLUDE_MARK, clause, column).alias("_included"),
-        clauses.mention_flag(clauses.EXCLUDE_MARK, clause, column).alias("_excluded"),
+    intent = [*_TABLE, CAPTURE_SCHEMA, *_TARGET]
+    compacted = snapshot.q_base.select(
+        *intent, clauses.compact(F.col("targetcolclause")).alias("_clause")
+    ).withColumn("_keyword", clauses.keyword(F.col("_clause")))
+    clause, column = F.col("_clause"), F.col("column_name")
+    return unlisted.join(subs.partners(compacted), [*intent, SALT], "left").withColumns(
+        {
+            "_included": clauses.mention_flag(clauses.INCLUDE_MARK, clause, column),
+            "_excluded": clauses.mention_flag(clauses.EXCLUDE_MARK, clause, column),
+        }
     )
-    reported = judged.where(
+
+
+def _clause_reports() -> Column:
+    word = F.col("_keyword")
+    return (
         word.isNull()
         | ((word == "INCLUDE") & (F.col("_included") == "Y"))
         | ((word == "EXCLUDE") & (F.col("_excluded") == "N"))
     )
+
+
+@dataclass(frozen=True)
+class _Kind:
+    """How rows become findings of one check. ``catalogued`` tells whether the
+    catalogue has the table or column; only then are its catalogue names shown."""
+
+    check: str
+    catalogued: bool
+    has_column: bool
+    sev: Column | None = None
+    clause: Column | None = None
+    prefix: Column | None = None
+    when: Column | None = None
+
+
+def _table_gone(when=None) -> _Kind:
+    sev = F.when(F.col("state") == "A", "ERROR").otherwise("WARNING")
+    return _Kind("C-TNF", catalogued=False, has_column=False, sev=sev, when=when)
+
+
+def _column_gone() -> _Kind:
+    return _Kind("C-CNF", catalogued=False, has_column=True)
+
+
+def _column_unlisted(options: Options, when=None) -> _Kind:
+    clause = texts.clause_note(F.col("_keyword"), options.lang) if options.generator else None
     prefix = None
     if options.flag_prefix:
         prefix = F.concat(*[F.coalesce(c, F.lit("")) for c in ("_keyword", "_included", "_excluded")])
-    return _findings(
-        reported,
-        "C-CNS",
-        options,
-        has_column=True,
-        clause=texts.clause_note(word, options.lang),
-        prefix=prefix,
-    )
-
+    return _Kind("C-CNS", catalogued=True, has_column=True, clause=clause, prefix=prefix, when=when)
 
-def data_capture_missing(snapshot: Snapshot, options: Options = Options()) -> DataFrame:
-    """C-DCC: subscribed tables whose capture flag is set to something other than 'Y'.
 
-    A NULL flag is not reported.
-    """
-    subs = Subscriptions(snapshot, options)
-    unflagged = subs.keys_of(snapshot.tables.where(F.col("data_capture") != "Y"))
-    return _findings(
-        subs.rows.join(unflagged, [*_TABLE, SALT], "left_semi"), "C-DCC", options
-    )
+def _capture_off() -> _Kind:
+    return _Kind("C-DCC", catalogued=True, has_column=False)
 
 
-def _findings(
-    df: DataFrame,
-    check: str,
-    options: Options,
-    sev: Column | str = "ERROR",
-    table_known: bool = True,
-    has_column: bool = False,
-    clause: Column | None = None,
-    prefix: Column | None = None,
-) -> DataFrame:
-    """The fifteen finding columns. ``table_known`` tells whether the check found the
-    table (or column) in the catalogue; only then are its catalogue names shown."""
-    nothing = F.lit(None).cast(T.StringType())
-    text = texts.message(check, options.lang, clause)
-    values = {
-        "ordercol": F.lit(ORDER[check]),
+def _findings(df: DataFrame, kinds: list[_Kind], options: Options) -> DataFrame:
+    """The fifteen finding columns; a row is of the first kind whose ``when`` holds."""
+    shared = {
         "program": texts.program_name(F.col(CAPTURE_SCHEMA)),
         "current_server": F.col(SERVER),
-        "mtyp": F.lit(check),
-        "subname": F.col("subname"),
-        "sev": sev if isinstance(sev, Column) else F.lit(sev),
-        "mtxt": text if prefix is None else F.concat(prefix, text),
-        "fixit": texts.repair(check, options.addcol_delimiter),
-        "target_server": F.col("target_server"),
-        "state": F.col("state"),
-        "source_owner": F.col("source_owner"),
-        "source_name": F.col("source_name"),
-        "tbcreator": F.substring("source_owner", 1, DEBUG_WIDTH) if table_known else nothing,
-        "tbname": F.substring("source_name", 1, DEBUG_WIDTH) if table_known else nothing,
-        "colname": F.substring("column_name", 1, DEBUG_WIDTH) if has_column else nothing,
+        **{c: F.col(c) for c in ("subname", "target_server", "state", "source_owner", "source_name")},
+    }
+    *first, last = [(kind.when, _own_columns(kind, options)) for kind in kinds]
+    columns = []
+    for f in FINDINGS:
+        value = shared[f.name] if f.name in shared else last[1][f.name]
+        if f.name not in shared:
+            for when, own in first:
+                value = F.when(when, own[f.name]).otherwise(value)
+        columns.append(value.cast(f.dataType).alias(f.name))
+    return df.select(columns)
+
+
+def _own_columns(kind: _Kind, options: Options) -> dict[str, Column]:
+    nothing = F.lit(None).cast(T.StringType())
+    text = texts.message(kind.check, options.lang, kind.clause)
+    return {
+        "ordercol": F.lit(ORDER[kind.check]),
+        "mtyp": F.lit(kind.check),
+        "sev": F.lit("ERROR") if kind.sev is None else kind.sev,
+        "mtxt": text if kind.prefix is None else F.concat(kind.prefix, text),
+        "fixit": texts.repair(kind.check, options.addcol_delimiter),
+        "tbcreator": F.substring("source_owner", 1, DEBUG_WIDTH) if kind.catalogued else nothing,
+        "tbname": F.substring("source_name", 1, DEBUG_WIDTH) if kind.catalogued else nothing,
+        "colname": F.substring("column_name", 1, DEBUG_WIDTH) if kind.has_column else nothing,
     }
-    return df.select([values[f.name].cast(f.dataType).alias(f.name) for f in FINDINGS])

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 
 from subdrift.operators.checks import (
     Options,
+    column_drift,
     column_not_subscribed,
     data_capture_missing,
     source_table_not_found,
     subscribed_column_missing,
+    table_drift,
 )
 from subdrift.sources import Snapshot
 
@@ -21,6 +23,8 @@ CHECKS = {
     "C-CNS": column_not_subscribed,
     "C-DCC": data_capture_missing,
 }
+# Pairs of checks over the same inputs, answered in one pass.
+PASSES = {("C-TNF", "C-DCC"): table_drift, ("C-CNF", "C-CNS"): column_drift}
 
 
 def findings(
@@ -31,5 +35,8 @@ def findings(
     Rows are made distinct before the report drops columns, so a report may still
     show equal rows. Only findings are shuffled here, not the inputs.
     """
-    parts = [CHECKS[c](snapshot, options) for c in checks]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    plans = []
+    for pair, both in PASSES.items():
+        wanted = [c for c in pair if c in checks]
+        plans += [both] if len(wanted) == 2 else [CHECKS[c] for c in wanted]
+    return reduce(DataFrame.unionByName, [plan(snapshot, options) for plan in plans]).distinct()
