@@ -154,28 +154,37 @@ def column_drift(snapshot: Snapshot, options: Options = Options()) -> DataFrame:
     if options.generator:
         kept += _TARGET
     rows = subs.rows.select(kept)
+    known = subs.tables(snapshot.tables).withColumn("_known", F.lit(True))
 
     in_catalogue = subs.partners(snapshot.columns).join(rows, [*_TABLE, SALT], "inner")
-    listed = snapshot.src_cols.join(rows, _SUBSCRIPTION, "inner")
+    listed = snapshot.src_cols.join(
+        rows.join(known, [*_TABLE, SALT], "left"), _SUBSCRIPTION, "inner"
+    )
     # A column without a name equals no other, so those of the two sides must not meet.
-    nameless = F.col("column_name").isNull()
     sides = in_catalogue.select(
-        *kept, "column_name", nameless.alias("_side"), F.lit(1).alias("_c"), F.lit(0).alias("_l")
+        *kept,
+        "column_name",
+        F.col("column_name").isNull().alias("_nameless"),
+        F.lit(1).alias("_in_catalogue"),
+        F.lit(0).alias("_listed"),
+        F.lit(True).alias("_known"),
     ).unionByName(
         listed.select(
-            *kept, "column_name", F.lit(False).alias("_side"), F.lit(0).alias("_c"), F.lit(1).alias("_l")
+            *kept,
+            "column_name",
+            F.lit(False).alias("_nameless"),
+            F.lit(0).alias("_in_catalogue"),
+            F.lit(1).alias("_listed"),
+            "_known",
         )
     )
+    # Listed columns of a vanished table are left to C-TNF.
     drift = (
-        sides.groupBy(*kept, "column_name", "_side")
-        .agg(F.max("_c").alias("_c"), F.max("_l").alias("_l"))
-        .where(F.col("_c") != F.col("_l"))
+        sides.groupBy(*kept, "column_name", "_nameless")
+        .agg(*[F.max(c).alias(c) for c in ("_in_catalogue", "_listed", "_known")])
+        .where((F.col("_in_catalogue") != F.col("_listed")) & F.col("_known"))
     )
-
-    # Columns of a vanished table belong to C-TNF.
-    unlisted = F.col("_c") == 1
-    known = subs.tables(snapshot.tables).withColumn("_known", F.lit(True))
-    drift = drift.join(known, [*_TABLE, SALT], "left").where(unlisted | F.col("_known"))
+    unlisted = F.col("_in_catalogue") == 1
     if options.generator:
         drift = _with_clause(drift, subs, snapshot).where(~unlisted | _clause_reports())
     return _findings(drift, [_column_unlisted(options, when=unlisted), _column_gone()], options)

@@ -23,14 +23,13 @@ class InputTable:
     scope: tuple[str, ...]
     aliases: dict[str, str]
     optional: tuple[str, ...] = ()
-
-    @property
-    def output_columns(self) -> list[str]:
-        return [*self.scope, *self.columns.values()]
+    # False where every use groups by key anyway, so dropping copies on load would
+    # only add a shuffle.
+    drop_copies: bool = True
 
 
-def _table(name, columns, scope, aliases=None, optional=()):
-    return InputTable(name, columns, scope, aliases or {}, tuple(optional))
+def _table(name, columns, scope, aliases=None, optional=(), drop_copies=True):
+    return InputTable(name, columns, scope, aliases or {}, tuple(optional), drop_copies)
 
 
 _CONFIG_SCOPE = (SERVER, CAPTURE_SCHEMA)
@@ -63,6 +62,7 @@ TABLES = _table(
     {"creator": "source_owner", "name": "source_name", "data_capture": "data_capture"},
     _CATALOG_SCOPE,
     aliases={"datacapture": "data_capture"},
+    drop_copies=False,
 )
 COLUMNS = _table(
     "columns",

@@ -30,14 +30,16 @@ def normalise(
     df: DataFrame,
     server: str | Column | None = None,
     capture_schema: str | Column | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Bring a raw snapshot into the library's shape.
 
     Picks the needed columns by name in any letter case, removes trailing blanks
     (the source compares ``'A'`` equal to ``'A  '``, Spark does not), adds the scope
-    columns where the snapshot lacks them, and drops repeated rows. The last step
-    combines copies before they are shuffled, so a row copied very often costs no
-    more than any other in the joins that follow.
+    columns where the snapshot lacks them, and drops repeated rows unless ``unique``
+    says there are none. Copies are combined before they are shuffled, so a row copied
+    very often costs no more than any other in the joins that follow; a single
+    catalogue export has primary keys and can save that shuffle.
     """
     spec = INPUT_TABLES[table]
     present = {c.lower(): c for c in df.columns}
@@ -60,7 +62,8 @@ def normalise(
             missing.append(source_name)
     if missing:
         raise ValueError(f"snapshot table {table!r} lacks the columns {missing}; it has {df.columns}")
-    return df.select(selected).distinct()
+    clean = df.select(selected)
+    return clean if unique or not spec.drop_copies else clean.distinct()
 
 
 def _as_column(value: str | Column) -> Column:
@@ -83,9 +86,13 @@ class Snapshot:
     q_base: DataFrame | None = None
 
     @classmethod
-    def of(cls, raw: dict[str, DataFrame], server=None, capture_schema=None) -> Snapshot:
+    def of(
+        cls, raw: dict[str, DataFrame], server=None, capture_schema=None, unique: bool = False
+    ) -> Snapshot:
         """Normalise a dict of raw tables; ``q_base`` may be left out."""
-        return cls(**{name: normalise(name, df, server, capture_schema) for name, df in raw.items()})
+        return cls(
+            **{name: normalise(name, df, server, capture_schema, unique) for name, df in raw.items()}
+        )
 
     @classmethod
     def load(
@@ -95,19 +102,33 @@ class Snapshot:
         fmt: str = "parquet",
         server=None,
         capture_schema=None,
+        unique: bool = False,
         tables: tuple[str, ...] = tuple(INPUT_TABLES),
         **options,
     ) -> Snapshot:
         """Load ``{base_path}/{table}`` for every table. Snapshots partitioned by
         ``server`` are pruned when the caller filters on it."""
         raw = {t: read_table(spark, f"{base_path}/{t}", fmt, **options) for t in tables}
-        return cls.of(raw, server, capture_schema)
+        return cls.of(raw, server, capture_schema, unique)
+
+    def stored(self, path: str) -> Snapshot:
+        """Write the normalised tables under ``path`` and go on from the files.
+
+        For several reports over one large snapshot: each table is cleaned once. Files
+        are cut by ranges of server and key, so a run over one server skips the others
+        and a very large server still fills many files.
+        """
+        stored = {}
+        for name, df in self._tables().items():
+            df.repartitionByRange(*df.columns).write.parquet(f"{path}/{name}")
+            stored[name] = df.sparkSession.read.parquet(f"{path}/{name}")
+        return Snapshot(**stored)
 
     def for_server(self, server: str) -> Snapshot:
         """The part of a fleet snapshot that belongs to one server."""
         return Snapshot(
-            **{
-                name: df if df is None else df.where(F.col(SERVER) == server)
-                for name, df in self.__dict__.items()
-            }
+            **{name: df.where(F.col(SERVER) == server) for name, df in self._tables().items()}
         )
+
+    def _tables(self) -> dict[str, DataFrame]:
+        return {name: getattr(self, name) for name in INPUT_TABLES if getattr(self, name) is not None}
