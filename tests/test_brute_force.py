@@ -40,9 +40,9 @@ def random_rows(seed):
             data["tables"].append((server, pick("O1", "O2"), pick("T1", "T2"), pick("Y", "N", null=0.2)))
         for _ in range(r.randint(0, 8)):
             data["columns"].append((server, pick("O1", "O2"), pick("T1", "T2"), pick("A", "B", "C", "d")))
-        for _ in range(r.randint(0, 4)):
+        for _ in range(r.randint(2, 12)):
             data["q_base"].append(
-                (server, pick("O1", "O2"), pick("T1", "T2"), pick("TO"), pick("T1", "T2"), pick(*clauses, null=0.2))
+                (server, pick("O1", "O2"), pick("T1", "T2"), pick("TO"), pick("T1", "T2"), pick(*clauses, null=0.1))
             )
     return data
 

@@ -1,0 +1,87 @@
+import pytest
+from pyspark.sql import functions as F
+
+from subdrift import Snapshot, findings, normalise, read_table
+from tests.helpers import contents, raw, rows
+from tests.test_brute_force import SCHEMA, random_rows
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    return raw(spark, random_rows(11), server=True)
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "orc", "json", "csv"])
+def test_formats(spark, tables, scratch, fmt):
+    for name, df in tables.items():
+        writer = df.write.format(fmt)
+        if fmt == "csv":
+            writer = writer.option("header", True).option("ignoreTrailingWhiteSpace", False)
+        writer.save(f"{scratch}/{name}")
+    loaded = Snapshot.load(spark, scratch, fmt, capture_schema=SCHEMA)
+    assert contents(findings(loaded)) == contents(findings(Snapshot.of(tables, capture_schema=SCHEMA)))
+
+
+def test_upper_case_columns_extra_columns_and_the_other_flag_name(spark):
+    df = spark.createDataFrame([("O ", "T", "N", 1)], "CREATOR string, NAME string, DATACAPTURE string, CARD int")
+    assert normalise("tables", df, server="X").collect() == [("X", "O", "T", "N")]
+
+
+def test_missing_columns_are_named(spark):
+    df = spark.createDataFrame([("S",)], "subname string")
+    with pytest.raises(ValueError, match=r"'src_cols'.*capture_schema.*src_colname"):
+        normalise("src_cols", df, server="X")
+
+
+def test_target_columns_are_optional(spark):
+    df = spark.createDataFrame(
+        [("S", "O", "T", "A", "Q", "G")],
+        "subname string, source_owner string, source_name string, state string, sendq string, target_server string",
+    )
+    row = normalise("subs", df, server="X", capture_schema="Y").first()
+    assert (row.subname, row.target_owner, row.target_name) == ("S", None, None)
+
+
+def test_scope_from_a_column(spark):
+    df = spark.createDataFrame([("S", "C", "db1")], "subname string, src_colname string, dbname string")
+    row = normalise("src_cols", df, server=F.upper("dbname"), capture_schema="Y").first()
+    assert (row.server, row.capture_schema) == ("DB1", "Y")
+
+
+def test_copies_are_dropped_unless_declared_unique(spark):
+    df = spark.createDataFrame([("S", "C"), ("S ", "C"), ("S", "C")], "subname string, src_colname string")
+    assert normalise("src_cols", df, "X", "Y").count() == 1
+    assert normalise("src_cols", df, "X", "Y", unique=True).count() == 3
+
+
+def test_stored_snapshot_gives_the_same_findings(spark, tables, scratch):
+    shot = Snapshot.of(tables, capture_schema=SCHEMA)
+    assert contents(findings(shot.stored(scratch))) == contents(findings(shot))
+    assert read_table(spark, f"{scratch}/subs").count() == shot.subs.count()
+
+
+def test_one_server_of_a_stored_snapshot_filters_in_the_scan(spark, tables, scratch):
+    one = Snapshot.of(tables, capture_schema=SCHEMA).stored(scratch).for_server("SRV3")
+    plan = one.columns._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(server,SRV3)" in plan
+
+
+def test_servers_apart_equal_the_fleet(spark, tables):
+    fleet = Snapshot.of(tables, capture_schema=SCHEMA)
+    whole = findings(fleet)
+    for server in ("SRV0", "SRV17"):
+        alone = findings(fleet.for_server(server))
+        assert contents(alone) == contents(whole.where(F.col("current_server") == server))
+
+
+def test_capture_schemas_do_not_mix(spark, tables):
+    both = {
+        name: df if name in ("tables", "columns")
+        else df.withColumn("capture_schema", F.lit("ONE")).unionByName(df.withColumn("capture_schema", F.lit("TWO")))
+        for name, df in tables.items()
+    }
+    found = findings(Snapshot.of(both))
+    single = findings(Snapshot.of(tables, capture_schema="ONE"))
+    assert rows(found.groupBy("program").count(), "program", "count") == [
+        ("ASNQCAP(ONE)", single.count()), ("ASNQCAP(TWO)", single.count())
+    ]
