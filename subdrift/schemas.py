@@ -119,13 +119,17 @@ class ParmTable:
     name: str
     defaults: dict[str, int]
     shipped: dict[str, int]
-    comments: dict[str, str]
+    comments: dict[str, dict[str, str]]
 
     @property
     def schema(self) -> T.StructType:
+        return self.schema_in("EN")
+
+    def schema_in(self, lang: str) -> T.StructType:
+        """The columns with their comments in one of the report languages."""
         return T.StructType(
             [
-                T.StructField(c, T.IntegerType(), False, {"comment": self.comments[c], "default": d})
+                T.StructField(c, T.IntegerType(), False, {"comment": self.comments[lang][c], "default": d})
                 for c, d in self.defaults.items()
             ]
         )
@@ -153,13 +157,24 @@ PARM_APPLY = ParmTable(
         "maxdepth_global": 130000,
     },
     comments={
-        "alat_thresh_warning": "end-to-end latency in seconds above which a sample is a WARNING",
-        "alat_thresh_error": "end-to-end latency in seconds above which a sample is an ERROR",
-        "alat_cause_cap_qdepth": "queue depth up to which a late sample is put down to CAPTURE",
-        "alat_cause_app_qdepth": "queue depth from which a late sample is put down to APPLY",
-        "exception_time_window": "how many hours back exceptions are listed",
-        "heartbeat_time_window": "how many minutes back heartbeats are counted",
-        "maxdepth_global": "carried along, no behaviour yet",
+        "EN": {
+            "alat_thresh_warning": "end-to-end latency in seconds above which a sample is a WARNING",
+            "alat_thresh_error": "end-to-end latency in seconds above which a sample is an ERROR",
+            "alat_cause_cap_qdepth": "queue depth up to which a late sample is put down to CAPTURE",
+            "alat_cause_app_qdepth": "queue depth from which a late sample is put down to APPLY",
+            "exception_time_window": "how many hours back exceptions are listed",
+            "heartbeat_time_window": "how many minutes back heartbeats are counted",
+            "maxdepth_global": "carried along, no behaviour yet",
+        },
+        "DE": {
+            "alat_thresh_warning": "Latenz in Sekunden, ab deren Ueberschreitung WARNING gemeldet wird",
+            "alat_thresh_error": "Latenz in Sekunden, ab deren Ueberschreitung ERROR gemeldet wird",
+            "alat_cause_cap_qdepth": "bis zu dieser Queue-Tiefe gilt CAPTURE als Ursache",
+            "alat_cause_app_qdepth": "ab dieser Queue-Tiefe gilt APPLY als Ursache",
+            "exception_time_window": "so viele Stunden zurueck werden Ausnahmen gelistet",
+            "heartbeat_time_window": "so viele Minuten zurueck werden Heartbeats gezaehlt",
+            "maxdepth_global": "wird mitgefuehrt, noch ohne Wirkung",
+        },
     },
 )
 PARM_CAPTURE = ParmTable(
@@ -167,8 +182,15 @@ PARM_CAPTURE = ParmTable(
     defaults={"clat_thresh_warning": 300, "clat_thresh_error": 3600, "maxdepth_global": 100000},
     shipped={"clat_thresh_warning": 500, "clat_thresh_error": 5400, "maxdepth_global": 130000},
     comments={
-        "clat_thresh_warning": "capture latency in seconds above which a sample is a WARNING",
-        "clat_thresh_error": "capture latency in seconds above which a sample is an ERROR",
-        "maxdepth_global": "carried along, no behaviour yet",
+        "EN": {
+            "clat_thresh_warning": "capture latency in seconds above which a sample is a WARNING",
+            "clat_thresh_error": "capture latency in seconds above which a sample is an ERROR",
+            "maxdepth_global": "carried along, no behaviour yet",
+        },
+        "DE": {
+            "clat_thresh_warning": "Latenz in Sekunden, ab deren Ueberschreitung WARNING gemeldet wird",
+            "clat_thresh_error": "Latenz in Sekunden, ab deren Ueberschreitung ERROR gemeldet wird",
+            "maxdepth_global": "wird mitgefuehrt, noch ohne Wirkung",
+        },
     },
 )

@@ -11,14 +11,24 @@ from pyspark.sql import types as T
 from subdrift.schemas import CAPTURE_SCHEMA, INPUT_TABLES, SERVER
 
 
-def read_table(spark: SparkSession, path: str | None = None, fmt: str = "parquet", **options) -> DataFrame:
+def read_table(
+    spark: SparkSession,
+    path: str | None = None,
+    fmt: str = "parquet",
+    schema: T.StructType | str | None = None,
+    **options,
+) -> DataFrame:
     """Read one snapshot table.
 
     ``fmt`` is any Spark source: parquet, orc, json, csv, or jdbc (no path; pass
     ``url``, ``dbtable`` and, for a parallel read, ``partitionColumn`` and its
     bounds as options). CSV is read with a header and without type inference.
+    Give a ``schema`` where the server names in partition folders look like numbers,
+    or Spark reads ``server=007`` as 7.
     """
     reader = spark.read.format(fmt)
+    if schema is not None:
+        reader = reader.schema(schema)
     if fmt == "csv":
         reader = reader.option("header", True)
     reader = reader.options(**options)
@@ -104,11 +114,15 @@ class Snapshot:
         capture_schema=None,
         unique: bool = False,
         tables: tuple[str, ...] = tuple(INPUT_TABLES),
+        schemas: dict[str, T.StructType | str] | None = None,
         **options,
     ) -> Snapshot:
         """Load ``{base_path}/{table}`` for every table. Snapshots partitioned by
         ``server`` are pruned when the caller filters on it."""
-        raw = {t: read_table(spark, f"{base_path}/{t}", fmt, **options) for t in tables}
+        schemas = schemas or {}
+        raw = {
+            t: read_table(spark, f"{base_path}/{t}", fmt, schemas.get(t), **options) for t in tables
+        }
         return cls.of(raw, server, capture_schema, unique)
 
     def stored(self, path: str) -> Snapshot:

@@ -46,3 +46,9 @@ def test_row_violations(spark):
         ("NONE", 0, "No row in table QREP_MON_CAPTURE_PARM"),
         ("TWO", 2, "No more than one row allowed in table QREP_MON_CAPTURE_PARM"),
     ]
+
+
+@pytest.mark.parametrize("table", [sd.PARM_APPLY, sd.PARM_CAPTURE])
+def test_comments_in_both_languages(table):
+    for lang in ("EN", "DE"):
+        assert [f.name for f in table.schema_in(lang) if f.metadata["comment"]] == list(table.defaults)

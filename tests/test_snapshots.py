@@ -85,3 +85,13 @@ def test_capture_schemas_do_not_mix(spark, tables):
     assert rows(found.groupBy("program").count(), "program", "count") == [
         ("ASNQCAP(ONE)", single.count()), ("ASNQCAP(TWO)", single.count())
     ]
+
+
+def test_partition_folders_prune_and_keep_names_that_look_like_numbers(spark, scratch):
+    df = spark.createDataFrame([("007", "S", "C"), ("8", "S", "C")], "server string, subname string, src_colname string")
+    df.write.partitionBy("server").parquet(f"{scratch}/src_cols")
+    shot = normalise("src_cols", read_table(spark, f"{scratch}/src_cols", schema=df.schema), capture_schema="Y")
+    one = shot.where(F.col("server") == "007")
+    assert rows(one, "server", "column_name") == [("007", "C")]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [(rtrim(server" in plan

@@ -349,6 +349,7 @@ def oracle_sql() -> dict[str, str]:
         "findings_generator": _check(_all(generator=True)),
         "findings_fleet": _check(_all(), fleet=True),
         "findings_fleet_generator": _check(_all(generator=True), fleet=True),
+        "findings_fleet_stored": _check(_all(generator=True), fleet=True),
         "report": _report(_all(), _REPORT_COLUMNS),
         "report_de": _report(_all("DE"), _REPORT_COLUMNS),
         "report_de_generator": _report(_all("DE", generator=True), _REPORT_COLUMNS),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -70,12 +71,29 @@ def _violations(derive, table) -> Query:
     )
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one the cluster names for checkpoints; a local one only
+    where all executors are on this machine anyway."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder all executors share")
+        shared = tempfile.mkdtemp(prefix="run-")
+    return f"{shared}/subdrift-{uuid.uuid4().hex}"
+
+
+def _stored(options: Options = Options()) -> Query:
+    """The fleet snapshot cleaned once into the shared folder, then checked from there."""
+    return lambda spark, sf: sd.findings(
+        inputs.snapshot(spark, sf, fleet=True).stored(_shared_folder(spark)), options
+    )
+
+
 def _streamed(grade, table) -> Query:
     """The events table read as a stream, graded, and written to the shared folder."""
 
     def run(spark, sf):
-        shared = spark.conf.get("spark.checkpoint.dir")
-        base = f"{shared}/subdrift-{uuid.uuid4().hex}"
+        base = _shared_folder(spark)
         events = samples_from_files(
             spark, sf, inputs.read(spark, sf, "events").schema, pathGlobFilter="events.parquet"
         )
@@ -103,6 +121,7 @@ def queries() -> dict[str, Query]:
         "findings_generator": _findings(GENERATOR),
         "findings_fleet": _findings(fleet=True),
         "findings_fleet_generator": _findings(GENERATOR, fleet=True),
+        "findings_fleet_stored": _stored(GENERATOR),
         "report": _report(),
         "report_de": _report(Options(lang="DE")),
         "report_de_generator": _report(Options(lang="DE", mode="generator")),
