@@ -19,7 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from subdrift.functions import clauses, texts
-from subdrift.operators.skew import ROWS_PER_SALT, SALT, add_salt, copy_per_salt, hot_keys
+from subdrift.operators.skew import (
+    MAX_SALTS,
+    ROWS_PER_SALT,
+    SALT,
+    add_salt,
+    copy_per_salt,
+    hot_keys,
+)
 from subdrift.schemas import CAPTURE_SCHEMA, FINDINGS, SERVER
 from subdrift.sources import Snapshot
 
@@ -106,9 +113,7 @@ def table_drift(snapshot: Snapshot, options: Options = Options()) -> DataFrame:
     )
     gone = F.col("_known").isNull()
     drifted = subs.rows.join(status, [*_TABLE, SALT], "left").where(gone | F.col("_off"))
-    # Only subscriptions of vanished tables look for their queue.
-    drifted = drifted.withColumn("sendq", F.when(gone, F.col("sendq")))
-    queued = _with_queue(drifted, snapshot, options, "left").where(~gone | F.col("_queued"))
+    queued = _with_queue(drifted, snapshot, options, "left", only=gone).where(~gone | F.col("_queued"))
     return _findings(queued, [_table_gone(when=gone), _capture_off()], options)
 
 
@@ -190,13 +195,26 @@ def column_drift(snapshot: Snapshot, options: Options = Options()) -> DataFrame:
     return _findings(drift, [_column_unlisted(options, when=unlisted), _column_gone()], options)
 
 
-def _with_queue(subs: DataFrame, snapshot: Snapshot, options: Options, how: str) -> DataFrame:
-    """Subscriptions with the map name of their send queue; many share one queue."""
+def _with_queue(
+    subs: DataFrame, snapshot: Snapshot, options: Options, how: str, only: Column | None = None
+) -> DataFrame:
+    """Subscriptions with the map name of their send queue; many share one queue.
+
+    In a left join only the rows of ``only`` look for their queue. The others get an
+    empty key and, so that they do not all meet in one task, any salt.
+    """
     hot = hot_keys(snapshot.subs, _QUEUE, options.rows_per_salt)
-    queues = copy_per_salt(snapshot.sendqueues, hot, _QUEUE_SALT)
-    return add_salt(subs, hot, _QUEUE_SALT).join(
-        queues.withColumn("_queued", F.lit(True)), [*_QUEUE, _QUEUE_SALT], how
-    )
+    queues = copy_per_salt(snapshot.sendqueues, hot, _QUEUE_SALT).withColumn("_queued", F.lit(True))
+    salted = add_salt(subs, hot, _QUEUE_SALT)
+    if only is not None:
+        spread = F.pmod(F.xxhash64(*_SUBSCRIPTION), F.lit(MAX_SALTS)).cast("int")
+        salted = salted.withColumns(
+            {
+                "sendq": F.when(only, F.col("sendq")),
+                _QUEUE_SALT: F.when(only, F.col(_QUEUE_SALT)).otherwise(spread),
+            }
+        )
+    return salted.join(queues, [*_QUEUE, _QUEUE_SALT], how)
 
 
 def _with_clause(unlisted: DataFrame, subs: Subscriptions, snapshot: Snapshot) -> DataFrame:

@@ -7,16 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from subdrift.functions import texts
-from subdrift.schemas import PARM_APPLY, PARM_CAPTURE, SERVER, ParmTable
-
-__all__ = [
-    "PARM_APPLY",
-    "PARM_CAPTURE",
-    "effective_parms",
-    "one_row_per_scope",
-    "row_violations",
-    "shipped_row",
-]
+from subdrift.schemas import SERVER, ParmTable
 
 
 def shipped_row(spark: SparkSession, table: ParmTable, server: str) -> DataFrame:

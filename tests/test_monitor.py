@@ -93,7 +93,9 @@ def test_many_scopes_are_shuffled_with_the_same_result(spark):
         F.col("id").cast("int").alias("alat_thresh_warning"), (F.col("id") * 3).cast("int").alias("alat_thresh_error"),
     )
     data = spark.range(5000).select(
-        F.when(F.col("id") % 3 == 0, "S7").otherwise(F.concat(F.lit("S"), (F.col("id") % 320).cast("string"))).alias("server"),
+        F.when(F.col("id") % 3 == 0, "S7")
+        .otherwise(F.concat(F.lit("S"), (F.col("id") % 320).cast("string")))
+        .alias("server"),
         F.col("id").alias("sample_id"), (F.col("id") % 500).cast("double").alias("latency_s"),
     )
     data = data.unionByName(data.where("sample_id < 100"))

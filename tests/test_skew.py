@@ -6,46 +6,79 @@ from pyspark.sql import functions as F
 from subdrift import Options, Snapshot, findings
 from subdrift.operators.checks import column_drift, table_drift
 from subdrift.operators.skew import MAX_HOT_KEYS, SALT, add_salt, copy_per_salt, hot_keys
-from tests.helpers import contents, raw
+from tests.helpers import contents
 
 SUBS = 9000
 
 
+def text(prefix, number):
+    return F.concat(F.lit(prefix), number.cast("string"))
+
+
 def hot_snapshot(spark):
     """A third of the subscriptions share one table and one queue, one table has a third of
     the catalogue columns, one subscription a third of the listed ones, and rows repeat."""
     n = spark.range(SUBS)
     i = F.col("id")
     hot = i % 3 == 0
-    text = lambda prefix, number: F.concat(F.lit(prefix), number.cast("string"))
+    owner = F.lit("OWN")
     table = F.when(hot, "THOT").otherwise(text("T", i))
     subs = n.select(
-        text("S", i).alias("subname"), F.lit("OWN").alias("source_owner"), table.alias("source_name"),
-        F.lit("TO").alias("target_owner"), table.alias("target_name"), F.lit("A").alias("state"),
-        F.when(hot, "QHOT").otherwise(text("Q", i % 50)).alias("sendq"), F.lit("TGT").alias("target_server"),
+        text("S", i).alias("subname"),
+        owner.alias("source_owner"),
+        table.alias("source_name"),
+        F.lit("TO").alias("target_owner"),
+        table.alias("target_name"),
+        F.lit("A").alias("state"),
+        F.when(hot, "QHOT").otherwise(text("Q", i % 50)).alias("sendq"),
+        F.lit("TGT").alias("target_server"),
     )
     tables = n.where(~hot & (i % 7 != 1)).select(
-        F.lit("OWN").alias("creator"), text("T", i).alias("name"), F.when(i % 5 == 1, "N").otherwise("Y").alias("data_capture")
+        owner.alias("creator"),
+        text("T", i).alias("name"),
+        F.when(i % 5 == 1, "N").otherwise("Y").alias("data_capture"),
+    )
+
+    def columns_of(rows, name, column):
+        return rows.select(owner.alias("tbcreator"), name.alias("tbname"), column.alias("name"))
+
+    two = F.explode(F.array(F.lit("C1"), F.lit("C2")))
+    three = F.explode(F.array(F.lit("C1"), F.lit("C2"), F.lit("C3")))
+    columns = (
+        columns_of(n.where(~hot), text("T", i), two)
+        .unionByName(columns_of(n, F.lit("T1"), text("C", i)))
+        .unionByName(columns_of(spark.range(1), F.lit("THOT"), three))
     )
-    wide = n.select(F.lit("OWN").alias("tbcreator"), F.lit("T1").alias("tbname"), text("C", i).alias("name"))
-    columns = n.where(~hot).select(
-        F.lit("OWN").alias("tbcreator"), text("T", i).alias("tbname"), F.explode(F.array(F.lit("C1"), F.lit("C2"))).alias("name")
-    ).unionByName(wide).unionByName(
-        spark.createDataFrame([("OWN", "THOT", c) for c in ("C1", "C2", "C3")], "tbcreator string, tbname string, name string")
+
+    def listed(rows, name, column):
+        return rows.select(name.alias("subname"), column.alias("src_colname"))
+
+    src_cols = (
+        listed(n, text("S", i), F.explode(F.array(F.lit("C1"), F.lit("C2"), F.lit("C4"))))
+        .unionByName(listed(n.where(i % 2 == 0), F.lit("S1"), text("C", i)))
+        .unionByName(listed(n, F.lit("S2"), F.lit("C1")))
+    )
+    queues = spark.range(41).select(
+        F.when(i == 40, "QHOT").otherwise(text("Q", i)).alias("sendq"), text("MAP", i).alias("pubqmapname")
     )
-    copies = n.select(F.lit("S2").alias("subname"), F.lit("C1").alias("src_colname"))
-    src_cols = n.select(text("S", i).alias("subname"), F.explode(F.array(F.lit("C1"), F.lit("C2"), F.lit("C4"))).alias("src_colname"))
-    long = n.where(i % 2 == 0).select(F.lit("S1").alias("subname"), text("C", i).alias("src_colname"))
-    queues = spark.createDataFrame([("QHOT", "MAP")] + [(f"Q{k}", f"MAP{k}") for k in range(40)], "sendq string, pubqmapname string")
-    q_base = subs.where(i % 2 == 0).select(
-        F.col("source_owner").alias("tabschema"), F.col("source_name").alias("tabname"),
-        F.col("target_owner").alias("target_schema"), "target_name", F.lit("TRGCOLS INCLUDE (C3)").alias("targetcolclause"),
+    q_base = subs.where(F.col("subname").endswith("2")).select(
+        F.col("source_owner").alias("tabschema"),
+        F.col("source_name").alias("tabname"),
+        F.col("target_owner").alias("target_schema"),
+        "target_name",
+        F.lit("TRGCOLS INCLUDE (C3)").alias("targetcolclause"),
     )
     return Snapshot.of(
-        {"subs": subs.unionByName(subs.where(i % 1000 == 0)), "sendqueues": queues,
-         "src_cols": src_cols.unionByName(long).unionByName(copies), "tables": tables,
-         "columns": columns, "q_base": q_base},
-        server="SRV", capture_schema="ASN",
+        {
+            "subs": subs.unionByName(subs.where(F.col("subname").endswith("000"))),
+            "sendqueues": queues,
+            "src_cols": src_cols,
+            "tables": tables,
+            "columns": columns,
+            "q_base": q_base,
+        },
+        server="SRV",
+        capture_schema="ASN",
     )
 
 
@@ -81,7 +114,7 @@ def test_number_of_hot_keys_is_bounded(spark):
 
 
 def test_salts_cover_all_partners(spark):
-    df = spark.range(2000).select(F.when(F.col("id") % 2 == 0, F.lit(None)).otherwise(F.lit("x")).alias("k"), "id")
+    df = spark.range(2000).select(F.when(F.col("id") % 2 == 1, "x").alias("k"), "id")
     hot = hot_keys(df, ["k"], 100)
     salted = add_salt(df, hot)
     copies = copy_per_salt(spark.createDataFrame([("x",), (None,), ("y",)], "k string"), hot)
@@ -122,6 +155,11 @@ def test_wide_tables_are_split_by_the_adaptive_skew_join(spark, no_broadcast):
     assert "skew=true" in final_plan(column_drift(hot_snapshot(spark), Options(rows_per_salt=200)))
 
 
+def test_salted_table_pass_leaves_no_skew(spark, no_broadcast):
+    """Neither the hot table and queue nor the rows that need no queue meet in one task."""
+    assert "skew=true" not in final_plan(table_drift(hot_snapshot(spark), Options(rows_per_salt=200)))
+
+
 def test_no_nested_loops_and_nothing_broadcast_but_hot_keys(spark, no_broadcast):
     shot = hot_snapshot(spark)
     for plan in (table_drift, column_drift):
