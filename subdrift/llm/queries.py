@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subdrift.llm import quality
+from subdrift.llm import quality, token_files
+from subdrift.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,7 +23,16 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("has_long_repeat", long_repeat).drop("longest_repeat", "n_maximal_repeats")
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = f"{shared_folder(spark)}/tokens"
+    token_files.write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read_tokens(spark, path)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_quality_rules": op3_quality_rules,
+        "op10_token_files": op10_token_files,
     }
