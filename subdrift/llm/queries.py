@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subdrift.llm import quality, token_files
+from subdrift.llm import mixing, quality, token_files
 from subdrift.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,15 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("has_long_repeat", long_repeat).drop("longest_repeat", "n_maximal_repeats")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source gets the same share of the mix, measured in characters."""
+    documents = _table(spark, sf_dir, "documents")
+    mixed = mixing.mix(documents, size=F.coalesce(F.length("text"), F.lit(0)).cast("double"))
+    return mixed.select(
+        "doc_id", "source", "copy", "shuffle_key", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5")
+    )
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -34,5 +43,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op3_quality_rules": op3_quality_rules,
+        "op6_mixing": op6_mixing,
         "op10_token_files": op10_token_files,
     }

@@ -42,5 +42,30 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, cove
 FROM b"""
 
 
+def _mixing() -> str:
+    return r"""
+WITH RECURSIVE s AS (
+  SELECT source, sum(length(coalesce(text, '')))::DOUBLE AS size FROM documents GROUP BY 1
+)
+, r AS (
+  SELECT source, CASE WHEN size > 0 THEN (1.0::DOUBLE / sum(CASE WHEN size > 0 THEN 1 END) OVER ()) * sum(size) OVER () / size ELSE 0 END AS rate
+  FROM s
+)
+, d AS (
+  SELECT doc_id, documents.source, text, rate,
+    (('0x' || md5('17:' || coalesce(doc_id::VARCHAR, 'null') || ':1')[1:13])::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+  FROM documents JOIN r ON documents.source IS NOT DISTINCT FROM r.source
+)
+, p AS (
+  SELECT doc_id, source, text, rate, u, 0 AS k, exp(-rate) AS term, exp(-rate) AS total FROM d
+  UNION ALL
+  SELECT doc_id, source, text, rate, u, k + 1, term * rate / (k + 1), total + term * rate / (k + 1) FROM p
+  WHERE total < u AND k < ceil(rate + 12 * sqrt(rate) + 20)
+)
+SELECT doc_id, source, k AS copy, md5('order 17:' || coalesce(doc_id::VARCHAR, 'null') || ':' || k) AS shuffle_key,
+  length(text)::BIGINT AS n_chars, md5(text) AS text_md5
+FROM p WHERE k > 0"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": _quality()}
+    return {"op3_quality_rules": _quality(), "op6_mixing": _mixing()}
