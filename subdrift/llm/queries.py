@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subdrift.llm import mixing, quality, token_files
+from subdrift.llm import licenses, mixing, quality, token_files
 from subdrift.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+    spans = F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["start"].cast("string"), s["end"].cast("string")))
+    return found.withColumn("spans", F.concat_ws(",", spans))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality(_table(spark, sf_dir, "documents"))
     long_repeat = F.col("longest_repeat") >= quality.Limits().long_repeat
@@ -42,6 +48,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_license_scan": op2_license_scan,
         "op3_quality_rules": op3_quality_rules,
         "op6_mixing": op6_mixing,
         "op10_token_files": op10_token_files,
