@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subdrift.llm import licenses, mixing, quality, token_files
+from subdrift.llm import licenses, line_templates, mixing, quality, token_files
 from subdrift.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("has_long_repeat", long_repeat).drop("longest_repeat", "n_maximal_repeats")
 
 
+def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_templates.drop_templates(_table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source gets the same share of the mix, measured in characters."""
     documents = _table(spark, sf_dir, "documents")
@@ -50,6 +55,7 @@ def queries() -> dict[str, Query]:
     return {
         "op2_license_scan": op2_license_scan,
         "op3_quality_rules": op3_quality_rules,
+        "op5_line_templates": op5_line_templates,
         "op6_mixing": op6_mixing,
         "op10_token_files": op10_token_files,
     }

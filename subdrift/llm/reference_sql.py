@@ -42,6 +42,50 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, cove
 FROM b"""
 
 
+def _line_templates() -> str:
+    return rf"""
+WITH l AS (
+  SELECT doc_id, i - 1 AS line, lines[i] AS raw FROM (
+    SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)
+  )
+)
+, m AS (
+  SELECT doc_id, line, list_transform(regexp_extract_all(raw, '{_WORD}'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
+  FROM l
+)
+, f AS (
+  SELECT doc_id, line, tokens, len(tokens)::VARCHAR || ' ' || array_to_string(tokens[1:3], ' ') AS leaf FROM m WHERE len(tokens) >= 3
+)
+, d AS (SELECT leaf, tokens, count(DISTINCT doc_id) AS docs FROM f GROUP BY 1, 2)
+, p AS (
+  SELECT leaf, i, token, sum(docs) AS n FROM (SELECT leaf, docs, tokens[i] AS token, i FROM (SELECT *, unnest(range(1, len(tokens) + 1)) AS i FROM d))
+  GROUP BY 1, 2, 3
+)
+, b AS (
+  SELECT leaf, i, CASE WHEN n >= 0.5 * total AND token <> '<*>' THEN token END AS token FROM (
+    SELECT *, sum(n) OVER (PARTITION BY leaf, i) AS total, row_number() OVER (PARTITION BY leaf, i ORDER BY n DESC, token) AS r FROM p
+  ) WHERE r = 1
+)
+, s AS (
+  SELECT e.leaf, e.tokens, any_value(e.docs) AS docs,
+    10 * count(*) FILTER (e.token = b.token OR (b.token IS NULL AND e.token = '<*>')) >= 7 * count(*) AS alike
+  FROM (SELECT leaf, tokens, docs, i, tokens[i] AS token FROM (SELECT *, unnest(range(1, len(tokens) + 1)) AS i FROM d)) e
+  JOIN b ON e.leaf = b.leaf AND e.i = b.i GROUP BY 1, 2
+)
+, g AS (SELECT f.*, s.docs, s.alike FROM f JOIN s ON f.leaf = s.leaf AND f.tokens = s.tokens)
+, u AS (SELECT leaf, count(DISTINCT doc_id) AS support FROM g WHERE alike GROUP BY 1)
+, x AS (
+  SELECT DISTINCT doc_id, line FROM g LEFT JOIN u ON g.leaf = u.leaf WHERE docs >= 10 OR (alike AND support >= 10)
+)
+, k AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(x.line) AS n_dropped,
+    coalesce(string_agg(raw, chr(10) ORDER BY l.line) FILTER (x.line IS NULL), '') AS kept
+  FROM l LEFT JOIN x ON l.doc_id = x.doc_id AND l.line = x.line GROUP BY 1
+)
+SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM k"""
+
+
 def _mixing() -> str:
     return r"""
 WITH RECURSIVE s AS (
@@ -68,4 +112,4 @@ FROM p WHERE k > 0"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": _quality(), "op6_mixing": _mixing()}
+    return {"op3_quality_rules": _quality(), "op5_line_templates": _line_templates(), "op6_mixing": _mixing()}
