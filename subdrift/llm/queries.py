@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subdrift.llm import licenses, line_templates, mixing, quality, token_files
+from subdrift.llm import licenses, line_templates, mixing, private_data, quality, token_files
 from subdrift.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,18 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private_data.find_private(_table(spark, sf_dir, "documents"))
+    joined = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind in private_data.BASE]
+    return found.select(
+        "doc_id", *counts, F.sha2(joined("base_spans").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans")
+    )
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -57,5 +69,6 @@ def queries() -> dict[str, Query]:
         "op3_quality_rules": op3_quality_rules,
         "op5_line_templates": op5_line_templates,
         "op6_mixing": op6_mixing,
+        "op8_private_data": op8_private_data,
         "op10_token_files": op10_token_files,
     }
