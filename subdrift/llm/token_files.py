@@ -15,6 +15,7 @@ import re
 import sys
 import types
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +29,7 @@ from subdrift.llm.common import text_column
 
 END_ID = 1
 # The words of a worker's memo; it starts anew beyond.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 800_000
 
 FILE_SCHEMA = (
     "part int, segment int, n_ids long, doc_ids array<long>, n_tokens array<long>, "
@@ -87,11 +88,12 @@ class Encoder(dict):
 
     The tokenizer drops white space and never joins across it, so words are encoded one
     by one and remembered. Plain letters with closing punctuation need no normalising
-    but lower case and go straight to the model; everything else goes through the
-    whole tokenizer.
+    but lower case: each part goes straight to the model, once for all words it ends or
+    begins; everything else goes through the whole tokenizer.
     """
 
-    _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+    # Letters that lower case and NFC leave single, then ASCII punctuation but the apostrophe.
+    _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
     # Separators of str.split() that the tokenizer takes as ordinary characters.
     _ODD = re.compile("[\x1c-\x1f]")
 
@@ -109,13 +111,15 @@ class Encoder(dict):
         if plain is None:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         else:
-            ids = [t.id for piece in (plain[1].lower(), plain[2]) if piece for t in self._model(piece)]
-        self[word] = found = np.array(ids, "<u4").tobytes()
+            letters, marks = plain[1].lower(), plain[2]
+            if word != letters and word != marks:
+                self[word] = found = (self[letters] if letters else b"") + (self[marks] if marks else b"")
+                return found
+            spelt = word if word.isascii() else word.encode().decode("latin1").translate(self.alphabet)
+            ids = [t.id for t in self.tokenizer.model.tokenize(spelt)]
+        self[word] = found = array("I", ids).tobytes()
         return found
 
-    def _model(self, piece: str):
-        return self.tokenizer.model.tokenize(piece.encode().decode("latin1").translate(self.alphabet))
-
     def encode(self, text: str) -> bytes:
         if self._ODD.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
