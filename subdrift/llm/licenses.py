@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from subdrift.llm.common import steps, text_column, utf8
 from subdrift.llm.license_texts import PHRASES, TEMPLATES
+from subdrift.llm.suffix_automaton import SuffixAutomaton
 
 # ASCII letters in lower case, digits and every byte above ASCII make words.
 _WORDS = bytes(
@@ -45,56 +46,17 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_WORDS).split()
 
 
-class Automaton:
-    """A generalised suffix automaton over words.
-
-    ``follow[s]`` maps a word to the next state, ``link[s]`` leads to the state of the
-    longest suffix with other places, ``length[s]`` is the longest piece of the state;
-    ``places[s]`` holds the end of the piece in each text that has it (its first place).
-    """
+class Automaton(SuffixAutomaton):
+    """The automaton of some texts; the note of a state is the end of its pieces in each text
+    that has them (their first place)."""
 
     def __init__(self, texts: list[list[bytes]]):
-        self.follow: list[dict[bytes, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        self.places: list[dict[int, int]] = [{}]
+        super().__init__()
         for number, text in enumerate(texts):
-            state = 0
-            for end, word in enumerate(text, 1):
-                state = self._extend(state, word)
-                self._mark(state, number, end)
-
-    def _state(self, length: int, follow: dict, link: int, places: dict) -> int:
-        self.follow.append(follow)
-        self.length.append(length)
-        self.link.append(link)
-        self.places.append(places)
-        return len(self.link) - 1
-
-    def _extend(self, last: int, word: bytes) -> int:
-        known = self.follow[last].get(word)
-        if known is not None:
-            return known if self.length[known] == self.length[last] + 1 else self._split(last, word, known)
-        new = self._state(self.length[last] + 1, {}, 0, {})
-        while last >= 0 and word not in self.follow[last]:
-            self.follow[last][word] = new
-            last = self.link[last]
-        if last >= 0:
-            known = self.follow[last][word]
-            self.link[new] = known if self.length[known] == self.length[last] + 1 else self._split(last, word, known)
-        return new
-
-    def _split(self, last: int, word: bytes, known: int) -> int:
-        copy = self._state(self.length[last] + 1, dict(self.follow[known]), self.link[known], dict(self.places[known]))
-        self.link[known] = copy
-        while last >= 0 and self.follow[last].get(word) == known:
-            self.follow[last][word] = copy
-            last = self.link[last]
-        return copy
-
-    def _mark(self, state: int, text: int, end: int) -> None:
-        while state > 0 and text not in self.places[state]:
-            self.places[state][text] = end
-            state = self.link[state]
+            for end, state in enumerate(self.add(text), 1):
+                while state > 0 and number not in (self.note[state] or ()):
+                    self.note[state] = (self.note[state] or {}) | {number: end}
+                    state = self.link[state]
 
     def state_of(self, words: list[bytes]) -> int:
         state = 0
@@ -102,20 +64,6 @@ class Automaton:
             state = self.follow[state][word]
         return state
 
-    def statistics(self, words: list[bytes], first: int, stop: int) -> Iterator[tuple[int, int, int]]:
-        """(place, state, length) of the longest piece that ends with each word."""
-        follow, link, longest = self.follow, self.link, self.length
-        state = length = 0
-        for i in range(first, stop):
-            word = words[i]
-            while state and word not in follow[state]:
-                state = link[state]
-                length = longest[state]
-            if word in follow[state]:
-                state = follow[state][word]
-                length += 1
-            yield i, state, length
-
 
 class Scanner:
     """The automaton with its phrases, ready for documents."""
@@ -181,7 +129,7 @@ class Scanner:
         gap = self.chaining.max_gap
         by_text: dict[int, list] = {}
         for end, state, length in pieces:
-            for text, place in self.automaton.places[state].items():
+            for text, place in self.automaton.note[state].items():
                 if text < len(self.sizes):
                     by_text.setdefault(text, []).append((end, place, length))
         spans = []

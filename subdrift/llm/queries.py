@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subdrift.llm import licenses, line_templates, mixing, private_data, quality, token_files
+from subdrift.llm import licenses, line_templates, mixing, private_data, quality, repeated_words, token_files
 from subdrift.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,11 @@ def op8_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeated_words.remove_repeated_words(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -70,5 +75,6 @@ def queries() -> dict[str, Query]:
         "op5_line_templates": op5_line_templates,
         "op6_mixing": op6_mixing,
         "op8_private_data": op8_private_data,
+        "op9_repeated_words": op9_repeated_words,
         "op10_token_files": op10_token_files,
     }

@@ -111,5 +111,23 @@ SELECT doc_id, source, k AS copy, md5('order 17:' || coalesce(doc_id::VARCHAR, '
 FROM p WHERE k > 0"""
 
 
+def _repeated_words() -> str:
+    return rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words FROM documents)
+, w AS (
+  SELECT doc_id, i, md5(array_to_string(words[i:i + 12], ' ')) AS h
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM t WHERE len(words) >= 13)
+)
+, r AS (SELECT doc_id, i FROM w QUALIFY min(doc_id) OVER (PARTITION BY h) < doc_id)
+, c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM r)
+, k AS (SELECT doc_id, i, words[i] AS word FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM t))
+, g AS (
+  SELECT k.doc_id, count(c.i) AS n_removed, string_agg(word, ' ' ORDER BY k.i) FILTER (c.i IS NULL) AS kept
+  FROM k LEFT JOIN c ON k.doc_id = c.doc_id AND k.i = c.i GROUP BY 1
+)
+SELECT t.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN g ON t.doc_id = g.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": _quality(), "op5_line_templates": _line_templates(), "op6_mixing": _mixing()}
+    return {"op3_quality_rules": _quality(), "op5_line_templates": _line_templates(), "op6_mixing": _mixing(), "op9_repeated_words": _repeated_words()}
