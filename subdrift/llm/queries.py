@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subdrift.llm import licenses, line_templates, mixing, private_data, quality, repeated_words, token_files
+from subdrift.llm import licenses, line_templates, mixing, private_data, quality, repeated_bytes, repeated_words, token_files
 from subdrift.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes.remove_repeated_bytes(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = private_data.find_private(_table(spark, sf_dir, "documents"))
     joined = lambda spans: F.array_join(
@@ -74,6 +78,7 @@ def queries() -> dict[str, Query]:
         "op3_quality_rules": op3_quality_rules,
         "op5_line_templates": op5_line_templates,
         "op6_mixing": op6_mixing,
+        "op7_repeated_bytes": op7_repeated_bytes,
         "op8_private_data": op8_private_data,
         "op9_repeated_words": op9_repeated_words,
         "op10_token_files": op10_token_files,
