@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subdrift.llm import licenses, line_templates, mixing, private_data, quality, repeated_bytes, repeated_words, token_files
+from subdrift.llm import jaccard, licenses, line_templates, mixing, private_data, quality, repeated_bytes, repeated_words, token_files
 from subdrift.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("has_long_repeat", long_repeat).drop("longest_repeat", "n_maximal_repeats")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_templates.drop_templates(_table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -76,6 +80,7 @@ def queries() -> dict[str, Query]:
     return {
         "op2_license_scan": op2_license_scan,
         "op3_quality_rules": op3_quality_rules,
+        "op4_jaccard_join": op4_jaccard_join,
         "op5_line_templates": op5_line_templates,
         "op6_mixing": op6_mixing,
         "op7_repeated_bytes": op7_repeated_bytes,

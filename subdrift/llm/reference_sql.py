@@ -42,6 +42,30 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, cove
 FROM b"""
 
 
+def _jaccard() -> str:
+    return rf"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS words
+  FROM documents
+)
+, s AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(words[i:i + 4], ' ')) AS h
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM t WHERE len(words) > 0)
+)
+, n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1)
+, p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2)
+, e AS (
+  SELECT a, b FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id WHERE 100 * shared >= 75 * (x.n + y.n - shared)
+)
+, r AS (
+  SELECT doc_id AS node, doc_id AS root FROM documents
+  UNION
+  SELECT e.b, r.root FROM r JOIN e ON r.node = e.a
+)
+SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(root) AS component_id
+FROM t LEFT JOIN n ON t.doc_id = n.doc_id JOIN r ON t.doc_id = r.node GROUP BY 1, 2"""
+
+
 def _line_templates() -> str:
     return rf"""
 WITH l AS (
@@ -130,4 +154,4 @@ FROM t LEFT JOIN g ON t.doc_id = g.doc_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": _quality(), "op5_line_templates": _line_templates(), "op6_mixing": _mixing(), "op9_repeated_words": _repeated_words()}
+    return {"op3_quality_rules": _quality(), "op4_jaccard_join": _jaccard(), "op5_line_templates": _line_templates(), "op6_mixing": _mixing(), "op9_repeated_words": _repeated_words()}
