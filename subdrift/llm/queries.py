@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subdrift.llm import jaccard, licenses, line_templates, mixing, private_data, quality, repeated_bytes, repeated_words, token_files
+from subdrift.llm import decontaminate, jaccard, licenses, line_templates, mixing, private_data, quality, repeated_bytes, repeated_words, token_files
 from subdrift.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
     spans = F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["start"].cast("string"), s["end"].cast("string")))
@@ -78,6 +83,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_decontaminate": op1_decontaminate,
         "op2_license_scan": op2_license_scan,
         "op3_quality_rules": op3_quality_rules,
         "op4_jaccard_join": op4_jaccard_join,
@@ -87,4 +93,5 @@ def queries() -> dict[str, Query]:
         "op8_private_data": op8_private_data,
         "op9_repeated_words": op9_repeated_words,
         "op10_token_files": op10_token_files,
+        "pipeline": corpus_pipeline.run,
     }
