@@ -18,6 +18,7 @@ from subdrift.operators.monitor import (
     capture_latency,
     end_to_end_latency,
     end_to_end_latency_cause,
+    hot_scopes,
     recent_exceptions,
     recent_heartbeats,
     silent_queues,
@@ -40,6 +41,7 @@ __all__ = [
     "end_to_end_latency",
     "end_to_end_latency_cause",
     "findings",
+    "hot_scopes",
     "normalise",
     "read_table",
     "recent_exceptions",

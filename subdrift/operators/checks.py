@@ -19,14 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from subdrift.functions import clauses, texts
-from subdrift.operators.skew import (
-    MAX_SALTS,
-    ROWS_PER_SALT,
-    SALT,
-    add_salt,
-    copy_per_salt,
-    hot_keys,
-)
+from subdrift.operators.skew import SALT, add_salt, copy_per_salt, hot_keys
 from subdrift.schemas import CAPTURE_SCHEMA, FINDINGS, SERVER
 from subdrift.sources import Snapshot
 
@@ -44,13 +37,14 @@ _QUEUE_SALT = "_queue_salt"
 @dataclass(frozen=True)
 class Options:
     """Report language, delimiter of the add-column signal, generator mode of
-    C-CNS, its debug prefix, and the row count from which a key counts as hot."""
+    C-CNS, its debug prefix, and the row count from which a key counts as hot (by default
+    a share of the data, see ``skew``)."""
 
     lang: str = "EN"
     addcol_delimiter: str = texts.ADDCOL_DELIMITER
     mode: str = "plain"
     flag_prefix: bool = False
-    rows_per_salt: int = ROWS_PER_SALT
+    rows_per_salt: int | None = None
 
     def __post_init__(self):
         if self.lang not in texts.LANGUAGES:
@@ -207,7 +201,7 @@ def _with_queue(
     queues = copy_per_salt(snapshot.sendqueues, hot, _QUEUE_SALT).withColumn("_queued", F.lit(True))
     salted = add_salt(subs, hot, _QUEUE_SALT)
     if only is not None:
-        spread = F.pmod(F.xxhash64(*_SUBSCRIPTION), F.lit(MAX_SALTS)).cast("int")
+        spread = F.hash(*_SUBSCRIPTION)
         salted = salted.withColumns(
             {
                 "sendq": F.when(only, F.col("sendq")),

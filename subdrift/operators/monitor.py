@@ -14,17 +14,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subdrift.functions import grading
-from subdrift.operators.params import effective_parms, one_row_per_scope
-from subdrift.operators.skew import SALT
+from subdrift.operators.params import effective_parms, no_second_rows
+from subdrift.operators.skew import SALT, hot_keys
 from subdrift.schemas import PARM_APPLY, PARM_CAPTURE, SERVER, ParmTable
 
 # Fixed values of ours: the sample kinds.
 EXCEPTION = "error"
 HEARTBEAT = "view"
 
-MAX_BROADCAST_SCOPES = 10_000
-SCOPE_SALTS = 32
-
+# The columns of a sample, for spreading the rows of a hot scope.
+_SAMPLE = ("queue", "sample_ts", "latency_s", "qdepth", "kind")
+# What is joined to samples carries this prefix, so their own columns may have any other name.
+_OWN = "_parm_"
 _KEYS = (SERVER,)
 
 
@@ -34,30 +35,52 @@ def with_parms(
     table: ParmTable,
     names: list[str],
     keys: tuple[str, ...] = _KEYS,
-    max_broadcast_scopes: int = MAX_BROADCAST_SCOPES,
+    hot: DataFrame | None = None,
+    strategy: str | None = None,
 ) -> DataFrame:
-    """Samples with the named parameters of their scope.
-
-    The parameter side (one short row per scope) is broadcast if a bounded count shows
-    at most ``max_broadcast_scopes`` rows. Beyond that it is copied per salt and
-    shuffled, so that a scope with a third of all samples is spread over many tasks.
+    """Samples with the named parameters of their scope, as columns ``_parm_<name>``.
+
+    Nothing runs here, and the plan is the same at any number of scopes. Spark broadcasts
+    the parameters if its own check finds their bytes small, in a stream anew for every
+    micro-batch; otherwise both sides are shuffled by scope and adaptive execution splits
+    the partitions of hot scopes. Where it does not run (streams, or switched off), ``hot``
+    names the hot scopes and the salts of each (key columns and ``salts``, a short table; see
+    ``hot_scopes``): their samples are spread over as many tasks, their parameters copied.
+    ``strategy`` is a join hint of Spark for the side of the parameters, where its own choice
+    does not suit.
     """
-    small = parms.limit(max_broadcast_scopes + 1).count() <= max_broadcast_scopes
-    scoped = one_row_per_scope(effective_parms(parms, table, keys=keys), table, keys).select(*keys, *names)
-    if small:
-        joined = samples.join(F.broadcast(scoped), list(keys), "left")
-    else:
-        # Content alone would give copies of one sample the same salt; the input
-        # partition spreads those too, and a repeated task gets the same number again.
-        spread = F.xxhash64(*[samples[c] for c in samples.columns]) + F.spark_partition_id()
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SCOPE_SALTS - 1)))
-        joined = (
-            samples.withColumn(SALT, F.pmod(spread, F.lit(SCOPE_SALTS)).cast("int"))
-            .join(scoped.withColumn(SALT, salts), [*keys, SALT], "left")
-            .drop(SALT)
-        )
-    defaults = {n: F.coalesce(F.col(n), F.lit(table.defaults[n])) for n in names}
-    return joined.withColumns(defaults)
+    scoped = effective_parms(parms, table, keys=keys).where(no_second_rows(parms, table, keys))
+    scoped = scoped.select(*[F.col(c).alias(_OWN + c) for c in (*keys, *names)])
+    joined = [F.col(k) == F.col(_OWN + k) for k in keys]
+    if hot is not None:
+        salts = hot.select(*[F.col(k).alias("_hot_" + k) for k in keys], F.col("salts").alias("_salts"))
+        known = [c for c in _SAMPLE if c in samples.columns]
+        # The input partition spreads copies of one sample too, and a repeated task gets
+        # the same number again. The numbers are hashed together, never added.
+        spread = F.pmod(F.xxhash64(*known, F.spark_partition_id()), F.coalesce("_salts", F.lit(1)))
+        samples = _beside(samples, salts, keys, "").withColumn(_OWN + "spread", spread.cast("int")).drop(*salts.columns)
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+        scoped = _beside(scoped, salts, keys, _OWN).withColumn(_OWN + SALT, copies).drop(*salts.columns)
+        joined.append(F.col(_OWN + "spread") == F.col(_OWN + SALT))
+    defaults = {_OWN + n: F.coalesce(F.col(_OWN + n), F.lit(table.defaults[n])) for n in names}
+    if strategy is not None:
+        scoped = scoped.hint(strategy)
+    return samples.join(scoped, joined, "left").withColumns(defaults)
+
+
+def _beside(df: DataFrame, salts: DataFrame, keys: tuple[str, ...], prefix: str) -> DataFrame:
+    return df.join(F.broadcast(salts), [F.col(prefix + k) == F.col("_hot_" + k) for k in keys], "left")
+
+
+def hot_scopes(samples: DataFrame, rows_per_salt: int, keys: tuple[str, ...] = _KEYS) -> DataFrame:
+    """Scopes with more than ``rows_per_salt`` samples and the salts of each, by exact count.
+    Their number is bounded as described at ``hot_keys``."""
+    counted = hot_keys(samples, list(keys), rows_per_salt)
+    return counted.select(*[F.col("_hot_" + k).alias(k) for k in keys], F.col("_salts").alias("salts"))
+
+
+def _parm(name: str) -> Column:
+    return F.col(_OWN + name)
 
 
 def end_to_end_latency(samples: DataFrame, parms: DataFrame, keys: tuple[str, ...] = _KEYS, **join) -> DataFrame:
@@ -75,7 +98,7 @@ def end_to_end_latency_cause(
     graded = _latency(
         samples, parms, PARM_APPLY, "alat_thresh_warning", "alat_thresh_error", limits, keys, join
     )
-    cause = grading.latency_cause(F.col("sev"), F.col("qdepth"), *[F.col(n) for n in limits])
+    cause = grading.latency_cause(F.col("sev"), F.col("qdepth"), *[_parm(n) for n in limits])
     return graded.select(*samples.columns, "sev", cause.alias("cause"))
 
 
@@ -89,7 +112,7 @@ def capture_latency(samples: DataFrame, parms: DataFrame, keys: tuple[str, ...]
 def _latency(samples, parms, table, warning, error, more, keys, join):
     scoped = with_parms(samples, parms, table, [warning, error, *more], keys, **join)
     return scoped.withColumn(
-        "sev", grading.latency_severity(F.col("latency_s"), F.col(warning), F.col(error))
+        "sev", grading.latency_severity(F.col("latency_s"), _parm(warning), _parm(error))
     )
 
 
@@ -128,17 +151,27 @@ def recent_heartbeats(
 
 
 def silent_queues(
-    queues: DataFrame,
+    queues: DataFrame | None,
     samples: DataFrame,
     parms: DataFrame,
     as_of: str | Column,
     keys: tuple[str, ...] = _KEYS,
     **join,
 ) -> DataFrame:
-    """Queues of ``queues`` without a heartbeat in the window (our derived row)."""
+    """Queues of ``queues`` without a heartbeat in the window (our derived row).
+
+    With ``None`` they are the queues of the samples, and one pass over them finds the queues
+    and counts their heartbeats.
+    """
     names = [*keys, "queue"]
-    seen = recent_heartbeats(samples, parms, as_of, keys, **join)
-    return queues.select(*names).distinct().join(seen, names, "left_anti")
+    if queues is not None:
+        seen = recent_heartbeats(samples, parms, as_of, keys, **join)
+        return queues.select(*names).distinct().join(seen, names, "left_anti")
+    window, now = "heartbeat_time_window", timestamp(as_of)
+    scoped = with_parms(samples, parms, PARM_APPLY, [window], keys, **join)
+    beat = (F.col("kind") == HEARTBEAT) & grading.in_window(F.col("sample_ts"), now, grading.minutes(_parm(window)))
+    counted = scoped.groupBy(*names).agg(F.count_if(beat).alias(_OWN + "beats"))
+    return counted.where(F.col(_OWN + "beats") == 0).select(*names)
 
 
 def _recent(rows, parms, window, unit, as_of, keys, join):
@@ -149,7 +182,7 @@ def _recent(rows, parms, window, unit, as_of, keys, join):
     horizon = effective_parms(parms, PARM_APPLY, keys=keys).select(now - unit(longest)).scalar()
     bounded = rows.where((F.col("sample_ts") > horizon) & (F.col("sample_ts") <= now))
     scoped = with_parms(bounded, parms, PARM_APPLY, [window], keys, **join)
-    return scoped.where(grading.in_window(F.col("sample_ts"), now, unit(F.col(window)))).select(
+    return scoped.where(grading.in_window(F.col("sample_ts"), now, unit(_parm(window)))).select(
         *rows.columns
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,12 +53,11 @@ def row_violations(
     )
 
 
-def one_row_per_scope(parms: DataFrame, table: ParmTable, keys: tuple[str, ...] = (SERVER,)) -> DataFrame:
-    """The parameters with a guard: a scope with a second row fails the job, as the
-    source refuses that row. Use ``row_violations`` to list such scopes instead."""
-    names = [f.name for f in table.schema]
-    guarded = parms.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.max(n).alias(n) for n in names]
-    )
-    refusal = F.raise_error(F.lit(texts.SECOND_PARM_ROW.format(table=table.name))).cast("boolean")
-    return guarded.where(F.when(F.col("_n") > 1, refusal).otherwise(F.lit(True))).drop("_n")
+def no_second_rows(parms: DataFrame, table: ParmTable, keys: tuple[str, ...] = (SERVER,)) -> Column:
+    """A condition that holds, or fails the job if a scope has a second row, as the source
+    refuses that row; the message names such a scope. Use ``row_violations`` to list them all."""
+    counted = parms.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    scope = F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), F.coalesce(F.col(k).cast("string"), F.lit("NULL"))) for k in keys])
+    refused = counted.select(F.min(scope)).scalar()
+    refusal = F.raise_error(F.concat(F.lit(texts.SECOND_PARM_ROW.format(table=table.name) + ": "), refused)).cast("boolean")
+    return F.when(refused.isNotNull(), refusal).otherwise(F.lit(True))

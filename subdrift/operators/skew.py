@@ -8,8 +8,9 @@ nothing is copied for them, and results never depend on which keys are hot.
 
 ``hot_keys`` counts exactly (no sample), so both sides of a join agree on the
 salts even when the plan evaluates the count twice or a lost executor makes
-Spark repeat it. It holds at most ``MAX_HOT_KEYS`` rows whatever the data size,
-which is what allows broadcasting it.
+Spark repeat it. Sizes follow the data: a key is hot if it has more rows than half an
+average shuffle partition, and gets as many salts as it has such halves. There are at
+most two hot keys per partition then, which is what allows broadcasting them.
 """
 
 from __future__ import annotations
@@ -20,29 +21,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALT = "_salt"
-ROWS_PER_SALT = 500_000
-MAX_SALTS = 4096
-MAX_HOT_KEYS = 1000
+# Of an average partition: what a salt holds, and the least that a caller may ask for.
+_WANTED, _LEAST = 2, 8
 _SALTS = "_salts"
 _HOT = "_hot_"
 
 
-def hot_keys(df: DataFrame, keys: list[str], rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+def hot_keys(df: DataFrame, keys: list[str], rows_per_salt: int | None = None) -> DataFrame:
     """Keys with more than ``rows_per_salt`` rows and the number of salts each needs.
 
-    Only the 1000 heaviest are kept: any other key holds under a thousandth of the
-    rows and needs no salt.
+    By default that is half an average shuffle partition. A smaller number than an eighth is
+    raised to it, so there are eight hot keys per partition at most.
     """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return (
-        counted.where(F.col("_rows") > rows_per_salt)
-        .orderBy(F.col("_rows").desc(), *keys)
-        .limit(MAX_HOT_KEYS)
-        .select(
-            *[F.col(k).alias(_HOT + k) for k in keys],
-            F.least(F.ceil(F.col("_rows") / rows_per_salt), F.lit(MAX_SALTS)).cast("int").alias(_SALTS),
-        )
-    )
+    share = _WANTED if rows_per_salt is None else _LEAST
+    fair = F.ceil(F.coalesce(df.select(F.count(F.lit(1))).scalar(), F.lit(0)) / F.lit(share * partitions))
+    wanted = fair if rows_per_salt is None else F.greatest(fair, F.lit(rows_per_salt))
+    salts = F.ceil(F.col("_rows") / wanted).cast("int")
+    return counted.where(F.col("_rows") > wanted).select(*[F.col(k).alias(_HOT + k) for k in keys], salts.alias(_SALTS))
 
 
 def add_salt(df: DataFrame, hot: DataFrame, salt: str = SALT) -> DataFrame:

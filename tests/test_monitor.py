@@ -99,13 +99,69 @@ def test_many_scopes_are_shuffled_with_the_same_result(spark):
         F.col("id").alias("sample_id"), (F.col("id") % 500).cast("double").alias("latency_s"),
     )
     data = data.unionByName(data.where("sample_id < 100"))
-    broadcast = sd.end_to_end_latency(data, parms)
-    shuffled = sd.end_to_end_latency(data, parms, max_broadcast_scopes=10)
-    assert contents(broadcast) == contents(shuffled)
-    assert shuffled.count() == 5100
-    plan = shuffled._jdf.queryExecution().optimizedPlan().toString()
-    assert "strategy=broadcast" not in plan and "_salt" in plan
-    assert "strategy=broadcast" in broadcast._jdf.queryExecution().optimizedPlan().toString()
+    plain = sd.end_to_end_latency(data, parms)
+    hot = sd.hot_scopes(data, 200)
+    spread = sd.end_to_end_latency(data, parms, hot=hot, strategy="merge")
+    assert [tuple(r) for r in hot.collect()] == [("S7", 9)]
+    assert contents(plain) == contents(spread)
+    assert spread.count() == 5100
+    plan = spread._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "_parm__salt" in plan
+    assert "SortMergeJoin" not in plain._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_samples_may_have_any_further_columns(spark, shipped, shuffled):
+    """A map cannot be hashed or compared, and a name may be that of a threshold."""
+    data = latencies(spark, 599, 700, 4000).select(
+        "*", F.create_map(F.lit("k"), "sample_id").alias("tags"), F.lit("x").alias("alat_thresh_error"), F.lit(1).alias("_salt")
+    )
+    hot = {"hot": spark.createDataFrame([("S", 3)], "server string, salts int"), "strategy": "merge"} if shuffled else {}
+    graded = sd.end_to_end_latency(data, shipped, **hot)
+    assert graded.columns == [*data.columns, "sev"]
+    assert [(r.tags["k"], r.alat_thresh_error, r._salt, r.sev) for r in graded.orderBy("sample_id").collect()] == [
+        (0, "x", 1, "OK"), (1, "x", 1, "WARNING"), (2, "x", 1, "ERROR")
+    ]
+
+
+def test_building_a_grading_runs_nothing(spark, shipped):
+    data = latencies(spark, 700)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "")
+    sd.end_to_end_latency_cause(data, shipped)
+    sd.recent_exceptions(data, shipped, AS_OF)
+    sd.silent_queues(None, data, shipped, AS_OF)
+    sd.end_to_end_latency(data, shipped, hot=sd.hot_scopes(data, 10))
+    assert tracker.getJobIdsForGroup("building") == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_the_refusal_names_the_scope(spark, shipped):
+    twice = shipped.unionByName(shipped)
+    with pytest.raises(PySparkException, match="QREP_MON_APPLY_PARM: server=S"):
+        sd.end_to_end_latency(latencies(spark, 700), twice).collect()
+
+
+def test_hot_scopes_are_split_by_the_adaptive_skew_join(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "5k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        server = F.when(F.col("id") % 3 == 0, "S7").otherwise(F.concat(F.lit("S"), F.col("id").cast("string")))
+        data = spark.range(0, 60000, 1, 8).select(server.alias("server"), (F.col("id") % 5000).cast("double").alias("latency_s"))
+        parms = spark.range(500).select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("server"))
+        graded = sd.end_to_end_latency(data, parms)
+        graded.collect()
+        assert "skew=true" in graded._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
 
 
 def test_exception_window(spark, shipped):
@@ -134,8 +190,9 @@ def test_heartbeats_and_silent_queues(spark, shipped):
     assert rows(seen, "server", "queue", "heartbeats", "last_seen") == [
         ("S", "Q1", 2, NOW), ("S", "Q4", 1, NOW - dt.timedelta(minutes=5))
     ]
-    silent = sd.silent_queues(all_samples, all_samples, shipped, AS_OF)
-    assert rows(silent, "server", "queue") == [("S", "Q2"), ("S", "Q3")]
+    for queues in (all_samples, None):
+        silent = sd.silent_queues(queues, all_samples, shipped, AS_OF)
+        assert rows(silent, "server", "queue") == [("S", "Q2"), ("S", "Q3")]
 
 
 def test_the_window_reaches_the_scan(spark, shipped, scratch):

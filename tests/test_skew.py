@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from subdrift import Options, Snapshot, findings
 from subdrift.operators.checks import column_drift, table_drift
-from subdrift.operators.skew import MAX_HOT_KEYS, SALT, add_salt, copy_per_salt, hot_keys
+from subdrift.operators.skew import SALT, add_salt, copy_per_salt, hot_keys
 from tests.helpers import contents
 
 SUBS = 9000
@@ -108,9 +108,22 @@ def test_only_heavy_keys_are_hot(spark):
     assert hot_keys(df, ["k"], 300).count() == 0
 
 
-def test_number_of_hot_keys_is_bounded(spark):
-    df = spark.range(5000).select((F.col("id") % 2500).alias("k"), "id")
-    assert hot_keys(df, ["k"], 1).count() == MAX_HOT_KEYS
+def test_hot_keys_follow_the_size_of_the_data(spark):
+    """Half an average partition is hot: with 8 partitions, a sixteenth of all rows."""
+    df = spark.range(1600).select(F.when(F.col("id") < 500, 0).when(F.col("id") < 590, 1).otherwise(F.col("id")).alias("k"))
+    assert [tuple(r) for r in hot_keys(df, ["k"]).collect()] == [(0, 5)]
+    assert hot_keys(df, ["k"], 1).count() == 2  # raised to an eighth of a partition
+    assert hot_keys(df.limit(0), ["k"]).count() == 0
+
+
+def test_more_than_a_thousand_hot_keys_are_all_split(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "2000")
+    try:
+        df = spark.range(60000).select((F.col("id") % 1500).alias("k"), "id")
+        hot = hot_keys(df, ["k"], 10)
+        assert hot.where("_salts = 4").count() == 1500
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
 def test_salts_cover_all_partners(spark):

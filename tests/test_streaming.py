@@ -30,7 +30,7 @@ def test_shuffled_parameters_work_on_a_stream_too(spark, scratch):
     samples.write.parquet(f"{scratch}/in")
     grade_new_files(
         samples_from_files(spark, f"{scratch}/in", samples.schema),
-        lambda s: sd.capture_latency(s, parms, max_broadcast_scopes=5),
+        lambda s: sd.capture_latency(s, parms, hot=sd.hot_scopes(samples, 5), strategy="merge"),
         f"{scratch}/out",
         f"{scratch}/checkpoint",
     )

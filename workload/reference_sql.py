@@ -376,4 +376,9 @@ def oracle_sql() -> dict[str, str]:
         "c_lat_fleet": _latency("clat", fleet=True),
         "a_lat_cause_stream": _cause(fleet=True),
         "c_lat_stream": _latency("clat", fleet=True),
+        "a_lat_cause_fleet_shuffled": _cause(fleet=True),
+        "a_exc_fleet_shuffled": _exceptions(fleet=True),
+        "c_lat_stream_shuffled": _latency("clat", fleet=True),
+        "findings_salted": _check(_all(), fleet=True),
+        "findings_generator_salted": _check(_all(generator=True), fleet=True),
     }

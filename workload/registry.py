@@ -36,10 +36,15 @@ def _report(
     return run
 
 
-def _graded(grade, fleet: bool, table=sd.PARM_APPLY, as_of: bool = False) -> Query:
+def _graded(grade, fleet: bool, table=sd.PARM_APPLY, as_of: bool = False, shuffled: bool = False) -> Query:
+    """With ``shuffled`` nothing is broadcast, and scopes with over a hundred samples are salted."""
+
     def run(spark, sf):
         more = [inputs.AS_OF] if as_of else []
-        return grade(inputs.samples(spark, sf, fleet), _parms(spark, sf, table, fleet), *more)
+        samples, parms = inputs.samples(spark, sf, fleet), _parms(spark, sf, table, fleet)
+        if not shuffled:
+            return grade(samples, parms, *more)
+        return grade(samples, parms, *more, hot=sd.hot_scopes(samples, 100), strategy="merge")
 
     return run
 
@@ -54,9 +59,7 @@ def _parms(spark, sf, table, fleet):
 def _silent(fleet: bool) -> Query:
     def run(spark, sf):
         samples = inputs.samples(spark, sf, fleet)
-        return sd.silent_queues(
-            samples, samples, _parms(spark, sf, sd.PARM_APPLY, fleet), inputs.AS_OF
-        )
+        return sd.silent_queues(None, samples, _parms(spark, sf, sd.PARM_APPLY, fleet), inputs.AS_OF)
 
     return run
 
@@ -89,7 +92,7 @@ def _stored(options: Options = Options()) -> Query:
     )
 
 
-def _streamed(grade, table) -> Query:
+def _streamed(grade, table, shuffled: bool = False) -> Query:
     """The events table read as a stream, graded, and written to the shared folder."""
 
     def run(spark, sf):
@@ -97,10 +100,13 @@ def _streamed(grade, table) -> Query:
         events = samples_from_files(
             spark, sf, inputs.read(spark, sf, "events").schema, pathGlobFilter="events.parquet"
         )
-        parms = _parms(spark, sf, table, fleet=True)
+        parms, more = _parms(spark, sf, table, fleet=True), {}
+        if shuffled:
+            # The scopes that were hot in earlier samples, as a stream cannot be counted.
+            more = {"hot": sd.hot_scopes(inputs.samples(spark, sf, fleet=True), 100), "strategy": "merge"}
         grade_new_files(
             inputs.samples_of(events, fleet=True),
-            lambda samples: grade(samples, parms),
+            lambda samples: grade(samples, parms, **more),
             f"{base}/graded",
             f"{base}/checkpoint",
         )
@@ -122,6 +128,9 @@ def queries() -> dict[str, Query]:
         "findings_fleet": _findings(fleet=True),
         "findings_fleet_generator": _findings(GENERATOR, fleet=True),
         "findings_fleet_stored": _stored(GENERATOR),
+        # Every table and queue with over fifty subscriptions is salted here.
+        "findings_salted": _findings(Options(rows_per_salt=50), fleet=True),
+        "findings_generator_salted": _findings(Options(mode="generator", rows_per_salt=50), fleet=True),
         "report": _report(),
         "report_de": _report(Options(lang="DE")),
         "report_de_generator": _report(Options(lang="DE", mode="generator")),
@@ -148,4 +157,7 @@ def queries() -> dict[str, Query]:
         "c_lat_fleet": _graded(sd.capture_latency, True, sd.PARM_CAPTURE),
         "a_lat_cause_stream": _streamed(sd.end_to_end_latency_cause, sd.PARM_APPLY),
         "c_lat_stream": _streamed(sd.capture_latency, sd.PARM_CAPTURE),
+        "a_lat_cause_fleet_shuffled": _graded(sd.end_to_end_latency_cause, True, shuffled=True),
+        "a_exc_fleet_shuffled": _graded(sd.recent_exceptions, True, as_of=True, shuffled=True),
+        "c_lat_stream_shuffled": _streamed(sd.capture_latency, sd.PARM_CAPTURE, shuffled=True),
     }
