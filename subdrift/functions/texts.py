@@ -15,7 +15,7 @@ ADDCOL_DELIMITER = ";"
 MESSAGES = {
     "EN": {
         "C-TNF": "QSUB {subname} ({raw_state}) for source table {owner}.{table}, STATE={state}, exists, "
-        "but the source table does not exist in DB2! {action}emove the subscription.",
+        "but the source table does not exist in DB2! {action} the subscription.",
         "C-CNF": "QSUB {subname} ({raw_state}) contains source column {owner}.{table}.{column} "
         "but the column does not exist in DB2!  Modify the subscription.",
         "C-CNS": "QSUB {subname} ({raw_state}){clause} does not contain source col {owner}.{table}.{column}"
@@ -25,7 +25,7 @@ MESSAGES = {
     },
     "DE": {
         "C-TNF": "QSUB {subname} ({raw_state}) fuer Quell-Tabelle {owner}.{table}, STATE={state}, existiert, "
-        "aber die Tabelle exitiert nicht in DB2! {action}ntferne die Subscription.",
+        "aber die Tabelle exitiert nicht in DB2! {action} die Subscription.",
         "C-CNF": "QSUB {subname} ({raw_state}) enthaelt Quell-Spalte {owner}.{table}.{column} "
         "aber die Spalte existiert nicht in DB2!  Die Subscription ist anzupassen.",
         "C-CNS": "QSUB {subname} ({raw_state}){clause} enthaelt die Quell-Spalte {owner}.{table}.{column}"
@@ -35,8 +35,8 @@ MESSAGES = {
     },
 }
 TABLE_GONE_ACTION = {
-    "EN": {"active": "Deactivate and r", "other": "R"},
-    "DE": {"active": "Deactiviere und e", "other": "E"},
+    "EN": {"active": "Deactivate and remove", "other": "Remove"},
+    "DE": {"active": "Deactiviere und entferne", "other": "Entferne"},
 }
 CLAUSE_NOTE = {"EN": " with TRGCOLS {keyword}", "DE": " mit TRGCOLS {keyword}"}
 REPAIRS = {

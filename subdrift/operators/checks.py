@@ -90,7 +90,7 @@ def data_capture_missing(snapshot: Snapshot, options: Options = Options()) -> Da
     A NULL flag is not reported.
     """
     subs = Subscriptions(snapshot, options)
-    unflagged = subs.tables(snapshot.tables.where(F.col("data_capture") != "Y"))
+    unflagged = subs.tables(snapshot.unflagged_tables())
     return _findings(
         subs.rows.join(unflagged, [*_TABLE, SALT], "left_semi"), [_capture_off()], options
     )

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,8 @@ def read_table(
 
     ``fmt`` is any Spark source: parquet, orc, json, csv, or jdbc (no path; pass
     ``url``, ``dbtable`` and, for a parallel read, ``partitionColumn`` and its
-    bounds as options). CSV is read with a header and without type inference.
+    bounds as options; a live table must go through ``Snapshot.stored`` first, as one plan
+    reads a table more than once and has to find the same rows). CSV is read with a header and without type inference.
     Give a ``schema`` where the server names in partition folders look like numbers,
     or Spark reads ``server=007`` as 7.
     """
@@ -41,6 +43,7 @@ def normalise(
     server: str | Column | None = None,
     capture_schema: str | Column | None = None,
     unique: bool = False,
+    servers: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """Bring a raw snapshot into the library's shape.
 
@@ -49,7 +52,8 @@ def normalise(
     columns where the snapshot lacks them, and drops repeated rows unless ``unique``
     says there are none. Copies are combined before they are shuffled, so a row copied
     very often costs no more than any other in the joins that follow; a single
-    catalogue export has primary keys and can save that shuffle.
+    catalogue export has primary keys and can save that shuffle. ``servers`` keeps the rows
+    of those servers only, by a condition that reaches the scan.
     """
     spec = INPUT_TABLES[table]
     present = {c.lower(): c for c in df.columns}
@@ -72,10 +76,28 @@ def normalise(
             missing.append(source_name)
     if missing:
         raise ValueError(f"snapshot table {table!r} lacks the columns {missing}; it has {df.columns}")
-    clean = df.select(selected)
+    if servers is not None:
+        if given[SERVER] is None:
+            df = df.where(_raw_is_one_of(df, present[SERVER], servers))
+        clean = df.select(selected).where(F.col(SERVER).isin(*servers))
+    else:
+        clean = df.select(selected)
     return clean if unique or not spec.drop_copies else clean.distinct()
 
 
+def _raw_is_one_of(df: DataFrame, name: str, values: tuple[str, ...]) -> Column:
+    """What follows for a raw text from its being one of ``values`` up to trailing blanks.
+
+    Unlike a comparison of the trimmed text it can be pushed into a scan: a value with
+    blanks behind it lies between the value and the value with ``!``, the character
+    after the blank.
+    """
+    if not isinstance(df.schema[name].dataType, T.StringType):
+        return F.lit(True)
+    ranges = [(df[name] >= v) & (df[name] < v + "!") for v in values]
+    return reduce(lambda a, b: a | b, ranges, F.lit(False))
+
+
 def _as_column(value: str | Column) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
@@ -94,15 +116,21 @@ class Snapshot:
     tables: DataFrame
     columns: DataFrame
     q_base: DataFrame | None = None
+    # The raw tables and how they were normalised, for conditions that must reach their scans.
+    origin: tuple[dict[str, DataFrame], dict] | None = field(default=None, repr=False, compare=False)
 
     @classmethod
     def of(
-        cls, raw: dict[str, DataFrame], server=None, capture_schema=None, unique: bool = False
+        cls,
+        raw: dict[str, DataFrame],
+        server=None,
+        capture_schema=None,
+        unique: bool = False,
+        servers: tuple[str, ...] | None = None,
     ) -> Snapshot:
         """Normalise a dict of raw tables; ``q_base`` may be left out."""
-        return cls(
-            **{name: normalise(name, df, server, capture_schema, unique) for name, df in raw.items()}
-        )
+        how = {"server": server, "capture_schema": capture_schema, "unique": unique, "servers": servers}
+        return cls(**{name: normalise(name, df, **how) for name, df in raw.items()}, origin=(raw, how))
 
     @classmethod
     def load(
@@ -115,15 +143,16 @@ class Snapshot:
         unique: bool = False,
         tables: tuple[str, ...] = tuple(INPUT_TABLES),
         schemas: dict[str, T.StructType | str] | None = None,
+        servers: tuple[str, ...] | None = None,
         **options,
     ) -> Snapshot:
-        """Load ``{base_path}/{table}`` for every table. Snapshots partitioned by
-        ``server`` are pruned when the caller filters on it."""
+        """Load ``{base_path}/{table}`` for every table. With ``servers``, scans skip the others
+        where the files allow it (partition folders, row groups)."""
         schemas = schemas or {}
         raw = {
             t: read_table(spark, f"{base_path}/{t}", fmt, schemas.get(t), **options) for t in tables
         }
-        return cls.of(raw, server, capture_schema, unique)
+        return cls.of(raw, server, capture_schema, unique, servers)
 
     def stored(self, path: str) -> Snapshot:
         """Write the normalised tables under ``path`` and go on from the files.
@@ -139,10 +168,26 @@ class Snapshot:
         return Snapshot(**stored)
 
     def for_server(self, server: str) -> Snapshot:
-        """The part of a fleet snapshot that belongs to one server."""
+        """The part of a fleet snapshot that belongs to one server; the condition reaches the scans."""
+        if self.origin is not None:
+            raw, how = self.origin
+            if how["servers"] is None:
+                return Snapshot.of(raw, **how | {"servers": (server,)})
         return Snapshot(
             **{name: df.where(F.col(SERVER) == server) for name, df in self._tables().items()}
         )
 
+    def unflagged_tables(self) -> DataFrame:
+        """Tables whose capture flag is set to something other than 'Y'."""
+        exact = F.col("data_capture") != "Y"
+        if self.origin is not None:
+            raw, how = self.origin
+            df = raw["tables"]
+            name = next(c for c in df.columns if c.lower() in ("data_capture", "datacapture"))
+            if isinstance(df.schema[name].dataType, T.StringType):
+                # Follows from the exact test and, unlike it, reaches the scan.
+                return normalise("tables", df.where(df[name] != "Y"), **how).where(exact)
+        return self.tables.where(exact)
+
     def _tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in INPUT_TABLES if getattr(self, name) is not None}

@@ -80,8 +80,9 @@ def expected(data, lang, generator):
                              ", STATE=", state,
                              ", exists, but the source table does not exist in DB2! " if en else
                              ", existiert, aber die Tabelle exitiert nicht in DB2! ",
-                             texts.TABLE_GONE_ACTION[lang]["active" if active else "other"],
-                             "emove the subscription." if en else "ntferne die Subscription."),
+                             ("Deactivate and remove" if active else "Remove") if en else
+                             ("Deactiviere und entferne" if active else "Entferne"),
+                             " the subscription." if en else " die Subscription."),
                         glue('DROP QSUB ( SUBNAME "', subname, '"  USING REPLQMAP ', m, ");"))
         else:
             for _, _, col in listed:

@@ -95,3 +95,32 @@ def test_partition_folders_prune_and_keep_names_that_look_like_numbers(spark, sc
     assert rows(one, "server", "column_name") == [("007", "C")]
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [(rtrim(server" in plan
+
+
+def pushed(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line.split("PushedFilters: ")[1] for line in plan.splitlines() if "PushedFilters: " in line]
+
+
+def test_server_and_flag_reach_the_scan(spark, tables, scratch):
+    from subdrift import data_capture_missing
+
+    for name, df in tables.items():
+        df.withColumn("server", F.concat("server", F.lit("  "))).write.parquet(f"{scratch}/{name}")
+    fleet = Snapshot.load(spark, scratch, capture_schema=SCHEMA)
+    server = fleet.subs.first().server
+    one = fleet.for_server(server)
+    for df in (one.subs, one.columns, Snapshot.load(spark, scratch, capture_schema=SCHEMA, servers=(server,)).src_cols):
+        assert all(f"GreaterThanOrEqual(server,{server})" in f and f"LessThan(server,{server}!)" in f for f in pushed(df))
+        assert pushed(df)
+    assert contents(one.subs) == contents(fleet.subs.where(F.col("server") == server))
+    assert contents(findings(one)) == contents(findings(fleet).where(F.col("current_server") == server))
+    unflagged = fleet.unflagged_tables()
+    assert any("Not(EqualTo(data_capture,Y))" in f for f in pushed(unflagged))
+    assert contents(unflagged) == contents(fleet.tables.where("data_capture != 'Y'"))
+    assert data_capture_missing(fleet).count() >= 0
+
+
+def test_unknown_servers_give_an_empty_snapshot(spark, tables):
+    assert Snapshot.of(tables, capture_schema=SCHEMA, servers=("nowhere",)).subs.count() == 0
+    assert Snapshot.of(tables, capture_schema=SCHEMA, servers=()).subs.count() == 0

@@ -1,10 +1,15 @@
 """Replication inputs derived from the given tables.
 
-Every order becomes a subscribed table, every line number one of its columns, every
-event a monitor sample. The remainders below do not thin the data out: they decide
-where the derived catalogue and the derived configuration disagree, so that each
-check has findings and non-findings among all rows. ``reference_sql`` builds the
-same inputs in plain SQL.
+Every order becomes a subscription, every line number one of its columns, every event a
+monitor sample. The remainders below do not thin the data out: they decide where the
+derived catalogue and the derived configuration disagree, so that each check has findings
+and non-findings among all rows; every line is in one of the two at least.
+``reference_sql`` builds the same inputs in plain SQL.
+
+On a single server every order has a table of its own. In a fleet the same names of
+owners, tables, subscriptions and queues stand on three servers and under two capture
+schemas, and up to four subscriptions share a table, so a check that forgets a
+scope key finds something else.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ SINGLE_SERVER = "SRV0"
 CAPTURE_SCHEMA = "ASN"
 CHECK_TS = "2024-01-30 00:00:00"
 AS_OF = "2024-01-30 00:00:00"
-FLEET_SERVERS = 5
+SERVERS, SCHEMAS = 3, 2
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,74 +36,73 @@ def _text(prefix: str, number: Column) -> Column:
 
 def raw_tables(spark: SparkSession, sf_dir: str, fleet: bool = False) -> dict[str, DataFrame]:
     """The six input tables under their source column names, blank padding included.
-    With ``fleet`` every table carries the server its order belongs to."""
+    With ``fleet`` every table carries its server, and those of the configuration their
+    capture schema."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    whole = lambda n: F.floor(key / n)
+    sub, table, group, part = (whole(6), whole(12), whole(12) % 25, key % SERVERS) if fleet else (key, key, customer % 25, customer % 5)
+    padding = F.when(key % 10 == 0, "   ").otherwise("")
     orders = read(spark, sf_dir, "orders").select(
-        "o_orderkey",
+        key.alias("k"),
         "o_orderstatus",
-        (F.col("o_custkey") % 25).alias("g"),
-        (F.col("o_custkey") % FLEET_SERVERS).alias("f"),
+        F.concat(_text("SUB", sub), padding).alias("subname"),
+        F.concat(_text("OWN", group), padding).alias("owner"),
+        F.concat(_text("T", table), padding).alias("tab"),
+        _text("TGT", group).alias("target"),
+        F.concat(_text("SENDQ.", group), padding).alias("sendq"),
+        _text("TGTDB", part).alias("target_server"),
+        F.concat(_text("SRV", key % SERVERS), padding).alias("server"),
+        _text("ASN", whole(3) % SCHEMAS).alias("capture_schema"),
     )
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
-    k, g, f = F.col("o_orderkey"), F.col("g"), F.col("f")
-    server = [_text("SRV", f).alias("server")] if fleet else []
-    owner, table = _text("OWN", g), _text("T", k)
+    k, line, lk = F.col("k"), F.col("l_linenumber"), F.col("l_orderkey")
+    column = F.when(line == 7, "c7").otherwise(_text("C", line))
+    catalogued = (lk % 11 != 3) & ((lk + line) % 19 != 0)
+    config, catalogue = (["server", "capture_schema"], ["server"]) if fleet else ([], [])
 
     state = (
         F.when(F.col("o_orderstatus") == "F", "A")
         .when(F.col("o_orderstatus") == "O", "I")
         .when(k % 29 != 7, "N")
     )
-    padding = F.when(k % 10 == 0, "   ").otherwise("")
     subs = orders.select(
-        *server,
-        F.concat(_text("SUB", k), padding).alias("subname"),
-        owner.alias("source_owner"),
-        table.alias("source_name"),
-        _text("TGT", g).alias("target_owner"),
-        table.alias("target_name"),
+        *config,
+        "subname",
+        F.col("owner").alias("source_owner"),
+        F.col("tab").alias("source_name"),
+        F.col("target").alias("target_owner"),
+        F.col("tab").alias("target_name"),
         state.alias("state"),
-        _text("SENDQ.", g).alias("sendq"),
-        _text("TGTDB", f).alias("target_server"),
+        "sendq",
+        "target_server",
     )
 
     known = orders.where(k % 11 != 3)
+    flag = F.when(k % 13 == 5, "N ").when(k % 17 != 4, "Y ")
     tables = known.select(
-        *server,
-        owner.alias("creator"),
-        table.alias("name"),
-        F.when(k % 13 == 5, "N").when(k % 17 != 4, "Y").alias("data_capture"),
+        *catalogue, F.col("owner").alias("creator"), F.col("tab").alias("name"), flag.alias("data_capture")
     )
-    columns = (
-        known.join(lines, k == F.col("l_orderkey"))
-        .where((F.col("l_orderkey") + F.col("l_linenumber")) % 19 != 0)
-        .select(
-            *server,
-            owner.alias("tbcreator"),
-            table.alias("tbname"),
-            _text("C", F.col("l_linenumber")).alias("name"),
-        )
+    of_lines = orders.join(lines, k == lk)
+    columns = of_lines.where(catalogued).select(
+        *catalogue, F.col("owner").alias("tbcreator"), F.col("tab").alias("tbname"), F.concat(column, F.lit(" ")).alias("name")
     )
-
-    listed = lines.where((F.col("l_orderkey") * 3 + F.col("l_linenumber")) % 23 != 0)
-    if fleet:
-        listed = listed.join(orders, k == F.col("l_orderkey"))
-    src_cols = listed.select(
-        *server,
-        _text("SUB", F.col("l_orderkey")).alias("subname"),
-        _text("C", F.col("l_linenumber")).alias("src_colname"),
+    src_cols = of_lines.where(((lk * 3 + line) % 23 != 0) | ~catalogued).select(
+        *config, "subname", column.alias("src_colname")
     )
 
     clause = (
-        F.when(k % 4 == 1, "TRGCOLS INCLUDE (C1, C2,C3)")
-        .when(k % 4 == 2, "trgcols exclude (c4,C5)")
+        F.when(k % 8 == 0, "TRGCOLS EXCLUDE (C4) TRGCOLS INCLUDE (C2,C5)")
+        .when(k % 16 == 4, "TRGCOLS\tINCLUDE (C1)")
+        .when(k % 4 == 1, "TRGCOLS INCLUDE (C1, C2,C3,c7)")
+        .when(k % 4 == 2, "trgcols exclude (c4,C5,c7)")
         .when(k % 4 == 3, "TRGCOLS ALL")
     )
     q_base = orders.where(k % 5 != 0).select(
-        *server,
-        owner.alias("tabschema"),
-        table.alias("tabname"),
-        _text("TGT", g).alias("target_schema"),
-        table.alias("target_name"),
+        *config,
+        F.col("owner").alias("tabschema"),
+        F.col("tab").alias("tabname"),
+        F.col("target").alias("target_schema"),
+        F.col("tab").alias("target_name"),
         clause.alias("targetcolclause"),
     )
     return {
@@ -112,25 +116,28 @@ def raw_tables(spark: SparkSession, sf_dir: str, fleet: bool = False) -> dict[st
 
 
 def _sendqueues(spark, sf_dir, fleet):
-    nation = read(spark, sf_dir, "nation").where(F.col("n_nationkey") < 23)
-    n = F.col("n_nationkey")
-    queues = nation.select(
-        _text("SENDQ.", n).alias("sendq"), F.when(n != 7, F.col("n_name")).alias("pubqmapname")
-    )
-    queues = queues.unionByName(queues.where(F.col("sendq") == "SENDQ.3"))
+    """One queue per nation, some missing; in a fleet others on every server and schema,
+    under other map names."""
+    nation, n = read(spark, sf_dir, "nation"), F.col("n_nationkey")
+    sendq = _text("SENDQ.", n).alias("sendq")
     if not fleet:
-        return queues
-    # Queue g exists on the server of its own group only: orders of one customer
-    # group share the server because 5 divides 25.
-    number = F.substring_index("sendq", ".", -1).cast("int")
-    return queues.select(_text("SRV", number % FLEET_SERVERS).alias("server"), "sendq", "pubqmapname")
+        queues = nation.where(n < 23).select(sendq, F.when(n != 7, F.col("n_name")).alias("pubqmapname"))
+        return queues.unionByName(queues.where(F.col("sendq") == "SENDQ.3"))
+    each = nation.select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(SERVERS - 1))).alias("f")
+    ).select("*", F.explode(F.sequence(F.lit(0), F.lit(SCHEMAS - 1))).alias("c"))
+    f, c = F.col("f"), F.col("c")
+    name = F.concat("n_name", f.cast("string"), c.cast("string"))
+    return each.where((n + f + 2 * c) % 7 != 0).select(
+        _text("SRV", f).alias("server"), _text("ASN", c).alias("capture_schema"), sendq, F.when(n != 7, name).alias("pubqmapname")
+    )
 
 
 def snapshot(
     spark: SparkSession, sf_dir: str, fleet: bool = False, schema: str = CAPTURE_SCHEMA
 ) -> Snapshot:
-    server = None if fleet else SINGLE_SERVER
-    return Snapshot.of(raw_tables(spark, sf_dir, fleet), server=server, capture_schema=schema)
+    scope = {} if fleet else {"server": SINGLE_SERVER, "capture_schema": schema}
+    return Snapshot.of(raw_tables(spark, sf_dir, fleet), **scope)
 
 
 def host_snapshot(spark: SparkSession, sf_dir: str) -> Snapshot:

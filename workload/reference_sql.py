@@ -10,46 +10,60 @@ from workload.inputs import AS_OF, CHECK_TS
 
 
 def _inputs(fleet: bool, schema: str) -> str:
-    server = "'SRV' || cast(o_custkey % 5 as varchar)" if fleet else "'SRV0'"
-    queue_server = "'SRV' || cast(n_nationkey % 5 as varchar)" if fleet else "'SRV0'"
+    # In a fleet the same names stand on three servers and under two capture schemas, and
+    # up to four subscriptions share a table.
+    if fleet:
+        sub, tab, group, part = "o_orderkey // 6", "o_orderkey // 12", "o_orderkey // 12 % 25", "o_orderkey % 3"
+        server, named = "'SRV' || cast(o_orderkey % 3 AS varchar)", "'ASN' || cast(o_orderkey // 3 % 2 AS varchar)"
+        queues = """
+      SELECT 'SRV' || cast(f AS varchar) AS server, 'ASN' || cast(c AS varchar) AS schema,
+             'SENDQ.' || cast(n_nationkey AS varchar) AS sendq,
+             CASE WHEN n_nationkey = 7 THEN NULL ELSE n_name || cast(f AS varchar) || cast(c AS varchar) END AS qmap
+      FROM nation, range(3) x(f), range(2) y(c) WHERE (n_nationkey + f + 2 * c) % 7 <> 0"""
+    else:
+        sub, tab, group, part = "o_orderkey", "o_orderkey", "o_custkey % 25", "o_custkey % 5"
+        server, named = "'SRV0'", f"'{schema}'"
+        queues = f"""
+      SELECT 'SRV0' AS server, '{schema}' AS schema, 'SENDQ.' || cast(n_nationkey AS varchar) AS sendq,
+             CASE WHEN n_nationkey = 7 THEN NULL ELSE n_name END AS qmap
+      FROM nation WHERE n_nationkey < 23"""
     return f"""
     o AS (
-      SELECT o_orderkey AS k, cast(o_orderkey AS varchar) AS ks, o_orderstatus AS status,
-             cast(o_custkey % 25 AS varchar) AS g, cast(o_custkey % 5 AS varchar) AS f,
-             {server} AS server
+      SELECT o_orderkey AS k, o_orderstatus AS status, 'SUB' || cast({sub} AS varchar) AS subname,
+             'T' || cast({tab} AS varchar) AS tab, cast({group} AS varchar) AS g, cast({part} AS varchar) AS f,
+             {server} AS server, {named} AS schema
       FROM orders),
     subs AS (
-      SELECT server, '{schema}' AS schema, 'SUB' || ks AS subname, 'OWN' || g AS owner, 'T' || ks AS tab,
-             'TGT' || g AS towner, 'T' || ks AS ttab,
+      SELECT server, schema, subname, 'OWN' || g AS owner, tab, 'TGT' || g AS towner, tab AS ttab,
              CASE WHEN status = 'F' THEN 'A' WHEN status = 'O' THEN 'I'
                   WHEN k % 29 = 7 THEN NULL ELSE 'N' END AS state,
              'SENDQ.' || g AS sendq, 'TGTDB' || f AS tserver
       FROM o),
-    queues AS (
-      SELECT {queue_server} AS server, 'SENDQ.' || cast(n_nationkey AS varchar) AS sendq,
-             CASE WHEN n_nationkey = 7 THEN NULL ELSE n_name END AS qmap
-      FROM nation WHERE n_nationkey < 23),
+    queues AS ({queues}),
     cat_tables AS (
-      SELECT server, 'OWN' || g AS owner, 'T' || ks AS tab,
+      SELECT server, 'OWN' || g AS owner, tab,
              CASE WHEN k % 13 = 5 THEN 'N' WHEN k % 17 = 4 THEN NULL ELSE 'Y' END AS flag
       FROM o WHERE k % 11 <> 3),
+    lines AS (
+      SELECT l_orderkey AS lk, CASE WHEN l_linenumber = 7 THEN 'c7' ELSE 'C' || cast(l_linenumber AS varchar) END AS col,
+             l_orderkey % 11 <> 3 AND (l_orderkey + l_linenumber) % 19 <> 0 AS in_catalogue,
+             (l_orderkey * 3 + l_linenumber) % 23 <> 0 AS in_list
+      FROM lineitem),
     cat_columns AS (
-      SELECT DISTINCT o.server, 'OWN' || g AS owner, 'T' || ks AS tab,
-             'C' || cast(l_linenumber AS varchar) AS col
-      FROM o JOIN lineitem ON l_orderkey = k
-      WHERE k % 11 <> 3 AND (l_orderkey + l_linenumber) % 19 <> 0),
+      SELECT DISTINCT o.server, 'OWN' || g AS owner, tab, col FROM o JOIN lines ON lk = k WHERE in_catalogue),
     listed AS (
-      SELECT DISTINCT o.server, 'SUB' || ks AS subname, 'C' || cast(l_linenumber AS varchar) AS col
-      FROM lineitem JOIN o ON l_orderkey = k
-      WHERE (l_orderkey * 3 + l_linenumber) % 23 <> 0),
+      SELECT DISTINCT o.server, o.schema, subname, col FROM lines JOIN o ON lk = k WHERE in_list OR NOT in_catalogue),
     intents AS (
-      SELECT server, 'OWN' || g AS owner, 'T' || ks AS tab, 'TGT' || g AS towner, 'T' || ks AS ttab,
-             replace(upper(CASE k % 4 WHEN 1 THEN 'TRGCOLS INCLUDE (C1, C2,C3)'
-                                      WHEN 2 THEN 'trgcols exclude (c4,C5)'
-                                      WHEN 3 THEN 'TRGCOLS ALL' END), ' ', '') AS clause
+      SELECT server, schema, 'OWN' || g AS owner, tab, 'TGT' || g AS towner, tab AS ttab,
+             replace(upper(CASE WHEN k % 8 = 0 THEN 'TRGCOLS EXCLUDE (C4) TRGCOLS INCLUDE (C2,C5)'
+                                WHEN k % 16 = 4 THEN 'TRGCOLS' || chr(9) || 'INCLUDE (C1)'
+                                WHEN k % 4 = 1 THEN 'TRGCOLS INCLUDE (C1, C2,C3,c7)'
+                                WHEN k % 4 = 2 THEN 'trgcols exclude (c4,C5,c7)'
+                                WHEN k % 4 = 3 THEN 'TRGCOLS ALL' END), ' ', '') AS clause
       FROM o WHERE k % 5 <> 0)"""
 
 
+# Message texts, byte for byte.
 _TEXTS = {
     "EN": {
         "tnf_kind": "' for source table '",
@@ -108,7 +122,7 @@ def _tnf(lang):
         "'DROP QSUB ( SUBNAME \"' || s.subname || '\"  USING REPLQMAP ' || q.qmap || ');'",
         False,
         "cast(NULL AS varchar)",
-        f"FROM subs s JOIN queues q ON q.server = s.server AND q.sendq = s.sendq WHERE NOT {_TABLE_EXISTS}",
+        f"FROM subs s JOIN queues q ON q.server = s.server AND q.schema = s.schema AND q.sendq = s.sendq WHERE NOT {_TABLE_EXISTS}",
     )
 
 
@@ -122,14 +136,14 @@ def _cnf(lang):
         f"'ALTER TABLE ' || {_TABLE} || ' ADD COLUMN ' || l.col || '<datatype>'",
         False,
         "left(l.col, 18)",
-        f"""FROM subs s JOIN listed l ON l.server = s.server AND l.subname = s.subname
+        f"""FROM subs s JOIN listed l ON l.server = s.server AND l.schema = s.schema AND l.subname = s.subname
       WHERE {_TABLE_EXISTS} AND NOT EXISTS (
         SELECT 1 FROM cat_columns c
         WHERE (c.server, c.owner, c.tab, c.col) = (s.server, s.owner, s.tab, l.col))""",
     )
 
 
-def _cns(lang, generator=False, prefix=False):
+def _cns(lang, generator=False, prefix=False, delimiter=";"):
     t = _TEXTS[lang]
     pieces, joins, rule = [_HEAD], "", ""
     if generator:
@@ -138,7 +152,7 @@ def _cns(lang, generator=False, prefix=False):
         SELECT *, CASE WHEN contains(clause, 'TRGCOLSINCLUDE') THEN 'INCLUDE'
                        WHEN contains(clause, 'TRGCOLSEXCLUDE') THEN 'EXCLUDE' END AS kw
         FROM intents) g
-        ON (g.server, g.owner, g.tab, g.towner, g.ttab) = (s.server, s.owner, s.tab, s.towner, s.ttab)"""
+        ON (g.server, g.schema, g.owner, g.tab, g.towner, g.ttab) = (s.server, s.schema, s.owner, s.tab, s.towner, s.ttab)"""
         named = "regexp_matches(g.clause, '[(,]' || regexp_escape(c.col) || '[),]')"
         rule = f"""AND CASE g.kw WHEN 'INCLUDE' THEN {named} WHEN 'EXCLUDE' THEN NOT {named} ELSE true END"""
     if prefix:
@@ -152,14 +166,15 @@ def _cns(lang, generator=False, prefix=False):
         "C-CNS",
         "'ERROR'",
         f"{' || '.join(pieces)} || {t['cns_kind']} || {_TABLE} || '.' || c.col || {t['cns_end']}",
+        # The repair statement, byte for byte.
         "'INSERT INTO IBMQREP_SIGNAL(SIGNAL_TIME, SIGNAL_TYPE, SIGNAL_SUBTYPE, SIGNAL_INPUT_IN, SIGNAL_STATE)"
-        " values (CURRENT TIMESTAMP, ''CMD'', ''ADDCOL'', ''' || s.subname || ';' || c.col || ''', ''P'' );'",
+        f" values (CURRENT TIMESTAMP, ''CMD'', ''ADDCOL'', ''' || s.subname || '{delimiter}' || c.col || ''', ''P'' );'",
         True,
         "left(c.col, 18)",
         f"""FROM subs s JOIN cat_columns c ON (c.server, c.owner, c.tab) = (s.server, s.owner, s.tab)
       {joins}
       WHERE NOT EXISTS (
-        SELECT 1 FROM listed l WHERE (l.server, l.subname, l.col) = (s.server, s.subname, c.col)) {rule}""",
+        SELECT 1 FROM listed l WHERE (l.server, l.schema, l.subname, l.col) = (s.server, s.schema, s.subname, c.col)) {rule}""",
     )
 
 
@@ -183,8 +198,8 @@ def _check(body: str, fleet: bool = False, schema: str = "ASN") -> str:
     return f"WITH {_inputs(fleet, schema)} {body}"
 
 
-def _all(lang="EN", generator=False, prefix=False) -> str:
-    return " UNION ALL ".join([_tnf(lang), _cnf(lang), _cns(lang, generator, prefix), _dcc(lang)])
+def _all(lang="EN", generator=False, prefix=False, delimiter=";") -> str:
+    return " UNION ALL ".join([_tnf(lang), _cnf(lang), _cns(lang, generator, prefix, delimiter), _dcc(lang)])
 
 
 def _report(body: str, columns: str, fleet: bool = False, schema: str = "ASN") -> str:
@@ -358,6 +373,10 @@ def oracle_sql() -> dict[str, str]:
         "report_debug": _report(_all(), _DEBUG_COLUMNS),
         "report_debug_generator": _report(_all(generator=True, prefix=True), _DEBUG_COLUMNS),
         "report_fleet": _report(_all(), _REPORT_COLUMNS, fleet=True),
+        "report_delimiter": _report(_all(delimiter="#"), _REPORT_COLUMNS),
+        "report_view_filtered": _report(_all(), _VIEW_COLUMNS, fleet=True) + " WHERE ordercol > 120 AND source_owner = 'OWN3'",
+        "reports_stored": f"""WITH {_inputs(True, "ASN")}, en AS ({_all()}), de AS ({_all("DE")})
+      SELECT 'EN' AS lang, {_REPORT_COLUMNS} FROM en UNION ALL SELECT 'DE' AS lang, {_REPORT_COLUMNS} FROM de""",
         "parm_apply_effective": _effective(_APPLY_DEFAULTS),
         "parm_capture_effective": _effective(_CAPTURE_DEFAULTS),
         "parm_row_violations": _violations("QREP_MON_APPLY_PARM"),

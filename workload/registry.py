@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import subdrift as sd
 from subdrift import Options, Snapshot
@@ -92,6 +93,22 @@ def _stored(options: Options = Options()) -> Query:
     )
 
 
+def _reports_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Two reports from one snapshot that was cleaned and stored once."""
+    stored = inputs.snapshot(spark, sf, fleet=True).stored(_shared_folder(spark))
+    reports = [
+        sd.report(sd.findings(stored, Options(lang=lang)), inputs.CHECK_TS, ordered=False).select(F.lit(lang).alias("lang"), "*")
+        for lang in ("EN", "DE")
+    ]
+    return reports[0].unionByName(reports[1])
+
+
+def _view_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    """The report as a view, asked for the later checks of one owner."""
+    sd.create_report_view("subscription_report", sd.findings(inputs.snapshot(spark, sf, fleet=True)), inputs.CHECK_TS)
+    return spark.sql("SELECT * FROM subscription_report WHERE ordercol > 120 AND source_owner = 'OWN3'")
+
+
 def _streamed(grade, table, shuffled: bool = False) -> Query:
     """The events table read as a stream, graded, and written to the shared folder."""
 
@@ -139,6 +156,9 @@ def queries() -> dict[str, Query]:
         "report_debug": _report(debug=True),
         "report_debug_generator": _report(Options(mode="generator", flag_prefix=True), debug=True),
         "report_fleet": _report(fleet=True),
+        "report_delimiter": _report(Options(addcol_delimiter="#")),
+        "report_view_filtered": _view_filtered,
+        "reports_stored": _reports_stored,
         "parm_apply_effective": _effective(inputs.fleet_parms_apply, sd.PARM_APPLY),
         "parm_capture_effective": _effective(inputs.fleet_parms_capture, sd.PARM_CAPTURE),
         "parm_row_violations": _violations(inputs.fleet_parms_apply, sd.PARM_APPLY),
