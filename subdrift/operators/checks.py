@@ -155,8 +155,9 @@ def column_drift(snapshot: Snapshot, options: Options = Options()) -> DataFrame:
     rows = subs.rows.select(kept)
     known = subs.tables(snapshot.tables).withColumn("_known", F.lit(True))
 
-    in_catalogue = subs.partners(snapshot.columns).join(rows, [*_TABLE, SALT], "inner")
-    listed = snapshot.src_cols.join(
+    # The grouping takes copies up, so neither table is freed of them before its join.
+    in_catalogue = subs.partners(snapshot.with_copies("columns")).join(rows, [*_TABLE, SALT], "inner")
+    listed = snapshot.with_copies("src_cols").join(
         rows.join(known, [*_TABLE, SALT], "left"), _SUBSCRIPTION, "inner"
     )
     # A column without a name equals no other, so those of the two sides must not meet.
@@ -185,6 +186,8 @@ def column_drift(snapshot: Snapshot, options: Options = Options()) -> DataFrame:
     )
     unlisted = F.col("_in_catalogue") == 1
     if options.generator:
+        # Only unlisted columns look for a clause; the target is needed for nothing else.
+        drift = drift.withColumn("target_name", F.when(unlisted, F.col("target_name")))
         drift = _with_clause(drift, subs, snapshot).where(~unlisted | _clause_reports())
     return _findings(drift, [_column_unlisted(options, when=unlisted), _column_gone()], options)
 

@@ -177,6 +177,13 @@ class Snapshot:
             **{name: df.where(F.col(SERVER) == server) for name, df in self._tables().items()}
         )
 
+    def with_copies(self, name: str) -> DataFrame:
+        """A table without the dropping of repeated rows, for a use that combines them anyway."""
+        if self.origin is None:
+            return getattr(self, name)
+        raw, how = self.origin
+        return normalise(name, raw[name], **how | {"unique": True})
+
     def unflagged_tables(self) -> DataFrame:
         """Tables whose capture flag is set to something other than 'Y'."""
         exact = F.col("data_capture") != "Y"
