@@ -1,0 +1,80 @@
+"""Alignment against the plain recurrence; planted, edited and clean documents."""
+
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from subdrift.llm.decontaminate import Matching, align, find_items, without_items
+from tests.llm.helpers import SMALL, awkward, documents, frame
+
+
+def plain_score(item, passage, match):
+    best, table = 0, [[0] * (len(passage) + 1) for _ in range(len(item) + 1)]
+    for i, a in enumerate(item, 1):
+        for j, b in enumerate(passage, 1):
+            table[i][j] = max(0, table[i - 1][j - 1] + (match if a == b else -1), table[i - 1][j] - 1, table[i][j - 1] - 1)
+            best = max(best, table[i][j])
+    return best
+
+
+def test_alignment_scores():
+    random.seed(2)
+    for _ in range(200):
+        item = [random.randint(0, 4) for _ in range(random.randint(1, 12))]
+        passage = [random.randint(0, 4) for _ in range(random.randint(1, 20))]
+        assert align(np.array(item, np.uint64), np.array(passage, np.uint64), 2)[0] == plain_score(item, passage, 2)
+
+
+def planted(spark):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    random.seed(5)
+    hosts, rows, want = documents(spark)[100:], [], set()
+    for k, (item_id, text) in enumerate(items):
+        words = text.split()
+        if len(words) < 20:
+            continue
+        for number, host in enumerate((hosts[k % len(hosts)][1], "short frame")):
+            edited = list(words)
+            for _ in range(len(words) // 8 * number):
+                edited[random.randrange(len(words))] = "replaced"
+            if number:
+                del edited[len(edited) // 2]
+            doc_id = 10_000 + 2 * k + number
+            cut = len(host) // 2
+            rows.append((doc_id, host[:cut] + " " + " ".join(edited) + " " + host[cut:]))
+            want.add((doc_id, item_id))
+    return items, rows, want
+
+
+def test_planted_items_are_found_and_clean_documents_stay(spark):
+    items, rows, want = planted(spark)
+    benchmark = spark.createDataFrame(items + [(None, "x y z"), (99_990, None), items[0]], "item_id long, text string")
+    clean = awkward(spark)
+    df = frame(spark, rows + clean)
+    before = {(r.doc_id, r.item_id) for r in find_items(frame(spark, clean), benchmark).collect()}
+    for matching in (Matching(), Matching(block_words=300)):
+        found = find_items(df, benchmark, matching).collect()
+        pairs = {(r.doc_id, r.item_id) for r in found}
+        assert want <= pairs and {p for p in pairs if (p[0] or 0) < 10_000} == before
+        assert all(0.5 <= r.score <= 1 and r.first_word <= r.last_word for r in found)
+    assert len(before) <= 6  # documents of the table that hold items themselves
+    left = without_items(df, benchmark)
+    assert left.columns == df.columns
+    gone = {d for d, _ in find_items(df, benchmark).select("doc_id", "item_id").collect()}
+    assert {r.doc_id for r in left.select("doc_id").collect()} == {d for d, _ in rows + clean} - gone
+
+
+def test_a_leaked_item_of_many_documents_is_found_in_all(spark):
+    """Its n-grams are frequent then, yet no others are rarer."""
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.col("id").cast("string"), F.lit(f" {item} end")).alias("text"))
+    assert find_items(df, benchmark).count() == 3000
+
+
+def test_empty_sides(spark):
+    df, benchmark = frame(spark, awkward(spark)), spark.createDataFrame([], "item_id long, text string")
+    assert find_items(df, benchmark).count() == 0 and without_items(df, benchmark).count() == df.count()
+    items = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
+    assert find_items(df.limit(0), items).count() == 0

@@ -1,0 +1,64 @@
+"""Suffix-array repetition against counting substrings."""
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+
+from subdrift.llm.quality import Limits, keep_good, longest_repeats, quality
+from tests.llm.helpers import awkward, frame, tuples
+
+
+def test_longest_repeats_of_random_sequences():
+    random.seed(1)
+    for _ in range(200):
+        docs = [[random.randint(0, random.choice([0, 1, 3, 20])) for _ in range(random.randint(0, 30))] for _ in range(4)]
+        ids = np.array([w for d in docs for w in d], np.int64)
+        doc = np.repeat(np.arange(4), [len(d) for d in docs])
+        want = []
+        for d in docs:
+            for i in range(len(d)):
+                longest = 0
+                for j in range(len(d)):
+                    n = 0
+                    while i != j and max(i, j) + n < len(d) and d[i + n] == d[j + n]:
+                        n += 1
+                    longest = max(longest, n)
+                want.append(longest)
+        assert longest_repeats(ids, doc).tolist() == want
+
+
+def brute(text, limits):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+    def covered(n):
+        count = Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+        return len({p for i in range(len(words) - n + 1) if count[tuple(words[i : i + n])] > 1 for p in range(i, i + n)})
+
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    symbols = sum((text or "").count(c) for c in "#*$%&|<>")
+    repeated = covered(3)
+    failed = len(words) < 50 or 100 * repeated > 50 * len(words)
+    bad = 100 * covered(limits.min_repeat) > limits.max_covered_percent * len(words) or covered(limits.long_repeat) > 0
+    return (
+        len(words), len("".join(words)), symbols, len(lines) - len(set(lines)), repeated, covered(limits.min_repeat), failed, not failed and not bad,
+    )
+
+
+def test_counts_and_verdicts(spark):
+    rows, limits = awkward(spark), Limits(long_repeat=40)
+    got = tuples(
+        quality(frame(spark, rows), limits),
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "base_failed", "kept",
+    )
+    assert got == sorted(((d, *brute(t, limits)) for d, t in rows), key=repr)
+
+
+def test_kept_rows_keep_their_columns(spark):
+    rows = awkward(spark)
+    df = frame(spark, rows)
+    kept = keep_good(df)
+    assert kept.columns == df.columns
+    assert tuples(kept, "doc_id") == sorted(((d,) for d, t in rows if brute(t, Limits())[-1]), key=repr)
+    assert keep_good(df.limit(0)).count() == 0 and quality(df.limit(0)).count() == 0
