@@ -6,9 +6,9 @@ every set only the rarest part is listed, so large that linked sets must meet in
 The boundary between the two is where the counted cost of both is least. Keys found in
 one document only are dropped before any list is made (``exchange``).
 
-Lists are not turned into all their pairs: each list first checks its documents against
-the smallest one; what is left are lists that still hold documents of different
-components, and of those all pairs across components are checked.
+Lists are not turned into all their pairs: some lists of every document first check their
+documents against the smallest one; then all lists that still hold documents of
+different components have their pairs across components checked.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 # Sizes that may be taken for small; their subsets stay few.
 _LARGEST_SMALL = 12
+# Lists of a document that are tried first; all others follow, so this only changes the cost.
+_TRIED_FIRST = 4
 
 
 @dataclass(frozen=True)
@@ -178,8 +180,11 @@ def jaccard_components(
     def describe(docs: pa.Table, told: pa.Table) -> pa.Table:
         repeated, _ = answers(told)
         out = {"doc_id": [], "n_shingles": [], "content": [], "text": [], "keys": []}
+        seen = set()  # equal rows are in one block
         for doc_id, text, found in _sets(docs, threshold):
-            keys = _keys(found, shared.value, limit, threshold) if doc_id is not None else found[:0]
+            first = doc_id is not None and (doc_id, text) not in seen
+            seen.add((doc_id, text))
+            keys = _keys(found, shared.value, limit, threshold) if first else found[:0]
             keys = keys[among(keys, repeated)[0]]
             out["doc_id"].append(doc_id)
             out["n_shingles"].append(len(found))
@@ -202,38 +207,34 @@ def jaccard_components(
         "equal",
     )
     chosen = written(
-        described.where("text is not null")
-        .join(first.select(F.col("content"), F.col("first").alias("doc_id")), ["content", "doc_id"], "left_semi")
-        .dropDuplicates(["doc_id", "content"])
-        .select("doc_id", "n_shingles", "text", "keys"),
+        described.where(F.size("keys") > 0)
+        .select("content", "doc_id", F.col("n_shingles").alias("n"), "keys")
+        .join(first.withColumnRenamed("first", "doc_id"), ["content", "doc_id"], "left_semi"),
         "chosen",
     )
-    lists = written(
-        chosen.select(F.explode("keys").alias("key"), "doc_id", F.col("n_shingles").alias("n")).distinct(), "lists"
-    )
+    texts = described.where("text is not null").select("doc_id", "text")
     sizes_fit = 100 * F.least("n", "n_b") >= threshold.percent * F.greatest("n", "n_b")
 
-    heads = written(lists.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("head")), "heads")
+    tried = chosen.select(F.explode(F.slice("keys", 1, _TRIED_FIRST)).alias("key"), "doc_id", "n")
+    heads = written(tried.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("head")), "heads")
     starred = (
-        lists.join(heads.select("key", F.col("head.doc_id").alias("b"), F.col("head.n").alias("n_b")), "key")
+        tried.join(heads.select("key", F.col("head.doc_id").alias("b"), F.col("head.n").alias("n_b")), "key")
         .where((F.col("doc_id") != F.col("b")) & sizes_fit)
         .select(F.col("b").alias("a"), F.col("doc_id").alias("b"))
         .distinct()
     )
     checked = written(starred, "pairs")
-    links = written(linked(checked, chosen, threshold), "links")
+    links = written(linked(checked, texts, threshold), "links")
 
-    # What the first documents of the lists have not joined.
-    parts = components(links)
-    labelled = lists.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-        "component", F.coalesce("component", "doc_id")
-    )
-    labelled = written(labelled, "labelled")
-    open_lists = written(
-        labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"),
-        "open",
+    # All lists, for what the first ones have not joined.
+    parts = components(links).withColumnRenamed("node", "doc_id")
+    labelled = written(
+        chosen.join(parts, "doc_id", "left").select("doc_id", "n", "keys", F.coalesce("component", "doc_id").alias("component")),
+        "labelled",
     )
-    left = written(labelled.join(open_lists, "key"), "left")
+    lists = labelled.select(F.explode("keys").alias("key"), "doc_id", "n", "component")
+    spread = lists.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    left = written(lists.join(written(spread.where("low < high").select("key"), "open"), "key"), "left")
     other = left.select("key", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
     across = (
         left.join(other, "key")
@@ -241,8 +242,8 @@ def jaccard_components(
         .select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b"))
         .distinct()
     )
-    unchecked = written(across.join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
-    more = written(linked(unchecked, chosen, threshold), "links")
+    unchecked = written(across.join(checked, ["a", "b"], "left_anti"), "pairs")
+    more = written(linked(unchecked, texts, threshold), "links")
     final = written(components(links.union(more).union(equal)), "components")
     return described.select("doc_id", "n_shingles").join(final, described["doc_id"] == final["node"], "left").select(
         "doc_id",
@@ -257,9 +258,8 @@ def _digest(found: np.ndarray) -> bytes:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
-def linked(pairs: DataFrame, chosen: DataFrame, threshold: Threshold) -> DataFrame:
+def linked(pairs: DataFrame, texts: DataFrame, threshold: Threshold) -> DataFrame:
     """The pairs (``a``, ``b``) whose sets are similar enough, found from their texts."""
-    texts = chosen.select("doc_id", "text")
     second = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = second.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
 

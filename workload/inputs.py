@@ -57,7 +57,9 @@ def raw_tables(spark: SparkSession, sf_dir: str, fleet: bool = False) -> dict[st
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
     k, line, lk = F.col("k"), F.col("l_linenumber"), F.col("l_orderkey")
     column = F.when(line == 7, "c7").otherwise(_text("C", line))
-    catalogued = (lk % 11 != 3) & ((lk + line) % 19 != 0)
+    # In a fleet all orders of a table on a server are known or none.
+    is_known = lambda n: ((F.floor(n / 12) + n % SERVERS) % 11 if fleet else n % 11) != 3
+    catalogued = is_known(lk) & ((lk + line) % 19 != 0)
     config, catalogue = (["server", "capture_schema"], ["server"]) if fleet else ([], [])
 
     state = (
@@ -77,7 +79,7 @@ def raw_tables(spark: SparkSession, sf_dir: str, fleet: bool = False) -> dict[st
         "target_server",
     )
 
-    known = orders.where(k % 11 != 3)
+    known = orders.where(is_known(k))
     flag = F.when(k % 13 == 5, "N ").when(k % 17 != 4, "Y ")
     tables = known.select(
         *catalogue, F.col("owner").alias("creator"), F.col("tab").alias("name"), flag.alias("data_capture")

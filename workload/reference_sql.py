@@ -14,6 +14,7 @@ def _inputs(fleet: bool, schema: str) -> str:
     # up to four subscriptions share a table.
     if fleet:
         sub, tab, group, part = "o_orderkey // 6", "o_orderkey // 12", "o_orderkey // 12 % 25", "o_orderkey % 3"
+        known = "({k} // 12 + {k} % 3) % 11 <> 3"
         server, named = "'SRV' || cast(o_orderkey % 3 AS varchar)", "'ASN' || cast(o_orderkey // 3 % 2 AS varchar)"
         queues = """
       SELECT 'SRV' || cast(f AS varchar) AS server, 'ASN' || cast(c AS varchar) AS schema,
@@ -22,7 +23,7 @@ def _inputs(fleet: bool, schema: str) -> str:
       FROM nation, range(3) x(f), range(2) y(c) WHERE (n_nationkey + f + 2 * c) % 7 <> 0"""
     else:
         sub, tab, group, part = "o_orderkey", "o_orderkey", "o_custkey % 25", "o_custkey % 5"
-        server, named = "'SRV0'", f"'{schema}'"
+        server, named, known = "'SRV0'", f"'{schema}'", "{k} % 11 <> 3"
         queues = f"""
       SELECT 'SRV0' AS server, '{schema}' AS schema, 'SENDQ.' || cast(n_nationkey AS varchar) AS sendq,
              CASE WHEN n_nationkey = 7 THEN NULL ELSE n_name END AS qmap
@@ -43,10 +44,10 @@ def _inputs(fleet: bool, schema: str) -> str:
     cat_tables AS (
       SELECT server, 'OWN' || g AS owner, tab,
              CASE WHEN k % 13 = 5 THEN 'N' WHEN k % 17 = 4 THEN NULL ELSE 'Y' END AS flag
-      FROM o WHERE k % 11 <> 3),
+      FROM o WHERE {known.format(k="k")}),
     lines AS (
       SELECT l_orderkey AS lk, CASE WHEN l_linenumber = 7 THEN 'c7' ELSE 'C' || cast(l_linenumber AS varchar) END AS col,
-             l_orderkey % 11 <> 3 AND (l_orderkey + l_linenumber) % 19 <> 0 AS in_catalogue,
+             {known.format(k="l_orderkey")} AND (l_orderkey + l_linenumber) % 19 <> 0 AS in_catalogue,
              (l_orderkey * 3 + l_linenumber) % 23 <> 0 AS in_list
       FROM lineitem),
     cat_columns AS (
