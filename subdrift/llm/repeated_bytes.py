@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from subdrift.llm.exchange import BLOCK_BYTES, blocked, mixed
-from subdrift.llm.windows import Search, Units, covered, decided_windows
+from subdrift.llm.windows import HOT_BLOCKS, Search, Units, covered, decided_windows
 
 # A byte that UTF-8 never uses parts the pieces.
 _BETWEEN = b"\xff"
@@ -32,8 +32,11 @@ class Bytes(Units):
     def split(self, text: bytes) -> bytes:
         return text
 
-    def hashes(self, raw: bytes | None) -> np.ndarray:
-        return self.numbers[np.frombuffer(raw or b"", np.uint8)]
+    def joined(self, parts: list[bytes]) -> bytes:
+        return b"".join(parts)
+
+    def hashes(self, raw: bytes) -> np.ndarray:
+        return self.numbers[np.frombuffer(raw, np.uint8)]
 
     def cut(self, raw: bytes, first: int, stop: int) -> bytes:
         return raw[first:stop]
@@ -114,7 +117,7 @@ def repeated_starts(pieces: list[bytes], window: int) -> list[np.ndarray]:
 
 
 def remove_repeated_bytes(
-    documents: DataFrame, window: int = 200, gram: int = 64, block_bytes: int = BLOCK_BYTES, hot_blocks: int = 64
+    documents: DataFrame, window: int = 200, gram: int = 64, block_bytes: int = BLOCK_BYTES, hot_blocks: int = HOT_BLOCKS
 ) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256`` for every row of ``documents``.
 

@@ -10,6 +10,8 @@ whose document is smaller is removed.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -17,36 +19,30 @@ from pyspark.sql import DataFrame
 
 from subdrift.llm.exchange import BLOCK_BYTES, blocked
 from subdrift.llm.suffix_automaton import SuffixAutomaton
-from subdrift.llm.windows import Search, Units, covered, decided_windows
+from subdrift.llm.windows import HOT_BLOCKS, Search, Units, covered, decided_windows
 
-MEMO_WORDS = 300_000
 _NONE = np.iinfo(np.int64).max
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
 class Words(Units):
     def __init__(self, window: int, gram: int):
-        self.window, self.gram, self.known = window, gram, _Hashes()
+        self.window, self.gram = window, gram
 
     def split(self, text: bytes) -> list[bytes]:
         return text.split()
 
+    def joined(self, parts: list[list[bytes]]) -> list[bytes]:
+        return list(chain.from_iterable(parts))
+
     def hashes(self, raw: list[bytes]) -> np.ndarray:
-        if len(self.known) > MEMO_WORDS:
-            self.known.clear()
-        return np.fromiter(map(self.known.__getitem__, raw or ()), np.uint64, len(raw or ()))
+        return np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw))
 
     def cut(self, raw: list[bytes], first: int, stop: int) -> bytes:
         return b" ".join(raw[first:stop])
 
 
 def remove_repeated_words(
-    documents: DataFrame, window: int = 13, gram: int = 5, block_bytes: int = BLOCK_BYTES, hot_blocks: int = 64
+    documents: DataFrame, window: int = 13, gram: int = 5, block_bytes: int = BLOCK_BYTES, hot_blocks: int = HOT_BLOCKS
 ) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` for every row of ``documents``.
 

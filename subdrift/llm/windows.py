@@ -1,8 +1,8 @@
 """Fixed-length windows that occur more than once, over bytes or words.
 
-Every window has an anchor, the gram of least hash inside it (leftmost of equal ones).
-Equal windows have equal anchors, so all windows can be dealt out by their anchors:
-a stretch of neighbouring windows with one anchor travels as one piece. Only stretches
+Every window has an anchor, the least hash of the grams inside it. Equal windows have
+equal anchors, so all windows can be dealt out by their anchors: a stretch of
+neighbouring windows with one anchor travels as one piece. Only stretches
 whose anchor occurs again are sent to the shard of the anchor, once per block; there
 a method decides for every window, and the block gets the decisions back.
 Anchors that very many blocks hold have their windows dealt out one by one.
@@ -21,6 +21,10 @@ from subdrift.llm.exchange import among, answers, distinct_keys, mixed, repeated
 
 # Units (bytes or words) that are gone through at a time.
 STEP_UNITS = 1 << 19
+# Windows of a stretch; longer ones, in periodic texts, are cut.
+STRETCH = 4096
+# Blocks from which an anchor is hot.
+HOT_BLOCKS = 4096
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -51,12 +55,14 @@ class Step:
 
 @dataclass
 class Stretches:
-    """Runs of windows with one anchor: first window, number of windows, anchor, hash of the
-    content; ``window_hash`` gives that of single windows."""
+    """Runs of windows with one anchor: first window, number of windows, anchor, whether the
+    anchor stands in it at several places, hash of the content; ``window_hash`` gives
+    that of single windows."""
 
     first: np.ndarray
     count: np.ndarray
     anchor: np.ndarray
+    several: np.ndarray
     content: np.ndarray
     window_hash: np.ndarray
 
@@ -77,8 +83,16 @@ class Units:
     def cut(self, raw, first: int, stop: int) -> bytes:
         raise NotImplementedError
 
+    def joined(self, parts: list):
+        raise NotImplementedError
+
     def steps(self, texts: list[bytes]) -> Iterator[Step]:
-        held, docs, starts = None, [], [0]
+        parts, docs, starts = [], [], [0]
+
+        def together() -> Step:
+            raw = self.joined(parts)
+            return Step(np.array(docs), np.array(starts), self.hashes(raw), raw)
+
         for row, text in enumerate(texts):
             raw = self.split(text)
             if len(raw) > STEP_UNITS:
@@ -86,14 +100,14 @@ class Units:
                     part = raw[at : at + STEP_UNITS + self.window - 1]
                     yield Step(np.array([row]), np.array([0, len(part)]), self.hashes(part), part, at)
                 continue
-            if docs and len(held) + len(raw) > STEP_UNITS:
-                yield Step(np.array(docs), np.array(starts), self.hashes(held), held)
-                held, docs, starts = None, [], [0]
-            held = raw if held is None else held + raw
+            if docs and starts[-1] + len(raw) > STEP_UNITS:
+                yield together()
+                parts, docs, starts = [], [], [0]
+            parts.append(raw)
             docs.append(row)
-            starts.append(len(held))
+            starts.append(starts[-1] + len(raw))
         if docs:
-            yield Step(np.array(docs), np.array(starts), self.hashes(held), held)
+            yield together()
 
     def stretches(self, step: Step) -> Stretches | None:
         n, window, gram = len(step.units), self.window, self.gram
@@ -105,15 +119,22 @@ class Units:
         at = _leftmost_least(grams, window - gram + 1)
         ends = np.repeat(step.starts[1:], np.diff(step.starts))[: n - window + 1]
         inside = ends - np.arange(n - window + 1) >= window
+        least = grams[at]
         new = inside.copy()
-        new[1:] &= ~inside[:-1] | (at[1:] != at[:-1])
+        new[1:] &= ~inside[:-1] | (least[1:] != least[:-1])
+        # Windows of the stretch before each window; a long stretch begins anew.
+        index = np.arange(len(new))
+        new |= inside & ((index - np.maximum.accumulate(np.where(new, index, 0))) % STRETCH == 0)
         first = np.flatnonzero(new)
-        number = np.cumsum(new)[inside]
-        count = np.bincount(number, minlength=len(first) + 1)[1:].astype(np.int64)
+        number = np.cumsum(new)
+        count = np.bincount(number[inside], minlength=len(first) + 1)[1:].astype(np.int64)
+        moved = np.flatnonzero((at[1:] != at[:-1]) & inside[1:] & ~new[1:]) + 1
+        several = np.bincount(number[moved], minlength=len(first) + 1)[1:] > 0
         last = first + count - 1 + window
         content = mixed((sums[last] - sums[first]) * inverse[first] + count.astype(np.uint64))
         one = mixed((sums[window:] - sums[:-window]) * inverse[: n - window + 1] + np.uint64(1))
-        return Stretches(first, count, grams[at[first]], content, one)
+        # Least hashes crowd at the low end; spread they can be dealt out evenly.
+        return Stretches(first, count, mixed(least[first]), several, content, one)
 
 
 def _leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -160,7 +181,7 @@ class Search:
     by_place: bool
     decide: Callable[[list[bytes], np.ndarray, np.ndarray], tuple[list[np.ndarray], np.ndarray]]
     absent: int
-    hot_blocks: int = 64
+    hot_blocks: int = HOT_BLOCKS
 
     def steps(self, ids: list, texts: list[bytes]) -> Iterator[Step]:
         return self.units.steps(texts if self.by_place else [t if i is not None else b"" for i, t in zip(ids, texts)])
@@ -191,7 +212,11 @@ def decided_windows(
                 yield step, s, numbers
 
     def keys_of(table: pa.Table):
-        found = [(s.anchor, search.owners(ids, step, s.first)) for step, s, ids in stretches(table)]
+        found = []
+        for step, s, ids in stretches(table):
+            found.append((s.anchor, search.owners(ids, step, s.first)))
+            if search.by_place:
+                found.append((s.anchor[s.several], -1 - found[-1][1][s.several]))
         found.append((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
         return distinct_keys(*map(np.concatenate, zip(*found)))
 
@@ -237,16 +262,18 @@ def decided_windows(
 
     def judge(table: pa.Table) -> pa.Table:
         number: dict[bytes, int] = {}
-        low, high, anchors, rows = [], [], [], []
+        low, high, anchors, counts, rows = [], [], [], [], []
         for row in table.to_pylist():
             places = []
-            values = [np.frombuffer(row[c], k).tolist() for c, k in (("low", np.int64), ("high", np.int64), ("anchors", np.uint64))]
-            for piece, a, b, anchor in zip(row["pieces"], *values):
+            kinds = {"low": np.int64, "high": np.int64, "anchors": np.uint64, "sizes": np.int32}
+            values = [np.frombuffer(row[c], kind).tolist() for c, kind in kinds.items()]
+            for piece, a, b, anchor, size in zip(row["pieces"], *values):
                 k = number.setdefault(piece, len(number))
                 if k == len(low):
                     low.append(a)
                     high.append(b)
                     anchors.append(anchor)
+                    counts.append(size)
                 else:
                     # Places in different blocks are different, whatever their numbers.
                     high[k] = max(high[k], b, low[k] + 1) if search.by_place else max(high[k], b)
@@ -256,7 +283,13 @@ def decided_windows(
         pieces, low, high = list(number), np.array(low, np.int64), np.array(high, np.int64)
         verdicts: list = [None] * len(pieces)
         worth = np.zeros(len(pieces), bool)
-        for batch in _batches(pieces, np.array(anchors, np.uint64)):
+        # The only piece of an anchor decides itself if it stands at two places.
+        anchors = np.array(anchors, np.uint64)
+        _, which, pieces_of = np.unique(anchors, return_inverse=True, return_counts=True)
+        plain = (pieces_of[which] == 1) & (high > low) if len(pieces) else np.zeros(0, bool)
+        for k in np.flatnonzero(plain).tolist():
+            verdicts[k], worth[k] = np.full(counts[k], 1 if search.by_place else low[k], np.int64), True
+        for batch in _batches(pieces, anchors, np.flatnonzero(~plain)):
             found, good = search.decide([pieces[k] for k in batch], low[batch], high[batch])
             worth[batch] = good
             for k, v in zip(batch, found):
@@ -301,9 +334,9 @@ def decided_windows(
     return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(apply, schema)
 
 
-def _batches(pieces: list[bytes], anchors: np.ndarray) -> Iterator[np.ndarray]:
-    """Numbers of pieces, in batches of about ``BATCH_BYTES`` that never part an anchor."""
-    order = np.argsort(anchors, kind="stable")
+def _batches(pieces: list[bytes], anchors: np.ndarray, chosen: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of chosen pieces, in batches of about ``BATCH_BYTES`` that never part an anchor."""
+    order = chosen[np.argsort(anchors[chosen], kind="stable")]
     size, first = 0, 0
     for i, k in enumerate(order):
         if size > BATCH_BYTES and anchors[k] != anchors[order[i - 1]]:
