@@ -10,6 +10,7 @@ documents is boilerplate and its lines are dropped. DataFrame functions only.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,12 +89,18 @@ def recurring_lines(documents: DataFrame, tree: Tree = Tree()) -> DataFrame:
     distinct = written(
         documents_of.groupBy("_leaf", "_masked").agg(F.count(F.lit(1)).alias("_docs")), "distinct"
     )
+    # A leaf with one line is its own template; only the others are taken apart.
+    several = written(
+        distinct.groupBy("_leaf").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_leaf"), "several"
+    )
+    varied = written(distinct.join(several, "_leaf"), "varied")
+    templates = written(_templates(varied, tree), "templates")
+    compared = varied.join(templates, "_leaf").withColumn("_like", _is_like(tree)).drop("_template")
+    alone = distinct.join(several, "_leaf", "left_anti").withColumn("_like", F.lit(True))
+    exact = F.col("_docs") >= tree.min_docs
     similar = written(
-        distinct.join(_templates(distinct, tree), "_leaf").select(
-            "_leaf", "_masked", (F.col("_docs") >= tree.min_docs).alias("_exact"), _is_like(tree).alias("_like")
-        ),
-        "similar",
-    ).where("_exact or _like")
+        compared.unionByName(alone).select("_leaf", "_masked", exact.alias("_exact"), "_like").where("_exact or _like"), "similar"
+    )
     members = written(found.select("_leaf", "_masked", *_KEY, "_line").join(similar, ["_leaf", "_masked"]), "members")
     support = (
         members.where("_like").select("_leaf", *_KEY).distinct().groupBy("_leaf").agg(F.count(F.lit(1)).alias("_support"))
@@ -106,8 +113,13 @@ def recurring_lines(documents: DataFrame, tree: Tree = Tree()) -> DataFrame:
 def _lines(documents: DataFrame, tree: Tree) -> DataFrame:
     docs = documents.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), text_column().alias("_text"))
     lines = docs.select(*_KEY, F.posexplode(F.split("_text", "\n", -1)).alias("_line", "_raw"))
-    spaced = F.trim(F.regexp_replace("_raw", _SPACE, " "))
-    masked = lines.select(*_KEY, "_line", F.regexp_replace(spaced, _DIGIT_TOKEN, VARIABLE).alias("_masked"))
+    # Most lines need neither replacement.
+    spaces = ["  ", *"\t\x0b\x0c\r"]
+    odd = reduce(lambda a, b: a | b, [F.col("_raw").contains(c) for c in spaces])
+    single = F.when(odd, F.regexp_replace("_raw", _SPACE, " ")).otherwise(F.col("_raw"))
+    spaced = lines.select(*_KEY, "_line", F.trim(single).alias("_spaced"))
+    variable = F.when(F.col("_spaced").rlike("[0-9]"), F.regexp_replace("_spaced", _DIGIT_TOKEN, VARIABLE))
+    masked = spaced.select(*_KEY, "_line", variable.otherwise(F.col("_spaced")).alias("_masked"))
     tokens = F.length("_masked") - F.length(F.replace("_masked", F.lit(" "), F.lit(""))) + 1
     lead = F.substring_index("_masked", " ", tree.depth)
     return masked.where((F.col("_masked") != "") & (tokens >= tree.min_tokens)).select(
