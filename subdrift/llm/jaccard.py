@@ -31,6 +31,8 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 # Sizes that may be taken for small; their subsets stay few.
 _LARGEST_SMALL = 12
+# Bits of a set's parity signature.
+_BITS = 1024
 # Lists of a document that are tried first; all others follow, so this only changes the cost.
 _TRIED_FIRST = 4
 
@@ -179,7 +181,7 @@ def jaccard_components(
 
     def describe(docs: pa.Table, told: pa.Table) -> pa.Table:
         repeated, _ = answers(told)
-        out = {"doc_id": [], "n_shingles": [], "content": [], "text": [], "keys": []}
+        out = {"doc_id": [], "n_shingles": [], "content": [], "text": [], "keys": [], "parity": []}
         seen = set()  # equal rows are in one block
         for doc_id, text, found in _sets(docs, threshold):
             first = doc_id is not None and (doc_id, text) not in seen
@@ -191,11 +193,12 @@ def jaccard_components(
             out["content"].append(_digest(found))
             out["text"].append(text if len(keys) else None)
             out["keys"].append(keys.view(np.int64))
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+            out["parity"].append(_parity(found) if len(keys) else None)
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         return pa.table({c: pa.array(v, kind) for (c, v), kind in zip(out.items(), kinds)})
 
     repeated = repeated_keys(blocks, n_blocks, keys_of)
-    schema = "doc_id long, n_shingles long, content binary, text binary, keys array<long>"
+    schema = "doc_id long, n_shingles long, content binary, text binary, keys array<long>, parity array<long>"
     described = written(
         blocks.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(describe, schema), "described"
     )
@@ -208,18 +211,26 @@ def jaccard_components(
     )
     chosen = written(
         described.where(F.size("keys") > 0)
-        .select("content", "doc_id", F.col("n_shingles").alias("n"), "keys")
+        .select("content", "doc_id", F.col("n_shingles").alias("n"), "keys", "parity")
         .join(first.withColumnRenamed("first", "doc_id"), ["content", "doc_id"], "left_semi"),
         "chosen",
     )
     texts = described.where("text is not null").select("doc_id", "text")
+    # Sets of these sizes that link differ in so many elements at most. Parities differ in no
+    # more bits than the sets in elements, so this loses no link and spares most texts.
     sizes_fit = 100 * F.least("n", "n_b") >= threshold.percent * F.greatest("n", "n_b")
+    together = F.col("n") + F.col("n_b")
+    apart = together - 2 * F.ceil(threshold.percent * together / F.lit(100 + threshold.percent))
+    differing = F.aggregate(
+        F.zip_with("parity", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, bits: total + bits
+    )
+    may_link = sizes_fit & (differing <= apart)
 
-    tried = chosen.select(F.explode(F.slice("keys", 1, _TRIED_FIRST)).alias("key"), "doc_id", "n")
-    heads = written(tried.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("head")), "heads")
+    tried = chosen.select(F.explode(F.slice("keys", 1, _TRIED_FIRST)).alias("key"), "doc_id", "n", "parity")
+    heads = written(tried.groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "parity"), "doc_id").alias("head")), "heads")
     starred = (
-        tried.join(heads.select("key", F.col("head.doc_id").alias("b"), F.col("head.n").alias("n_b")), "key")
-        .where((F.col("doc_id") != F.col("b")) & sizes_fit)
+        tried.join(heads.select("key", *[F.col(f"head.{c}").alias(b) for c, b in (("doc_id", "b"), ("n", "n_b"), ("parity", "parity_b"))]), "key")
+        .where((F.col("doc_id") != F.col("b")) & may_link)
         .select(F.col("b").alias("a"), F.col("doc_id").alias("b"))
         .distinct()
     )
@@ -229,16 +240,16 @@ def jaccard_components(
     # All lists, for what the first ones have not joined.
     parts = components(links).withColumnRenamed("node", "doc_id")
     labelled = written(
-        chosen.join(parts, "doc_id", "left").select("doc_id", "n", "keys", F.coalesce("component", "doc_id").alias("component")),
+        chosen.join(parts, "doc_id", "left").select("doc_id", "n", "keys", "parity", F.coalesce("component", "doc_id").alias("component")),
         "labelled",
     )
-    lists = labelled.select(F.explode("keys").alias("key"), "doc_id", "n", "component")
+    lists = labelled.select(F.explode("keys").alias("key"), "doc_id", "n", "component", "parity")
     spread = lists.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     left = written(lists.join(written(spread.where("low < high").select("key"), "open"), "key"), "left")
-    other = left.select("key", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
+    other = left.select("key", *[F.col(c).alias(b) for c, b in (("doc_id", "b"), ("n", "n_b"), ("component", "component_b"), ("parity", "parity_b"))])
     across = (
         left.join(other, "key")
-        .where((F.col("component") < F.col("component_b")) & sizes_fit)
+        .where((F.col("component") < F.col("component_b")) & may_link)
         .select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b"))
         .distinct()
     )
@@ -252,6 +263,12 @@ def jaccard_components(
     )
 
 
+def _parity(found: np.ndarray) -> np.ndarray:
+    """For each of some slots, whether an odd number of elements falls there."""
+    odd = np.bincount((found >> np.uint64(40)).astype(np.int64) % _BITS, minlength=_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _digest(found: np.ndarray) -> bytes:
     import hashlib
 
