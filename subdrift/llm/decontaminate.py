@@ -1,9 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Test items are a query set: they are taken in blocks of bounded size, each of which is held
-against all documents. The n-grams of a block are counted over the whole corpus; of each
-item the rare ones become seeds. A document that has a seed is aligned, word by word,
-with the item around it; the score of the best local alignment, as a share of that of the
+against all documents. Every n-gram of an item is a seed, however frequent it is: a copy
+that leaked often makes its own n-grams frequent. A document that has a seed is aligned,
+word by word, with the item around it, unless too few words of the item are there for any
+alignment to suffice; the score of the best local alignment, as a share of that of the
 whole item, finds copies that were edited or paraphrased in places.
 """
 
@@ -29,15 +30,12 @@ FOUND = "doc_id long, item_id long, score double, first_word long, last_word lon
 
 @dataclass(frozen=True)
 class Matching:
-    """Seeds have ``n`` words and are rare if at most ``rare_times`` as frequent as the
-    item's rarest quarter (plus ``rare_docs``). A match counts ``match``, a differing, left
-    out or put in word costs 1. A document is contaminated from ``least`` of the score of
-    the item and ``least_words`` equal words (or all, if the item has fewer).
-    ``block_words`` of items are looked for at a time."""
+    """Seeds have ``n`` words. A match counts ``match``, a differing, left out or put in word
+    costs 1. A document is contaminated from ``least`` of the score of the item and
+    ``least_words`` equal words (or all, if the item has fewer). ``block_words`` of items
+    are looked for at a time."""
 
     n: int = 3
-    rare_times: int = 4
-    rare_docs: int = 20
     match: int = 2
     least: float = 0.5
     least_words: int = 8
@@ -61,23 +59,8 @@ class Items:
         grams, owners, places = map(np.concatenate, (grams, owners, places))
         order = np.argsort(grams, kind="stable")
         self.grams, self.owners, self.places = grams[order], owners[order], places[order]
-        self.distinct = np.unique(self.grams)
-
-    def keep_rare(self, counts: np.ndarray, matching: Matching) -> None:
-        """Leaves the rare n-grams of each item; ``counts`` are those of ``distinct``."""
-        count = counts[np.searchsorted(self.distinct, self.grams)]
-        keep = np.zeros(len(count), bool)
-        for k in range(len(self.ids)):
-            own = np.flatnonzero(self.owners == k) if len(self.ids) < 64 else self._of(k)
-            if len(own):
-                keep[own] = count[own] <= matching.rare_times * np.quantile(count[own], 0.25) + matching.rare_docs
-        self.grams, self.owners, self.places = self.grams[keep], self.owners[keep], self.places[keep]
-
-    def _of(self, k: int) -> np.ndarray:
-        if not hasattr(self, "_by_owner"):
-            self._by_owner = np.argsort(self.owners, kind="stable")
-            self._edges = np.searchsorted(self.owners[self._by_owner], np.arange(len(self.ids) + 1))
-        return self._by_owner[self._edges[k] : self._edges[k + 1]]
+        # Of each distinct n-gram: its first place in the order, and how many there are.
+        self.distinct, self.first, self.many = np.unique(self.grams, return_index=True, return_counts=True)
 
 
 def _grams(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -106,26 +89,42 @@ def align(item: np.ndarray, passage: np.ndarray, match: int) -> tuple[int, int]:
     return best, end
 
 
+def _starts(at: np.ndarray, gram: np.ndarray, items: Items, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray]]:
+    """Every item that has one of the n-grams ``gram`` (numbers of distinct ones) found at the
+    words ``at``, and where it would start by them, in order; may be below 0. About
+    ``limit`` pairs are looked at together."""
+    if not len(at):
+        return
+    shift = max(map(len, items.hashes))
+    ends = np.concatenate([[0], np.cumsum(items.many[gram])])
+    keys, first = [], 0
+    while first < len(at):
+        stop = max(first + 1, int(np.searchsorted(ends, ends[first] + limit, "right")) - 1)
+        many = items.many[gram[first:stop]]
+        slot = np.arange(ends[first], ends[stop]) + np.repeat(items.first[gram[first:stop]] - ends[first:stop], many)
+        start = np.repeat(at[first:stop], many) - items.places[slot]
+        keys.append(np.unique((items.owners[slot] << 40) + start + shift))
+        first = stop
+    found = np.unique(np.concatenate(keys)) if len(keys) > 1 else keys[0]
+    owner, start = found >> 40, (found & (1 << 40) - 1) - shift
+    edges = np.flatnonzero(np.diff(owner, prepend=-1, append=-1)).tolist()
+    for a, b in zip(edges[:-1], edges[1:]):
+        yield int(owner[a]), start[a:b]
+
+
 def search(text: bytes, items: Items, matching: Matching, hashes: Words) -> Iterator[tuple[int, float, int, int]]:
     """(item, score, first word, last word) of every item found in a text: its best place."""
     words = hashes.hashes(words_of(text))
-    known, place = among(_grams(words, matching.n), items.grams)
-    hits: dict[int, list[int]] = {}
-    for at, first in zip(np.flatnonzero(known).tolist(), place[known].tolist()):
-        gram = items.grams[first]
-        while first < len(items.grams) and items.grams[first] == gram:
-            hits.setdefault(int(items.owners[first]), []).append(at - int(items.places[first]))
-            first += 1
-    for k, starts in hits.items():
+    known, place = among(_grams(words, matching.n), items.distinct)
+    for k, starts in _starts(np.flatnonzero(known), place[known], items):
         item = items.hashes[k]
         size, whole = len(item), matching.match * len(item)
         best = (0, 0, 0)
-        seen = -1
-        for start in sorted(starts):
-            if start <= seen:
-                continue
+        at = 0
+        while at < len(starts):
             # One stretch for all hits that lie close together.
-            seen = start + size
+            start = int(starts[at])
+            at = int(np.searchsorted(starts, start + size, "right"))
             first, stop = max(0, start - size), min(len(words), start + 3 * size)
             passage = words[first:stop]
             # No alignment has more matches than the item has words in the passage.
@@ -156,40 +155,19 @@ def _blocks(benchmark: DataFrame, matching: Matching) -> Iterator[Items]:
             yield items
 
 
-def _with_seeds(docs: DataFrame, benchmark: DataFrame, matching: Matching) -> Iterator[Items]:
-    """Blocks of items with their seeds, after counting over all of ``docs``."""
-    for items in _blocks(benchmark, matching):
-        grams = docs.sparkSession.sparkContext.broadcast(items.distinct)
-
-        def count(batches, grams=grams):
-            hashes, total = Words(1, 1), np.zeros(len(grams.value), np.int64)
-            for batch in batches:
-                for text in utf8(batch, "text"):
-                    known, place = among(_grams(hashes.hashes(words_of(text)), matching.n), grams.value)
-                    total[np.unique(place[known])] += 1
-            seen = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["gram", "n"])
-
-        counted = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        counts = np.zeros(len(items.distinct), np.int64)
-        for row in counted.collect():  # as many as the block has n-grams at most
-            counts[row["gram"]] = row["n"]
-        items.keep_rare(counts, matching)
-        yield items
-
-
 def find_items(documents: DataFrame, benchmark: DataFrame, matching: Matching = Matching()) -> DataFrame:
     """``doc_id, item_id, score, first_word, last_word`` for every document that holds a test
     item (its best place; words of ASCII letters and digits and all other characters above).
 
     Null and empty texts hold nothing and are not looked for; an item of fewer words than a
-    seed is looked for as a whole. Repeated documents give a row each, with a null id too;
+    seed is looked for as a whole. A passage that shares no ``n`` words in a row with the
+    item has no seed and is not found, whatever its score. Repeated documents give a row each, with a null id too;
     an item that stands twice in ``benchmark`` counts once, one without an id is left out.
     Other columns are ignored; an empty table on either side gives an empty result.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
     found = []
-    for items in _with_seeds(docs, benchmark, matching):
+    for items in _blocks(benchmark, matching):
         block = docs.sparkSession.sparkContext.broadcast(items)
 
         def find(batches, block=block):
@@ -218,7 +196,7 @@ def without_items(documents: DataFrame, benchmark: DataFrame, matching: Matching
     """The rows of ``documents`` that hold no test item, with all their columns, found row
     by row without a join."""
     left = documents
-    for items in _with_seeds(documents.select(text_column().alias("text")), benchmark, matching):
+    for items in _blocks(benchmark, matching):
         block = documents.sparkSession.sparkContext.broadcast(items)
 
         @F.pandas_udf("boolean")

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from subdrift.llm.decontaminate import Matching, align, find_items, without_items
+from subdrift.llm.decontaminate import Items, Matching, _starts, align, find_items, without_items
 from tests.llm.helpers import SMALL, awkward, documents, frame
 
 
@@ -73,6 +73,30 @@ def test_a_leaked_item_of_many_documents_is_found_in_all(spark):
     assert find_items(df, benchmark).count() == 3000
 
 
+def test_edited_and_cut_copies_in_many_documents_are_found_in_all(spark):
+    """They break over a quarter of the item's n-grams and make all others frequent."""
+    words = [f"w{i}" for i in range(30)]
+    benchmark = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    edited = ["changed" if i in (5, 15, 25) else w for i, w in enumerate(words)]
+    for copy in (edited, words[:21]):
+        text = F.concat(F.col("id").cast("string"), F.lit(f" {' '.join(copy)} end"))
+        df = spark.range(3000).select(F.col("id").alias("doc_id"), text.alias("text"))
+        assert find_items(df, benchmark).count() == 3000 and without_items(df, benchmark).count() == 0
+
+
+def test_starts_do_not_depend_on_the_step():
+    random.seed(6)
+    items = Items([(i, " ".join(random.choices("abc", k=random.randint(3, 30)))) for i in range(8)], Matching())
+    gram = np.array(random.choices(range(len(items.distinct)), k=300))
+    at = np.sort(np.array(random.sample(range(1000), 300)))
+    want = {}
+    for a, g in zip(at.tolist(), gram.tolist()):
+        for owner, place in zip(items.owners[items.grams == items.distinct[g]], items.places[items.grams == items.distinct[g]]):
+            want.setdefault(int(owner), set()).add(a - int(place))
+    for limit in (1, 50, 1 << 20):
+        assert {k: s.tolist() for k, s in _starts(at, gram, items, limit)} == {k: sorted(s) for k, s in want.items()}
+
+
 def test_empty_sides(spark):
     df, benchmark = frame(spark, awkward(spark)), spark.createDataFrame([], "item_id long, text string")
     assert find_items(df, benchmark).count() == 0 and without_items(df, benchmark).count() == df.count()
