@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,3 +59,17 @@ def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTE
 def utf8(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """The UTF-8 bytes of a text column."""
     return batch.column(column).cast(pa.binary()).to_pylist()
+
+
+def portions(texts: Iterable[str], limit: int = STEP_BYTES) -> Iterator[list[bytes]]:
+    """The UTF-8 bytes of texts, in lists of about ``limit`` bytes (at least one text each)."""
+    part, total = [], 0
+    for text in texts:
+        raw = text.encode("utf-8", "surrogatepass")
+        if part and total + len(raw) > limit:
+            yield part
+            part, total = [], 0
+        part.append(raw)
+        total += len(raw)
+    if part:
+        yield part

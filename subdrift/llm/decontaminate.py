@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subdrift.llm.common import steps, text_column, utf8, written
+from subdrift.llm.common import portions, steps, text_column, utf8, written
 from subdrift.llm.exchange import among, mixed
 from subdrift.llm.licenses import words_of
 from subdrift.llm.repeated_words import Words
@@ -204,9 +204,10 @@ def without_items(documents: DataFrame, benchmark: DataFrame, matching: Matching
             import pandas as pd
 
             hashes = Words(1, 1)
-            return pd.Series(
-                [next(search(t.encode("utf-8", "surrogatepass"), block.value, matching, hashes), None) is None for t in texts], dtype=bool
+            kept = (
+                next(search(raw, block.value, matching, hashes), None) is None for part in portions(texts) for raw in part
             )
+            return pd.Series(list(kept), dtype=bool)
 
         left = left.where(clean(text_column()))
     return left

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subdrift.llm.common import steps, text_column, utf8
+from subdrift.llm.common import portions, steps, text_column, utf8
 
 # Characters counted as symbols, and white space between words.
 SYMBOLS = b"#*$%&|<>"
@@ -25,6 +25,8 @@ WHITE_SPACE = b" \t\n\x0b\x0c\r"
 BASE_WINDOW = 3
 BASE_MIN_WORDS = 50
 BASE_MAX_REPEAT_PERCENT = 50
+# Text whose suffixes are sorted together, in bytes.
+BATCH_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -78,20 +80,22 @@ def quality_of_text(limits: Limits = Limits()):
     def good(texts):
         import pandas as pd
 
-        c = measure([t.encode("utf-8", "surrogatepass") for t in texts], limits)
-        failed = (c["n_words"] < BASE_MIN_WORDS) | (
-            100 * c["n_repeat_words"] > BASE_MAX_REPEAT_PERCENT * c["n_words"]
-        )
-        repetitive = (100 * c["covered_words"] > limits.max_covered_percent * c["n_words"]) | (
-            c["longest_repeat"] >= limits.long_repeat
-        )
-        return pd.Series(~failed & ~repetitive)
+        # A batch is a number of rows, whatever their length; what is sorted together is cut by bytes.
+        verdicts = [np.zeros(0, bool)]
+        for part in portions(texts, BATCH_BYTES):
+            c = measure(part, limits)
+            failed = (c["n_words"] < BASE_MIN_WORDS) | (100 * c["n_repeat_words"] > BASE_MAX_REPEAT_PERCENT * c["n_words"])
+            repetitive = (100 * c["covered_words"] > limits.max_covered_percent * c["n_words"]) | (
+                c["longest_repeat"] >= limits.long_repeat
+            )
+            verdicts.append(~failed & ~repetitive)
+        return pd.Series(np.concatenate(verdicts))
 
     return good
 
 
 def _count(batches: Iterator[pa.RecordBatch], limits: Limits) -> Iterator[pa.RecordBatch]:
-    for batch in steps(batches, "text", 4 << 20):
+    for batch in steps(batches, "text", BATCH_BYTES):
         columns = measure(utf8(batch, "text"), limits)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), *(pa.array(v, pa.int64()) for v in columns.values())],
