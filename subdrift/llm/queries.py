@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subdrift.llm import decontaminate, jaccard, licenses, line_templates, mixing, private_data, quality, repeated_bytes, repeated_words, token_files
+from subdrift.llm import decontaminate, jaccard, lexical_search, licenses, line_templates, mixing, private_data, quality, repeated_bytes, repeated_words, token_files
 from subdrift.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, path)
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents ranked for every benchmark item."""
+    return lexical_search.search_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -93,5 +98,6 @@ def queries() -> dict[str, Query]:
         "op8_private_data": op8_private_data,
         "op9_repeated_words": op9_repeated_words,
         "op10_token_files": op10_token_files,
+        "op13_lexical_search": op13_lexical_search,
         "pipeline": corpus_pipeline.run,
     }

@@ -153,5 +153,30 @@ SELECT t.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT A
 FROM t LEFT JOIN g ON t.doc_id = g.doc_id"""
 
 
+def _lexical_search() -> str:
+    terms = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (SELECT * FROM (SELECT doc_id, {terms} AS terms FROM documents) WHERE len(terms) > 0)
+, s AS (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS total FROM d)
+, p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d) GROUP BY ALL)
+, f AS (SELECT term, count(*) AS df FROM p GROUP BY 1)
+, q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({terms}) AS term FROM benchmark) GROUP BY 1, 2)
+, r AS (
+  SELECT item_id, doc_id, sum(times * floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT
+    * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total))))::BIGINT AS score
+  FROM q JOIN f USING (term) JOIN p USING (term), s GROUP BY 1, 2
+)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM r WHERE score > 0
+) WHERE rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": _quality(), "op4_jaccard_join": _jaccard(), "op5_line_templates": _line_templates(), "op6_mixing": _mixing(), "op9_repeated_words": _repeated_words()}
+    return {
+        "op3_quality_rules": _quality(),
+        "op4_jaccard_join": _jaccard(),
+        "op5_line_templates": _line_templates(),
+        "op6_mixing": _mixing(),
+        "op9_repeated_words": _repeated_words(),
+        "op13_lexical_search": _lexical_search(),
+    }

@@ -1,0 +1,118 @@
+"""Ranked search against scoring every document for every query."""
+
+import collections
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+
+from subdrift.llm.lexical_search import Postings, Settings, build_index, pack, search, search_documents, search_shard, shard_rows, unpack
+from tests.llm.helpers import awkward, documents, frame, tuples
+
+TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+
+
+def terms(text):
+    return collections.Counter(TERM.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or "")))
+
+
+def brute(docs, queries, k=10):
+    docs = [(i, c, sum(c.values())) for i, t in docs if (c := terms(t))]
+    n, total = len(docs), sum(d[2] for d in docs)
+    df = collections.Counter(w for d in docs for w in d[1])
+    out = []
+    for item, text in set(queries):
+        scores = []
+        for i, c, size in docs:
+            m = 25 + 75 * size * n // total
+            score = sum(
+                times * math.floor(1000 * math.log((2 * n + 2) / (2 * df[w] + 1))) * (10**9 * c[w] // (1000 * c[w] + 8 * m))
+                for w, times in terms(text).items()
+                if w in c
+            )
+            if score > 0:
+                scores.append((-score, i is None, i))
+        out += [(item, rank + 1, i, -s) for rank, (s, _, i) in enumerate(sorted(scores, key=lambda x: (x[0], x[1], x[2] or 0))[:k])]
+    return sorted(out, key=repr)
+
+
+def queries(spark, more=()):
+    random.seed(4)
+    rows = [(i, " ".join(random.sample((t or "").split()[:200] or ["x"], min(12, len((t or "x").split()[:200] or ["x"]))))) for i, t in documents(spark)[:25]]
+    odd = [(100, None), (101, ""), (102, "?!"), (103, "the the the THE the"), (103, "other text of one id"), (None, "alpha beta"), rows[0], (104, "nowhereatall")]
+    return rows + odd + list(more)
+
+
+def queries_frame(spark, rows):
+    return frame(spark, rows).withColumnRenamed("doc_id", "item_id")
+
+
+@pytest.mark.parametrize("shard_bytes,query_bytes,broadcast", [(8 << 20, 256 << 10, 16 << 20), (40_000, 500, 0)])
+def test_search(spark, shard_bytes, query_bytes, broadcast):
+    docs, asked = awkward(spark), queries(spark)
+    settings = Settings(shard_bytes=shard_bytes, query_bytes=query_bytes, broadcast_bytes=broadcast)
+    got = search_documents(frame(spark, docs), queries_frame(spark, asked), settings)
+    assert got.columns == ["item_id", "rank", "doc_id", "score"]
+    assert tuples(got) == brute(docs, asked)
+
+
+def test_many_copies(spark):
+    """A third of all rows are copies of one text, whose scores are all equal."""
+    docs = documents(spark)[:60] + [(5000 + i, documents(spark)[3][1]) for i in range(30)]
+    asked = [(1, documents(spark)[3][1]), (2, documents(spark)[7][1][:300])]
+    got = search_documents(frame(spark, docs), queries_frame(spark, asked), Settings(shard_bytes=50_000))
+    assert tuples(got) == brute(docs, asked)
+
+
+def test_index_is_used_again(spark, scratch):
+    docs, asked = documents(spark)[:80], queries(spark)
+    index = build_index(frame(spark, docs), f"{scratch}/index", Settings(shard_bytes=60_000))
+    assert index.where("term is null").agg({"n_terms": "sum"}).first()[0] == sum(sum(terms(t).values()) for _, t in docs)
+    for part in (asked[:5], asked[5:]):
+        assert tuples(search(index, queries_frame(spark, part), Settings(k=3))) == brute(docs, part, 3)
+
+
+def test_empty_tables(spark):
+    docs, asked = frame(spark, awkward(spark)), queries_frame(spark, queries(spark))
+    for d, q in ((docs.limit(0), asked), (docs, asked.limit(0)), (frame(spark, [(1, None), (2, "")]), asked)):
+        assert search_documents(d, q).count() == 0
+
+
+def test_packed_numbers():
+    r = np.random.default_rng(3)
+    for values in (np.zeros(0, np.int64), np.array([0, 1, 127, 128, 2**35]), r.integers(0, 2 ** r.integers(1, 40, 5000))):
+        packed, ends = pack(values)
+        assert unpack(packed).tolist() == values.tolist() and len(ends) == len(values)
+
+
+def shard(texts, n_docs, n_terms):
+    import pyarrow as pa
+
+    first, *batches = shard_rows(0, pa.array(range(len(texts))), texts)
+    norm_of = lambda n: 25 + 75 * n * n_docs // n_terms
+    norm = norm_of(np.array(first.to_pylist()[0]["lengths"]))
+    return {row["term"]: Postings(row | {"weight": 1}, norm, norm_of) for b in batches for row in b.to_pylist()}, norm
+
+
+def test_blocks_are_left_packed():
+    """Random shards and weights; bounds hold for every block, and frequent terms are mostly never decompressed."""
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    for seed in range(6):
+        texts = [" ".join(r.choices(words, [1 / (i + 1) for i in range(400)], k=r.randint(0, 90))).encode() for _ in range(4000)]
+        lists, norm = shard(texts, 4000, 180_000)
+        chosen = [(r.randint(1, 3000) if i > 2 else 20, lists[f"w{i}".encode()]) for i in [0, 1, 2, *r.sample(range(40, 400), 4)]]
+        ids = np.array(r.sample(range(4000), 4000))
+        docs, scores = search_shard(chosen, 4000, ids, 10)
+        left = sum((~p.known).sum() for _, p in chosen)
+        want = np.zeros(4000, np.int64)
+        for w, p in chosen:
+            p.open(0, len(p.last))
+            want[p.docs] += w * p.parts
+            for b in range(len(p.last)):
+                assert p.parts[b * 128 : (b + 1) * 128].max() == p.block_bounds[b]
+        order = np.lexsort((ids, -want))[:10]
+        assert docs.tolist() == order.tolist() and scores.tolist() == want[order].tolist()
+        assert left > 10

@@ -29,7 +29,7 @@ def test_query(spark, name):
 
 def test_every_operator_is_registered():
     numbers = {name.split("_")[0] for name in queries() if name.startswith("op")}
-    assert numbers == {f"op{n}" for n in range(1, 11)} and "pipeline" in queries()
+    assert numbers == {f"op{n}" for n in range(1, 14)} and "pipeline" in queries()
 
 
 def test_stages(spark):
