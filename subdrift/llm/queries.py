@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subdrift.llm import decontaminate, jaccard, lexical_search, licenses, line_templates, mixing, private_data, quality, repeated_bytes, repeated_words, token_files
+from subdrift.llm import conversations, decontaminate, jaccard, lexical_search, licenses, line_templates, mixing, private_data, quality, repeated_bytes, repeated_words, token_files
 from subdrift.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,16 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, path)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged and repaired; those whose rows are all gone have zeros."""
+    given = _table(spark, sf_dir, "conversations")
+    repaired = conversations.repair(conversations.damaged(given)).withColumnRenamed("conv_id", "_conv_id")
+    joined = given.select("conv_id").distinct().join(repaired, F.col("conv_id").eqNullSafe(F.col("_conv_id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    nothing = F.sha2(F.lit(""), 256)
+    return joined.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents ranked for every benchmark item."""
     return lexical_search.search_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -98,6 +108,7 @@ def queries() -> dict[str, Query]:
         "op8_private_data": op8_private_data,
         "op9_repeated_words": op9_repeated_words,
         "op10_token_files": op10_token_files,
+        "op12_conversation_repair": op12_conversation_repair,
         "op13_lexical_search": op13_lexical_search,
         "pipeline": corpus_pipeline.run,
     }
