@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subdrift.llm import conversations, decontaminate, jaccard, lexical_search, licenses, line_templates, mixing, private_data, quality, repeated_bytes, repeated_words, token_files
+from subdrift.llm import conversations, decontaminate, jaccard, lexical_search, licenses, line_templates, mixing, private_data, quality, quality_classifier, repeated_bytes, repeated_words, token_files
 from subdrift.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,15 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, path)
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, scored by what the labels outside of the held-out fold teach."""
+    documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    machine = quality_classifier.fitted(documents, labels.where(quality_classifier.fold(F.col("doc_id")) != 0))
+    return quality_classifier.scored(documents, machine).select(
+        "doc_id", (quality_classifier.fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, damaged and repaired; those whose rows are all gone have zeros."""
     given = _table(spark, sf_dir, "conversations")
@@ -108,6 +117,7 @@ def queries() -> dict[str, Query]:
         "op8_private_data": op8_private_data,
         "op9_repeated_words": op9_repeated_words,
         "op10_token_files": op10_token_files,
+        "op11_quality_classifier": op11_quality_classifier,
         "op12_conversation_repair": op12_conversation_repair,
         "op13_lexical_search": op13_lexical_search,
         "pipeline": corpus_pipeline.run,
