@@ -35,6 +35,7 @@ SCALE, STEEPNESS, LENGTH_SHARE = 1000, 8, 75
 
 BLOCK = 128  # postings
 FIRST_WINDOW, WINDOW = 256, 1024  # documents
+GROUPS_A_TASK = 4  # shards, each with a block of queries
 
 ROW = (
     "shard long, term binary, df int, last array<int>, ends array<int>, impact_ends array<int>, impacts array<long>, "
@@ -327,14 +328,17 @@ def search(index: DataFrame, queries: DataFrame, settings: Settings = Settings()
     shards = index.where("term is null").select("shard", "doc_ids", "lengths")
     blocks = asked.groupBy("block").agg(F.collect_list(F.struct("item_id", "query", "terms")).alias("queries"))
     beside = found.select("shard", "term").join(wanted, "term").select("block", "shard").distinct().join(shards, "shard").join(blocks, "block")
-    beside = beside.withColumnsRenamed({"block": "of_block", "shard": "of_shard"})
+    beside = written(beside.withColumnsRenamed({"block": "of_block", "shard": "of_shard"}), "beside")
 
     def best(lists: pa.Table, beside: pa.Table) -> pa.Table:
         return _search_group(lists, beside, n_docs, n_terms, settings.k)
 
+    # Searching costs much more than its bytes show: a few groups a task, however small they are.
+    n_tasks = -(-beside.select("of_block", "of_shard").count() // GROUPS_A_TASK)
     heaps = (
-        per_block.groupBy("block", "shard")
-        .cogroup(beside.groupBy("of_block", "of_shard"))
+        per_block.repartition(max(1, n_tasks), "block", "shard")
+        .groupBy("block", "shard")
+        .cogroup(beside.repartition(max(1, n_tasks), "of_block", "of_shard").groupBy("of_block", "of_shard"))
         .applyInArrow(best, "item_id long, query string, doc_id long, score long")
     )
     ranked = Window.partitionBy("item_id", "query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
