@@ -34,6 +34,7 @@ STRUCTURE = (
     "most_frequent", "repeated_lines", "given_length", "length_agrees",
 )
 STEP_BYTES = 4 << 20
+TASKS = 8
 FOLDS = 5
 
 
@@ -190,16 +191,21 @@ def fitted(documents: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Machine
             ends = pa.array(np.append(starts, len(index)), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
+                    part.column("doc_id"),
                     part.column("label"),
                     pa.ListArray.from_arrays(ends, pa.array(index, pa.int32())),
                     pa.ListArray.from_arrays(ends, pa.array(value, pa.float64())),
                 ],
-                names=["label", "index", "value"],
+                names=["doc_id", "label", "index", "value"],
             )
 
     size = fit.size
     vector = F.udf(lambda index, value: SparseVector(size, index, value), VectorUDT())
-    rows = written(taught.select("label", "text", "n_chars").mapInArrow(described, "label double, index array<int>, value array<double>"), "taught")
+    described_rows = taught.select("doc_id", "label", "text", "n_chars").mapInArrow(
+        described, "doc_id long, label double, index array<int>, value array<double>"
+    )
+    # The sample is small, and every round of the fit runs a task for each of its parts.
+    rows = written(described_rows.repartition(TASKS, "doc_id"), "taught")
     classes = {r["label"] for r in rows.groupBy("label").count().collect()}
     if len(classes) < 2:
         share = ones / n
