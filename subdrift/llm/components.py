@@ -39,11 +39,13 @@ def _stars(edges: DataFrame, larger: bool) -> DataFrame:
     back = edges.select(F.col("b").alias("hub"), F.col("a").alias("leaf"))
     if larger:
         around = there.union(back)
-        least = around.groupBy("hub").agg(F.least(F.min("leaf"), F.col("hub")).alias("least"))
+        # Written first, so that it and the other side of the join are both dealt for the join and
+        # a hub with very many leaves can be split.
+        least = written(around.groupBy("hub").agg(F.least(F.min("leaf"), F.col("hub")).alias("least")), "least")
         moved = around.where("leaf > hub").join(least, "hub").select(F.col("least").alias("a"), F.col("leaf").alias("b"))
     else:
         # The node itself hangs on its smallest neighbour like the other smaller ones.
-        least = back.groupBy("hub").agg(F.min("leaf").alias("least"))
+        least = written(back.groupBy("hub").agg(F.min("leaf").alias("least")), "least")
         joined = back.join(least, "hub")
         moved = joined.select(F.col("least").alias("a"), F.col("leaf").alias("b")).union(
             joined.select(F.col("least").alias("a"), F.col("hub").alias("b"))

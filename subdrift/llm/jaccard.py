@@ -8,7 +8,11 @@ one document only are dropped before any list is made (``exchange``).
 
 Lists are not turned into all their pairs: some lists of every document first check their
 documents against the smallest one; then all lists that still hold documents of
-different components have their pairs across components checked.
+different components have their pairs across components checked. Elements are listed with
+their place in the set by rarity: the first common element of two sets must leave enough
+behind it on both sides. A set looks for partners that are not larger, which have to
+list fewer elements than the set itself. Pairs are first compared by sketches whose size
+follows that of the sets, which lose no link; texts are fetched for what is left.
 """
 
 from __future__ import annotations
@@ -31,8 +35,12 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 # Sizes that may be taken for small; their subsets stay few.
 _LARGEST_SMALL = 12
-# Bits of a set's parity signature.
-_BITS = 1024
+# Bits of a sketch for each element of its set.
+_BITS_EACH = 4
+# Ids up to so many bytes are broadcast to fetch their texts.
+_BROADCAST_BYTES = 16 << 20
+# Partial sums of counters are added up in two steps, the first in so many groups.
+_SPREAD = 256
 # Lists of a document that are tried first; all others follow, so this only changes the cost.
 _TRIED_FIRST = 4
 
@@ -105,7 +113,9 @@ def _statistics(docs: DataFrame, threshold: Threshold, pieces: int = 64) -> tupl
         total = sum(np.frombuffer(c, np.int64) for c in table.column("counts").to_pylist())
         return pa.table({"piece": table.column("piece")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
-    rows = docs.select("text").mapInArrow(count, schema).groupBy("piece").applyInArrow(add, schema).collect()
+    counted = docs.select("text").mapInArrow(count, schema).withColumn("spread", F.pmod(F.spark_partition_id(), F.lit(_SPREAD)))
+    partial = counted.groupBy("piece", "spread").applyInArrow(add, schema)
+    rows = partial.groupBy("piece").applyInArrow(add, schema).collect()
     parts = {r["piece"]: np.frombuffer(r["counts"], np.int64) for r in rows}
     if not parts:
         return np.zeros(threshold.slots, np.int64), np.zeros(_LARGEST_SMALL + 2, np.int64)
@@ -131,12 +141,13 @@ def boundary(sizes: np.ndarray, slots: np.ndarray, threshold: Threshold) -> int:
     return min(range(_LARGEST_SMALL + 1), key=cost)
 
 
-def _keys(found: np.ndarray, slots: np.ndarray, small: int, threshold: Threshold) -> np.ndarray:
-    """The keys of a set: subsets of a small one, the rarest elements of a large one."""
+def _keys(found: np.ndarray, slots: np.ndarray, small: int, threshold: Threshold) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a set, sorted: subsets of a small one, the rarest elements of a large one;
+    and the places of the elements by rarity (below 0: a subset)."""
     n = len(found)
+    keys, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
     if not n:
-        return found
-    out = []
+        return keys[0], places[0]
     if n <= small:
         values = found.tolist()
         for m in threshold.partners(n):
@@ -148,11 +159,15 @@ def _keys(found: np.ndarray, slots: np.ndarray, small: int, threshold: Threshold
                     key = np.array([kind], np.uint64)
                     for v in subset:
                         key = mixed(key * _STEP + np.uint64(v))
-                    out.append(key)
+                    keys.append(key)
+                    places.append(np.array([-1], np.int32))
     if n > small or max(threshold.partners(n)) > small:
         common = slots[(found % np.uint64(len(slots))).astype(np.int64)]
-        out.append(found[np.lexsort((found, common))[: threshold.listed(n)]])
-    return np.unique(np.concatenate(out)) if out else found[:0]
+        listed = threshold.listed(n)
+        keys.append(found[np.lexsort((found, common))[:listed]])
+        places.append(np.arange(listed, dtype=np.int32))
+    distinct, first = np.unique(np.concatenate(keys), return_index=True)
+    return distinct, np.concatenate(places)[first]
 
 
 def jaccard_components(
@@ -175,86 +190,84 @@ def jaccard_components(
         keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for doc_id, _, found in _sets(table, threshold):
             if doc_id is not None:
-                keys.append(_keys(found, shared.value, limit, threshold))
+                keys.append(_keys(found, shared.value, limit, threshold)[0])
                 owners.append(np.full(len(keys[-1]), doc_id, np.int64))
         return distinct_keys(np.concatenate(keys), np.concatenate(owners))
 
     def describe(docs: pa.Table, told: pa.Table) -> pa.Table:
         repeated, _ = answers(told)
-        out = {"doc_id": [], "n_shingles": [], "content": [], "text": [], "keys": [], "parity": []}
+        out = {"doc_id": [], "n_shingles": [], "content": [], "keys": [], "places": [], "parity": []}
         seen = set()  # equal rows are in one block
         for doc_id, text, found in _sets(docs, threshold):
-            first = doc_id is not None and (doc_id, text) not in seen
-            seen.add((doc_id, text))
-            keys = _keys(found, shared.value, limit, threshold) if first else found[:0]
-            keys = keys[among(keys, repeated)[0]]
+            content = _digest(found)
+            keys, places = found[:0], np.zeros(0, np.int32)
+            if doc_id is not None and (doc_id, content) not in seen:
+                seen.add((doc_id, content))
+                keys, places = _keys(found, shared.value, limit, threshold)
+                there = among(keys, repeated)[0]
+                keys, places = keys[there], places[there]
             out["doc_id"].append(doc_id)
             out["n_shingles"].append(len(found))
-            out["content"].append(_digest(found))
-            out["text"].append(text if len(keys) else None)
+            out["content"].append(content)
             out["keys"].append(keys.view(np.int64))
+            out["places"].append(places)
             out["parity"].append(_parity(found) if len(keys) else None)
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
         return pa.table({c: pa.array(v, kind) for (c, v), kind in zip(out.items(), kinds)})
 
     repeated = repeated_keys(blocks, n_blocks, keys_of)
-    schema = "doc_id long, n_shingles long, content binary, text binary, keys array<long>, parity array<long>"
+    schema = "doc_id long, n_shingles long, content binary, keys array<long>, places array<int>, parity array<long>"
     described = written(
         blocks.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(describe, schema), "described"
     )
     # Equal sets link to the smallest id that has them; only that one goes on.
-    counted = described.where("n_shingles > 0 and doc_id is not null")
+    counted = described.where("n_shingles > 0 and doc_id is not null").select("doc_id", "content")
     first = written(counted.groupBy("content").agg(F.min("doc_id").alias("first")), "first")
     equal = written(
-        counted.select("doc_id", "content").join(first, "content").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")),
+        counted.join(first, "content").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")),
         "equal",
     )
     chosen = written(
         described.where(F.size("keys") > 0)
-        .select("content", "doc_id", F.col("n_shingles").alias("n"), "keys", "parity")
+        .select("content", "doc_id", F.col("n_shingles").alias("n"), "keys", "places", "parity")
         .join(first.withColumnRenamed("first", "doc_id"), ["content", "doc_id"], "left_semi"),
         "chosen",
     )
-    texts = described.where("text is not null").select("doc_id", "text")
-    # Sets of these sizes that link differ in so many elements at most. Parities differ in no
-    # more bits than the sets in elements, so this loses no link and spares most texts.
-    sizes_fit = 100 * F.least("n", "n_b") >= threshold.percent * F.greatest("n", "n_b")
-    together = F.col("n") + F.col("n_b")
-    apart = together - 2 * F.ceil(threshold.percent * together / F.lit(100 + threshold.percent))
-    differing = F.aggregate(
-        F.zip_with("parity", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, bits: total + bits
-    )
-    may_link = sizes_fit & (differing <= apart)
 
-    tried = chosen.select(F.explode(F.slice("keys", 1, _TRIED_FIRST)).alias("key"), "doc_id", "n", "parity")
-    heads = written(tried.groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "parity"), "doc_id").alias("head")), "heads")
+    listed = F.explode(F.arrays_zip("keys", "places")).alias("at")
+    entry = ["at.keys as key", "at.places as place", "doc_id", "n"]
+    tried = chosen.withColumns({c: F.slice(c, 1, _TRIED_FIRST) for c in ("keys", "places")}).select(listed, "doc_id", "n").selectExpr(*entry)
+    heads = written(tried.groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "place"), "doc_id").alias("head")), "heads")
     starred = (
-        tried.join(heads.select("key", *[F.col(f"head.{c}").alias(b) for c, b in (("doc_id", "b"), ("n", "n_b"), ("parity", "parity_b"))]), "key")
-        .where((F.col("doc_id") != F.col("b")) & may_link)
-        .select(F.col("b").alias("a"), F.col("doc_id").alias("b"))
+        tried.join(heads.select("key", *[F.col(f"head.{c}").alias(b) for c, b in (("doc_id", "b"), ("n", "n_b"), ("place", "place_b"))]), "key")
+        .where((F.col("doc_id") != F.col("b")) & _may_link(threshold))
+        .select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b"))
         .distinct()
     )
     checked = written(starred, "pairs")
-    links = written(linked(checked, texts, threshold), "links")
+    links = written(linked(checked, chosen, blocks, threshold), "links")
 
     # All lists, for what the first ones have not joined.
     parts = components(links).withColumnRenamed("node", "doc_id")
     labelled = written(
-        chosen.join(parts, "doc_id", "left").select("doc_id", "n", "keys", "parity", F.coalesce("component", "doc_id").alias("component")),
+        chosen.join(parts, "doc_id", "left").select("doc_id", "n", "keys", "places", F.coalesce("component", "doc_id").alias("component")),
         "labelled",
     )
-    lists = labelled.select(F.explode("keys").alias("key"), "doc_id", "n", "component", "parity")
+    lists = labelled.select(listed, "doc_id", "n", "component").selectExpr(*entry, "component")
     spread = lists.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     left = written(lists.join(written(spread.where("low < high").select("key"), "open"), "key"), "left")
-    other = left.select("key", *[F.col(c).alias(b) for c, b in (("doc_id", "b"), ("n", "n_b"), ("component", "component_b"), ("parity", "parity_b"))])
+    # Partners that are not larger: their first common element stands among still fewer of theirs.
+    smaller = left.where(F.col("place") < 0).unionByName(left.where((F.col("place") >= 0) & _leaves_enough(threshold, "n", "n", "place")))
+    smaller = smaller.select("key", *[F.col(c).alias(f"{c}_b" if c != "doc_id" else "b") for c in ("doc_id", "n", "place", "component")])
     across = (
-        left.join(other, "key")
-        .where((F.col("component") < F.col("component_b")) & may_link)
+        left.join(smaller, "key")
+        .where((F.col("n") > F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("doc_id") < F.col("b"))))
+        .where((F.col("component") != F.col("component_b")) & _may_link(threshold))
         .select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b"))
         .distinct()
     )
     unchecked = written(across.join(checked, ["a", "b"], "left_anti"), "pairs")
-    more = written(linked(unchecked, texts, threshold), "links")
+    more = written(linked(unchecked, chosen, blocks, threshold), "links")
     final = written(components(links.union(more).union(equal)), "components")
     return described.select("doc_id", "n_shingles").join(final, described["doc_id"] == final["node"], "left").select(
         "doc_id",
@@ -263,9 +276,28 @@ def jaccard_components(
     )
 
 
+def _shared(threshold: Threshold, n: str, m: str):
+    return F.ceil(threshold.percent * (F.col(n) + F.col(m)) / F.lit(100 + threshold.percent))
+
+
+def _leaves_enough(threshold: Threshold, n: str, m: str, place: str):
+    """Whether a common element at this place, the first one, leaves a set of size ``n`` enough for a
+    link with one of size ``m``."""
+    return F.col(n) - F.col(place) >= _shared(threshold, n, m)
+
+
+def _may_link(threshold: Threshold):
+    """What sizes and places of two entries of a list tell (``n``, ``place``, ``n_b``, ``place_b``)."""
+    sizes_fit = 100 * F.least("n", "n_b") >= threshold.percent * F.greatest("n", "n_b")
+    enough = _leaves_enough(threshold, "n", "n_b", "place") & _leaves_enough(threshold, "n_b", "n", "place_b")
+    return sizes_fit & ((F.col("place") < 0) | (F.col("place_b") < 0) | enough)
+
+
 def _parity(found: np.ndarray) -> np.ndarray:
-    """For each of some slots, whether an odd number of elements falls there."""
-    odd = np.bincount((found >> np.uint64(40)).astype(np.int64) % _BITS, minlength=_BITS) & 1
+    """For each of some slots, whether an odd number of elements falls there. The number of
+    slots is a power of two; half as many give the halves of the sketch laid over each other."""
+    bits = 1 << max(8, int(_BITS_EACH * len(found) - 1).bit_length())
+    odd = np.bincount((found >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -275,9 +307,29 @@ def _digest(found: np.ndarray) -> bytes:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
-def linked(pairs: DataFrame, texts: DataFrame, threshold: Threshold) -> DataFrame:
-    """The pairs (``a``, ``b``) whose sets are similar enough, found from their texts."""
-    second = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+def linked(pairs: DataFrame, chosen: DataFrame, documents: DataFrame, threshold: Threshold) -> DataFrame:
+    """The pairs (``a``, ``b``) whose sets are similar enough, by their sketches, then by their texts."""
+    sketch = lambda side: chosen.select(*[F.col(c).alias(f"{c}_{side}") for c in ("n", "parity")], F.col("doc_id").alias(side))
+    # Linked sets differ in so many elements at most, and parities in no more bits than the
+    # sets in elements. Of two sizes that fit one sketch is at most twice as long.
+    together = F.col("n_a") + F.col("n_b")
+    apart = together - 2 * F.ceil(threshold.percent * together / F.lit(100 + threshold.percent))
+    shorter = F.least(F.size("parity_a"), F.size("parity_b"))
+
+    def halved(name: str):
+        half = F.zip_with(F.slice(name, 1, shorter), F.slice(name, shorter + 1, shorter), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(name) > shorter, half).otherwise(F.col(name))
+
+    bits = F.zip_with(halved("parity_a"), halved("parity_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differing = F.aggregate(bits, F.lit(0), lambda total, n: total + n)
+    sketched = pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(F.size("parity_a") <= 2 * F.size("parity_b"))
+    likely = written(sketched.where((F.size("parity_b") <= 2 * F.size("parity_a")) & (differing <= apart)).select("a", "b").distinct(), "likely")
+
+    # Texts of the documents that are left, whose ids are broadcast if they are few.
+    ids = written(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct(), "ids")
+    few = 8 * ids.count() <= _BROADCAST_BYTES
+    texts = written(documents.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").distinct(), "texts")
+    second = likely.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = second.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
 
     def check(batches):
@@ -297,9 +349,15 @@ def linked(pairs: DataFrame, texts: DataFrame, threshold: Threshold) -> DataFram
 
 
 def one_of_each(documents: DataFrame, threshold: Threshold = Threshold()) -> DataFrame:
-    """The rows of ``documents`` without those linked to a smaller id; rows of equal id are
-    reduced to one, rows without an id stay."""
+    """The rows of ``documents`` without those linked to a smaller id. Of rows of equal id the one
+    with the least digest of all its columns stays; rows without an id stay."""
     found = written(jaccard_components(documents, threshold), "found")
-    stay = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = documents.where("doc_id is not null").dropDuplicates(["doc_id"]).join(stay, "doc_id", "left_semi")
-    return named.select(documents.columns).unionByName(documents.where("doc_id is null"))
+    stay = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
+    named = documents.where("doc_id is not null").join(stay, "doc_id", "left_semi")
+    several = written(stay.where("_rows > 1").select("doc_id"), "several")
+    single = named.join(several, "doc_id", "left_anti")
+    digest = F.md5(F.to_json(F.struct(*[F.col(c) for c in documents.columns]), {"ignoreNullFields": "false"}))
+    repeated = named.join(several, "doc_id", "left_semi").withColumn("_digest", digest)
+    least = written(repeated.groupBy("doc_id").agg(F.min("_digest").alias("_digest")), "least")
+    chosen = repeated.join(least, ["doc_id", "_digest"], "left_semi").drop("_digest").dropDuplicates(["doc_id"])
+    return single.select(documents.columns).unionByName(chosen.select(documents.columns)).unionByName(documents.where("doc_id is null"))
