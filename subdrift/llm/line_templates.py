@@ -1,10 +1,13 @@
 """Line dedup with a log-template tree.
 
 A line is parsed at fixed depth: its number of tokens and its leading tokens lead to a
-leaf; tokens with a digit are variable from the start. Inside a leaf the template is found
-place by place: the token most lines have there, or a variable where lines differ. Lines
-near their template belong to it; a template (or a line as it is) found in enough
-documents is boilerplate and its lines are dropped. DataFrame functions only.
+leaf; tokens with a digit are variable from the start. A leaf holds any number of
+templates. A token counts as often as lines of the leaf have it at its place; the
+constants of a line are its most frequent tokens, as many as a template must have and all
+that are as frequent as the least of these; the other places are variable and take any token.
+Lines with equal constants share a template. A template (or a line as it is) found in
+enough documents is boilerplate and its lines are dropped. Nothing depends on the order of
+lines. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -26,15 +29,13 @@ _KEY = ["_id", "_hash"]
 
 @dataclass(frozen=True)
 class Tree:
-    """``depth`` leading tokens, lines from ``min_tokens`` tokens, a template from
-    ``min_docs`` documents; a token is constant if it has ``constant_percent`` of
-    its place, and a line is like its template if ``similar_percent`` of its places agree."""
+    """``depth`` leading tokens, lines from ``min_tokens`` tokens, a template from ``min_docs``
+    documents and with ``constant_percent`` of its places constant at least."""
 
     depth: int = 3
     min_tokens: int = 3
     min_docs: int = 10
     constant_percent: int = 50
-    similar_percent: int = 70
 
 
 def drop_templates(documents: DataFrame, tree: Tree = Tree()) -> DataFrame:
@@ -77,36 +78,25 @@ def drop_templates(documents: DataFrame, tree: Tree = Tree()) -> DataFrame:
 
 def recurring_lines(documents: DataFrame, tree: Tree = Tree()) -> DataFrame:
     """The lines to drop: ``_id, _hash`` (document), ``_line`` (from 0)."""
-    lines = _lines(documents, tree)
+    # Masked once; what follows reads the lines from files.
+    lines = written(_lines(documents, tree), "lines")
     # A leaf with too few lines cannot hold a template; counts combine before the shuffle.
+    # Leaves of equal hash only let more lines pass here.
     leaves = written(
         lines.groupBy("_leaf").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= tree.min_docs).select("_leaf"), "leaves"
     )
-    found = written(lines.join(leaves, "_leaf"), "lines")
+    found = written(lines.join(leaves, "_leaf").select(*_KEY, "_line", "_masked", F.md5("_masked").alias("_key")), "lines")
 
-    # Distinct lines of each leaf and the number of documents of each.
-    documents_of = found.select("_leaf", "_masked", *_KEY).distinct()
-    distinct = written(
-        documents_of.groupBy("_leaf", "_masked").agg(F.count(F.lit(1)).alias("_docs")), "distinct"
-    )
-    # A leaf with one line is its own template; only the others are taken apart.
-    several = written(
-        distinct.groupBy("_leaf").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_leaf"), "several"
-    )
-    varied = written(distinct.join(several, "_leaf"), "varied")
-    templates = written(_templates(varied, tree), "templates")
-    compared = varied.join(templates, "_leaf").withColumn("_like", _is_like(tree)).drop("_template")
-    alone = distinct.join(several, "_leaf", "left_anti").withColumn("_like", F.lit(True))
-    exact = F.col("_docs") >= tree.min_docs
-    similar = written(
-        compared.unionByName(alone).select("_leaf", "_masked", exact.alias("_exact"), "_like").where("_exact or _like"), "similar"
-    )
-    members = written(found.select("_leaf", "_masked", *_KEY, "_line").join(similar, ["_leaf", "_masked"]), "members")
+    # Distinct lines and the number of documents of each.
+    documents_of = found.select("_key", "_masked", *_KEY).distinct()
+    distinct = written(documents_of.groupBy("_key", "_masked").agg(F.count(F.lit(1)).alias("_docs")), "distinct")
+    templates = written(_templates(distinct, tree), "templates")
+    members = written(found.drop("_masked").join(templates, "_key"), "members")
     support = (
-        members.where("_like").select("_leaf", *_KEY).distinct().groupBy("_leaf").agg(F.count(F.lit(1)).alias("_support"))
+        members.where("_template is not null").select("_template", *_KEY).distinct().groupBy("_template").agg(F.count(F.lit(1)).alias("_support"))
     )
-    recurring = written(support.where(F.col("_support") >= tree.min_docs).select("_leaf"), "recurring")
-    of_template = members.where("_like").join(recurring, "_leaf", "left_semi")
+    recurring = written(support.where(F.col("_support") >= tree.min_docs).select("_template"), "recurring")
+    of_template = members.join(recurring, "_template", "left_semi")
     return members.where("_exact").select(*_KEY, "_line").union(of_template.select(*_KEY, "_line")).distinct()
 
 
@@ -123,30 +113,27 @@ def _lines(documents: DataFrame, tree: Tree) -> DataFrame:
     tokens = F.length("_masked") - F.length(F.replace("_masked", F.lit(" "), F.lit(""))) + 1
     lead = F.substring_index("_masked", " ", tree.depth)
     return masked.where((F.col("_masked") != "") & (tokens >= tree.min_tokens)).select(
-        *_KEY, "_line", F.md5(F.concat_ws(" ", tokens.cast("string"), lead)).alias("_leaf"), "_masked"
+        *_KEY, "_line", F.xxhash64(tokens, lead).alias("_leaf"), "_masked"
     )
 
 
 def _templates(distinct: DataFrame, tree: Tree) -> DataFrame:
-    """One row per leaf: its tokens by place, null where they vary."""
-    tokens = distinct.select("_leaf", "_docs", F.posexplode(F.split("_masked", " ")).alias("_place", "_token"))
-    counted = tokens.groupBy("_leaf", "_place", "_token").agg(F.sum("_docs").alias("_n"))
-    # Ties between tokens go to the smaller one.
-    first = F.min(
-        F.struct((-F.col("_n")).alias("less"), F.col("_token").alias("token"))
-    )
-    best = counted.groupBy("_leaf", "_place").agg(first.alias("_first"), F.sum("_n").alias("_all"))
-    constant = F.when(
-        (-100 * F.col("_first.less") >= tree.constant_percent * F.col("_all")) & (F.col("_first.token") != VARIABLE), F.col("_first.token")
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("_place", constant.alias("token"))))
-    return best.groupBy("_leaf").agg(F.transform(ordered, lambda x: x["token"]).alias("_template"))
-
-
-def _is_like(tree: Tree):
-    tokens = F.split("_masked", " ")
-    # Variable tokens agree with variable places.
-    equal = F.zip_with(
-        tokens, "_template", lambda a, b: F.when((a == b) | (b.isNull() & (a == VARIABLE)), 1).otherwise(0)
-    )
-    return 100 * F.aggregate(equal, F.lit(0), lambda n, x: n + x) >= tree.similar_percent * F.size(tokens)
+    """``_key, _exact, _template`` of the lines that may recur: whether the line as it is stands in
+    enough documents, and the digest of its template, if it has one."""
+    exact = F.col("_docs") >= tree.min_docs
+    lead = F.substring_index("_masked", " ", tree.depth)
+    split = distinct.select("_key", "_docs", lead.alias("_lead"), F.split("_masked", " ").alias("_tokens"))
+    leaf = F.md5(F.concat_ws(" ", F.size("_tokens").cast("string"), "_lead")).alias("_in")
+    tokens = split.select("_key", "_docs", leaf, F.posexplode("_tokens").alias("_place", "_token"))
+    counted = tokens.groupBy("_in", "_place", "_token").agg(F.sum("_docs").alias("_n")).where(F.col("_n") >= tree.min_docs)
+    placed = tokens.join(counted, ["_in", "_place", "_token"], "left")
+    ordered = F.array_sort(F.collect_list(F.struct("_place", "_token", F.coalesce("_n", F.lit(0)).alias("_n"))))
+    rows = placed.groupBy("_key", "_in").agg(ordered.alias("_at"))
+    # The least count among as many of the most frequent tokens as must be constant.
+    needed = F.ceil(F.size("_at") * tree.constant_percent / F.lit(100)).cast("int")
+    descending = F.sort_array(F.transform("_at", lambda x: x["_n"]), asc=False)
+    least = F.get(descending, F.greatest(needed, F.lit(1)) - 1)
+    constants = F.transform("_at", lambda x: F.when(x["_n"] >= F.col("_least"), x["_token"]).otherwise(VARIABLE))
+    template = F.md5(F.concat("_in", F.array_join(constants, " ")))
+    of_line = rows.withColumn("_least", least).select("_key", F.when(F.col("_least") >= tree.min_docs, template).alias("_template"))
+    return distinct.select("_key", exact.alias("_exact")).join(of_line, "_key").where("_exact or _template is not null")

@@ -67,7 +67,7 @@ FROM t LEFT JOIN n ON t.doc_id = n.doc_id JOIN r ON t.doc_id = r.node GROUP BY 1
 
 
 def _line_templates() -> str:
-    return rf"""
+    return r"""
 WITH l AS (
   SELECT doc_id, i - 1 AS line, lines[i] AS raw FROM (
     SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i
@@ -75,32 +75,28 @@ WITH l AS (
   )
 )
 , m AS (
-  SELECT doc_id, line, list_transform(regexp_extract_all(raw, '{_WORD}'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
+  SELECT doc_id, line, list_transform(regexp_extract_all(raw, '[^\x20\x09-\x0D]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
   FROM l
 )
 , f AS (
   SELECT doc_id, line, tokens, len(tokens)::VARCHAR || ' ' || array_to_string(tokens[1:3], ' ') AS leaf FROM m WHERE len(tokens) >= 3
 )
 , d AS (SELECT leaf, tokens, count(DISTINCT doc_id) AS docs FROM f GROUP BY 1, 2)
-, p AS (
-  SELECT leaf, i, token, sum(docs) AS n FROM (SELECT leaf, docs, tokens[i] AS token, i FROM (SELECT *, unnest(range(1, len(tokens) + 1)) AS i FROM d))
-  GROUP BY 1, 2, 3
-)
-, b AS (
-  SELECT leaf, i, CASE WHEN n >= 0.5 * total AND token <> '<*>' THEN token END AS token FROM (
-    SELECT *, sum(n) OVER (PARTITION BY leaf, i) AS total, row_number() OVER (PARTITION BY leaf, i ORDER BY n DESC, token) AS r FROM p
-  ) WHERE r = 1
+, e AS (SELECT leaf, tokens, docs, i, tokens[i] AS token FROM (SELECT *, unnest(range(1, len(tokens) + 1)) AS i FROM d))
+, p AS (SELECT leaf, i, token, sum(docs) AS n FROM e GROUP BY 1, 2, 3)
+, c AS (
+  SELECT e.leaf, e.tokens, any_value(e.docs) AS docs, list_sort(list(p.n), 'DESC')[ceil(count(*) / 2)::INTEGER] AS least,
+    list({'i': e.i, 'token': e.token, 'n': p.n} ORDER BY e.i) AS places
+  FROM e JOIN p ON e.leaf = p.leaf AND e.i = p.i AND e.token = p.token GROUP BY 1, 2
 )
 , s AS (
-  SELECT e.leaf, e.tokens, any_value(e.docs) AS docs,
-    10 * count(*) FILTER (e.token = b.token OR (b.token IS NULL AND e.token = '<*>')) >= 7 * count(*) AS alike
-  FROM (SELECT leaf, tokens, docs, i, tokens[i] AS token FROM (SELECT *, unnest(range(1, len(tokens) + 1)) AS i FROM d)) e
-  JOIN b ON e.leaf = b.leaf AND e.i = b.i GROUP BY 1, 2
+  SELECT leaf, tokens, docs, CASE WHEN least >= 10 THEN list_transform(places, lambda x: CASE WHEN x.n >= least THEN x.token ELSE '<*>' END) END AS template
+  FROM c
 )
-, g AS (SELECT f.*, s.docs, s.alike FROM f JOIN s ON f.leaf = s.leaf AND f.tokens = s.tokens)
-, u AS (SELECT leaf, count(DISTINCT doc_id) AS support FROM g WHERE alike GROUP BY 1)
+, g AS (SELECT f.*, s.docs, s.template FROM f JOIN s ON f.leaf = s.leaf AND f.tokens = s.tokens)
+, u AS (SELECT leaf, template, count(DISTINCT doc_id) AS support FROM g WHERE template IS NOT NULL GROUP BY 1, 2)
 , x AS (
-  SELECT DISTINCT doc_id, line FROM g LEFT JOIN u ON g.leaf = u.leaf WHERE docs >= 10 OR (alike AND support >= 10)
+  SELECT DISTINCT doc_id, line FROM g LEFT JOIN u ON g.leaf = u.leaf AND g.template = u.template WHERE docs >= 10 OR support >= 10
 )
 , k AS (
   SELECT l.doc_id, count(*) AS n_lines, count(x.line) AS n_dropped,
