@@ -45,15 +45,18 @@ def repeated_keys(
     blocks: DataFrame,
     n_buckets: int,
     keys_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]],
-    hot_blocks: int = 64,
+    hot_blocks: int | tuple[int, ...] = 64,
 ) -> DataFrame:
     """``block, keys, hot``: the keys of a block that occur more than once, sorted within a
-    row, and for each whether more than ``hot_blocks`` blocks hold it.
+    row, and for each whether more than ``hot_blocks`` blocks hold it (of several limits: how
+    many of them are exceeded).
 
     ``keys_of`` gives the distinct sorted keys of a block and whether each occurs more than
     once in the block already.
     """
 
+    limits = np.atleast_1d(hot_blocks)
+
     def send(table: pa.Table) -> pa.Table:
         keys, several = keys_of(table)
         block = table.column("block")[0].as_py()
@@ -81,7 +84,7 @@ def repeated_keys(
         counts = np.diff(starts, append=len(order))
         repeated = (counts > 1) | (np.maximum.reduceat(several[order], starts) > 0)
         wanted = order[np.repeat(repeated, counts)]
-        hot = np.repeat(counts > hot_blocks, counts)[np.repeat(repeated, counts)]
+        hot = np.repeat(np.searchsorted(limits, counts, "left"), counts)[np.repeat(repeated, counts)]
         by_block = np.lexsort((keys[wanted], block[wanted]))
         wanted, hot = wanted[by_block], hot[by_block]
         edges = np.flatnonzero(np.diff(block[wanted], prepend=-1, append=-1)) if len(wanted) else np.zeros(1, int)
@@ -100,10 +103,16 @@ def repeated_keys(
 
 def answers(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys of all answers to a block, and their hot flags."""
+    keys, levels = answered_levels(table)
+    return keys, levels.astype(bool)
+
+
+def answered_levels(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of all answers to a block, and how many limits each exceeds."""
     keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64)
-    hot = np.frombuffer(b"".join(table.column("hot").to_pylist()), np.uint8).astype(bool)
+    levels = np.frombuffer(b"".join(table.column("hot").to_pylist()), np.uint8)
     order = np.argsort(keys, kind="stable")
-    return keys[order], hot[order]
+    return keys[order], levels[order]
 
 
 def among(wanted: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

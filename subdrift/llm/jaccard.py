@@ -3,8 +3,10 @@
 Small sets enumerate their subsets of the size that a link needs: two sets of sizes n and
 m link exactly if they share a subset of that size. Large sets scan inverted lists: of
 every set only the rarest part is listed, so large that linked sets must meet in it.
-The boundary between the two is where the counted cost of both is least. Keys found in
-one document only are dropped before any list is made (``exchange``).
+The boundary between the two is where the counted cost of both is least. Rarity is exact:
+every element is first exchanged once per block of documents (``exchange``), which tells
+those of one document only from repeated ones, and these by the number of blocks that hold them;
+elements of one document lead the order and are never listed.
 
 Lists are not turned into all their pairs: some lists of every document first check their
 documents against the smallest one; then all lists that still hold documents of
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from subdrift.llm.common import text_column, written
 from subdrift.llm.components import components
-from subdrift.llm.exchange import BLOCK_BYTES, among, answers, blocked, distinct_keys, mixed, repeated_keys
+from subdrift.llm.exchange import BLOCK_BYTES, among, answered_levels, blocked, distinct_keys, mixed, repeated_keys
 from subdrift.llm.repeated_words import Words
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -37,6 +39,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LARGEST_SMALL = 12
 # Bits of a sketch for each element of its set.
 _BITS_EACH = 4
+# Numbers of blocks that tell frequent elements from rarer ones.
+_LEVELS = tuple(1 << k for k in range(32))
 # Ids up to so many bytes are broadcast to fetch their texts.
 _BROADCAST_BYTES = 16 << 20
 # Partial sums of counters are added up in two steps, the first in so many groups.
@@ -47,8 +51,8 @@ _TRIED_FIRST = 4
 
 @dataclass(frozen=True)
 class Threshold:
-    """Sets link if ``percent`` of their union is shared; ``slots`` counters tell frequent
-    n-grams from rare ones (the order of rarity changes the cost, never the result)."""
+    """Sets link if ``percent`` of their union is shared; ``slots`` counters show how often lists
+    meet, for the cost of the boundary."""
 
     percent: int = 75
     n: int = 5
@@ -141,14 +145,10 @@ def boundary(sizes: np.ndarray, slots: np.ndarray, threshold: Threshold) -> int:
     return min(range(_LARGEST_SMALL + 1), key=cost)
 
 
-def _keys(found: np.ndarray, slots: np.ndarray, small: int, threshold: Threshold) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of a set, sorted: subsets of a small one, the rarest elements of a large one;
-    and the places of the elements by rarity (below 0: a subset)."""
-    n = len(found)
-    keys, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
-    if not n:
-        return keys[0], places[0]
-    if n <= small:
+def _subsets(found: np.ndarray, small: int, threshold: Threshold) -> np.ndarray:
+    """The keys of a small set: its subsets of every size that a link with a small one needs."""
+    n, keys = len(found), [np.zeros(0, np.uint64)]
+    if 0 < n <= small:
         values = found.tolist()
         for m in threshold.partners(n):
             share = threshold.shared(n, m)
@@ -160,12 +160,29 @@ def _keys(found: np.ndarray, slots: np.ndarray, small: int, threshold: Threshold
                     for v in subset:
                         key = mixed(key * _STEP + np.uint64(v))
                     keys.append(key)
-                    places.append(np.array([-1], np.int32))
-    if n > small or max(threshold.partners(n)) > small:
-        common = slots[(found % np.uint64(len(slots))).astype(np.int64)]
-        listed = threshold.listed(n)
-        keys.append(found[np.lexsort((found, common))[:listed]])
-        places.append(np.arange(listed, dtype=np.int32))
+    return np.concatenate(keys)
+
+
+def _is_listed(n: int, small: int, threshold: Threshold) -> bool:
+    return n > small or (n > 0 and max(threshold.partners(n)) > small)
+
+
+def _keys(
+    found: np.ndarray, repeated: np.ndarray, levels: np.ndarray, small: int, threshold: Threshold
+) -> tuple[np.ndarray, np.ndarray]:
+    """The repeated keys of a set, sorted: subsets of a small one, the rarest elements of a large
+    one; and the places of the elements by rarity (below 0: a subset)."""
+    subsets = _subsets(found, small, threshold)
+    keys, places = [subsets[among(subsets, repeated)[0]]], []
+    places.append(np.full(len(keys[0]), -1, np.int32))
+    n = len(found)
+    if _is_listed(n, small, threshold):
+        there, at = among(found, repeated)
+        level = np.where(there, 1 + levels[at].astype(np.int64), 0) if len(repeated) else np.zeros(n, np.int64)
+        order = np.lexsort((found, level))[: threshold.listed(n)]
+        place = np.flatnonzero(there[order]).astype(np.int32)
+        keys.append(found[order[place]])
+        places.append(place)
     distinct, first = np.unique(np.concatenate(keys), return_index=True)
     return distinct, np.concatenate(places)[first]
 
@@ -184,18 +201,19 @@ def jaccard_components(
     blocks, n_blocks = blocked(documents, block_bytes)
     slots, sizes = _statistics(blocks, threshold)
     limit = boundary(sizes, slots, threshold) if small is None else small
-    shared = documents.sparkSession.sparkContext.broadcast(slots)  # of fixed size
 
     def keys_of(table: pa.Table):
         keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for doc_id, _, found in _sets(table, threshold):
             if doc_id is not None:
-                keys.append(_keys(found, shared.value, limit, threshold)[0])
+                keys.append(_subsets(found, limit, threshold))
+                owners.append(np.full(len(keys[-1]), doc_id, np.int64))
+                keys.append(found if _is_listed(len(found), limit, threshold) else found[:0])
                 owners.append(np.full(len(keys[-1]), doc_id, np.int64))
         return distinct_keys(np.concatenate(keys), np.concatenate(owners))
 
     def describe(docs: pa.Table, told: pa.Table) -> pa.Table:
-        repeated, _ = answers(told)
+        repeated, levels = answered_levels(told)
         out = {"doc_id": [], "n_shingles": [], "content": [], "keys": [], "places": [], "parity": []}
         seen = set()  # equal rows are in one block
         for doc_id, text, found in _sets(docs, threshold):
@@ -203,9 +221,7 @@ def jaccard_components(
             keys, places = found[:0], np.zeros(0, np.int32)
             if doc_id is not None and (doc_id, content) not in seen:
                 seen.add((doc_id, content))
-                keys, places = _keys(found, shared.value, limit, threshold)
-                there = among(keys, repeated)[0]
-                keys, places = keys[there], places[there]
+                keys, places = _keys(found, repeated, levels, limit, threshold)
             out["doc_id"].append(doc_id)
             out["n_shingles"].append(len(found))
             out["content"].append(content)
@@ -215,7 +231,7 @@ def jaccard_components(
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
         return pa.table({c: pa.array(v, kind) for (c, v), kind in zip(out.items(), kinds)})
 
-    repeated = repeated_keys(blocks, n_blocks, keys_of)
+    repeated = repeated_keys(blocks, n_blocks, keys_of, _LEVELS)
     schema = "doc_id long, n_shingles long, content binary, keys array<long>, places array<int>, parity array<long>"
     described = written(
         blocks.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(describe, schema), "described"
