@@ -24,7 +24,7 @@ from subdrift.operators.monitor import (
     silent_queues,
 )
 from subdrift.operators.params import effective_parms, row_violations, shipped_row
-from subdrift.plans import create_report_view, findings, report
+from subdrift.plans import Prepared, create_report_view, findings, prepare, report
 from subdrift.schemas import PARM_APPLY, PARM_CAPTURE
 from subdrift.sources import Snapshot, normalise, read_table
 
@@ -32,6 +32,7 @@ __all__ = [
     "PARM_APPLY",
     "PARM_CAPTURE",
     "Options",
+    "Prepared",
     "Snapshot",
     "capture_latency",
     "column_not_subscribed",
@@ -43,6 +44,7 @@ __all__ = [
     "findings",
     "hot_scopes",
     "normalise",
+    "prepare",
     "read_table",
     "recent_exceptions",
     "recent_heartbeats",

@@ -1,9 +1,9 @@
 """The four drift checks.
 
 Each takes a normalised ``Snapshot`` and returns findings. Existence tests are
-semi and anti joins on server-prefixed keys; message texts are built after the
-joins, so only findings pay for them. ``table_drift`` and ``column_drift`` answer
-two checks in one pass over the inputs, for runs that want all of them.
+semi and anti joins on server-prefixed keys, columns are compared as sets of names; message
+texts are built last, from narrow rows, so only findings pay for them. ``table_drift`` and
+``column_drift`` answer two checks in one pass over the inputs, for runs that want all of them.
 
 Skew: subscriptions of hot source tables and hot queues are salted. Tables with
 very many columns and subscriptions with very many columns meet in joins with a
@@ -12,7 +12,7 @@ plain shuffle on both sides, which the adaptive skew join splits on either side.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +28,7 @@ ORDER = {"C-TNF": 110, "C-CNF": 120, "C-CNS": 130, "C-DCC": 140}
 DEBUG_WIDTH = 18
 
 _SUBSCRIPTION = [SERVER, CAPTURE_SCHEMA, "subname"]
-_TABLE = [SERVER, "source_owner", "source_name"]
+TABLE_KEYS = _TABLE = [SERVER, "source_owner", "source_name"]
 _QUEUE = [SERVER, CAPTURE_SCHEMA, "sendq"]
 _TARGET = ["target_owner", "target_name"]
 _QUEUE_SALT = "_queue_salt"
@@ -38,13 +38,16 @@ _QUEUE_SALT = "_queue_salt"
 class Options:
     """Report language, delimiter of the add-column signal, generator mode of
     C-CNS, its debug prefix, and the row count from which a key counts as hot (by default
-    a share of the data, see ``skew``)."""
+    a share of the data, see ``skew``). ``packed`` compares columns as one set per table and
+    per subscription, which databases bound to some thousand names; without it
+    every column is a row of its own, for inputs of any width."""
 
     lang: str = "EN"
     addcol_delimiter: str = texts.ADDCOL_DELIMITER
     mode: str = "plain"
     flag_prefix: bool = False
     rows_per_salt: int | None = None
+    packed: bool = True
 
     def __post_init__(self):
         if self.lang not in texts.LANGUAGES:
@@ -62,12 +65,12 @@ class Options:
 class Subscriptions:
     """Subscriptions salted by source table, with the partner side to match."""
 
-    def __init__(self, snapshot: Snapshot, options: Options):
-        self._hot = hot_keys(snapshot.subs, _TABLE, options.rows_per_salt)
-        self.rows = add_salt(snapshot.subs, self._hot)
+    def __init__(self, snapshot: Snapshot, options: Options, hot: DataFrame | None = None):
+        self.hot = hot_keys(snapshot.subs, _TABLE, options.rows_per_salt) if hot is None else hot
+        self.rows = add_salt(snapshot.subs, self.hot)
 
     def partners(self, df: DataFrame) -> DataFrame:
-        return copy_per_salt(df, self._hot)
+        return copy_per_salt(df, self.hot)
 
     def tables(self, tables: DataFrame) -> DataFrame:
         """Distinct keys of ``tables``: copies are combined before the shuffle of the join."""
@@ -79,9 +82,13 @@ def source_table_not_found(snapshot: Snapshot, options: Options = Options()) ->
 
     Subscriptions without a matching send queue are not reported.
     """
+    return with_texts(vanished_tables(snapshot, options), options)
+
+
+def vanished_tables(snapshot: Snapshot, options: Options) -> DataFrame:
     subs = Subscriptions(snapshot, options)
     orphans = subs.rows.join(subs.tables(snapshot.tables), [*_TABLE, SALT], "left_anti")
-    return _findings(_with_queue(orphans, snapshot, options, "inner"), [_table_gone()], options)
+    return _drift(_with_queue(orphans, snapshot, options, "inner"), [_table_gone()], options)
 
 
 def data_capture_missing(snapshot: Snapshot, options: Options = Options()) -> DataFrame:
@@ -89,15 +96,17 @@ def data_capture_missing(snapshot: Snapshot, options: Options = Options()) -> Da
 
     A NULL flag is not reported.
     """
+    return with_texts(unflagged_tables(snapshot, options), options)
+
+
+def unflagged_tables(snapshot: Snapshot, options: Options) -> DataFrame:
     subs = Subscriptions(snapshot, options)
     unflagged = subs.tables(snapshot.unflagged_tables())
-    return _findings(
-        subs.rows.join(unflagged, [*_TABLE, SALT], "left_semi"), [_capture_off()], options
-    )
+    return _drift(subs.rows.join(unflagged, [*_TABLE, SALT], "left_semi"), [_capture_off()], options)
 
 
 def table_drift(snapshot: Snapshot, options: Options = Options()) -> DataFrame:
-    """C-TNF and C-DCC from one join of subscriptions and tables."""
+    """C-TNF and C-DCC from one join of subscriptions and tables, before texts."""
     subs = Subscriptions(snapshot, options)
     status = (
         subs.partners(snapshot.tables)
@@ -108,50 +117,162 @@ def table_drift(snapshot: Snapshot, options: Options = Options()) -> DataFrame:
     gone = F.col("_known").isNull()
     drifted = subs.rows.join(status, [*_TABLE, SALT], "left").where(gone | F.col("_off"))
     queued = _with_queue(drifted, snapshot, options, "left", only=gone).where(~gone | F.col("_queued"))
-    return _findings(queued, [_table_gone(when=gone), _capture_off()], options)
+    return _drift(queued, [_table_gone(when=gone), _capture_off()], options)
 
 
 def subscribed_column_missing(snapshot: Snapshot, options: Options = Options()) -> DataFrame:
     """C-CNF: subscribed columns that are not in the catalogue although their table is."""
+    return with_texts(missing_columns(snapshot, options), options)
+
+
+def missing_columns(snapshot: Snapshot, options: Options) -> DataFrame:
     subs = Subscriptions(snapshot, options)
+    if options.packed:
+        return _drift(_compared(snapshot, subs, options, ("C-CNF",)), [_column_gone()], options)
     with_table = subs.rows.join(subs.tables(snapshot.tables), [*_TABLE, SALT], "left_semi")
     listed = snapshot.src_cols.join(with_table, _SUBSCRIPTION, "inner")
     missing = listed.join(
         subs.partners(snapshot.columns), [*_TABLE, "column_name", SALT], "left_anti"
     )
-    return _findings(missing, [_column_gone()], options)
+    return _drift(missing, [_column_gone()], options)
 
 
 def column_not_subscribed(snapshot: Snapshot, options: Options = Options()) -> DataFrame:
     """C-CNS: catalogue columns of subscribed tables that the subscription does not list.
 
-    Every pair of a subscription and a column of its table is either a row of
-    ``src_cols`` or unlisted, so in plain mode the join makes no more rows than there
-    are listed columns and findings together.
-
     In generator mode an unlisted column counts if the clause is silent, includes it,
     or does not exclude it. The clauses are joined last, to unlisted columns only.
     """
+    return with_texts(unlisted_columns(snapshot, options), options)
+
+
+def unlisted_columns(snapshot: Snapshot, options: Options) -> DataFrame:
     subs = Subscriptions(snapshot, options)
-    owned = subs.partners(snapshot.columns).join(subs.rows, [*_TABLE, SALT], "inner")
-    unlisted = owned.join(snapshot.src_cols, [*_SUBSCRIPTION, "column_name"], "left_anti")
+    if options.packed:
+        unlisted = _compared(snapshot, subs, options, ("C-CNS",))
+    else:
+        # Every pair of a subscription and a column of its table is either a row of
+        # ``src_cols`` or unlisted, so in plain mode the join makes no more rows than there
+        # are listed columns and findings together.
+        owned = subs.partners(snapshot.columns).join(subs.rows, [*_TABLE, SALT], "inner")
+        unlisted = owned.join(snapshot.src_cols, [*_SUBSCRIPTION, "column_name"], "left_anti")
     if options.generator:
         unlisted = _with_clause(unlisted, subs, snapshot).where(_clause_reports())
-    return _findings(unlisted, [_column_unlisted(options)], options)
+    return _drift(unlisted, [_column_unlisted(options)], options)
 
 
 def column_drift(snapshot: Snapshot, options: Options = Options()) -> DataFrame:
-    """C-CNF and C-CNS from one comparison of catalogue and configuration.
+    """C-CNF and C-CNS from one comparison of catalogue and configuration, before texts."""
+    subs = Subscriptions(snapshot, options)
+    drift = (_compared if options.packed else _compared_by_row)(snapshot, subs, options)
+    unlisted = F.col("_unlisted")
+    if options.generator:
+        # Only unlisted columns look for a clause; the target is needed for nothing else.
+        drift = drift.withColumn("target_name", F.when(unlisted, F.col("target_name")))
+        drift = _with_clause(drift, subs, snapshot).where(~unlisted | _clause_reports())
+    return _drift(drift, [_column_unlisted(options, when=unlisted), _column_gone()], options)
+
+
+def _kept(options: Options) -> list[str]:
+    """What a finding about a column needs of its subscription."""
+    return [*_SUBSCRIPTION, *_TABLE[1:], "state", "target_server", SALT, *(_TARGET if options.generator else [])]
+
+
+def listing(snapshot: Snapshot, subs: Subscriptions) -> DataFrame:
+    """Every subscription with the set of the columns it lists."""
+    # A column without a name equals no other, so it is noted beside the set.
+    listed = (
+        snapshot.with_copies("src_cols")
+        .groupBy(*_SUBSCRIPTION)
+        .agg(F.collect_set("column_name").alias("_listed"), F.bool_or(F.col("column_name").isNull()).alias("_listed_nameless"))
+    )
+    return subs.rows.join(listed, _SUBSCRIPTION, "left")
+
+
+def catalogue(snapshot: Snapshot, subs: Subscriptions, tables: bool = True) -> DataFrame:
+    """Every table with the set of its columns, whether the table list has it and its flag is off."""
+    nothing = F.lit(None)
+    columns = snapshot.with_copies("columns").select(
+        *_TABLE, "column_name", F.col("column_name").isNull().alias("_nameless"), F.lit(False).alias("_known"), nothing.cast("boolean").alias("_off")
+    )
+    if tables:
+        columns = columns.unionByName(
+            snapshot.tables.select(
+                *_TABLE,
+                nothing.cast("string").alias("column_name"),
+                F.lit(False).alias("_nameless"),
+                F.lit(True).alias("_known"),
+                (F.col("data_capture") != "Y").alias("_off"),
+            )
+        )
+    flags = [F.bool_or(c).alias(c) for c in ("_nameless", "_known", "_off")]
+    return subs.partners(columns).groupBy(*_TABLE, SALT).agg(F.collect_set("column_name").alias("_names"), *flags)
+
+
+def _differences(met: DataFrame, kept: list[str], wanted: tuple[str, ...]) -> DataFrame:
+    """A row per difference of the wanted checks: ``ordercol``, ``column_name`` and the kept columns.
+
+    A subscription has met its listing and its table; only names that one of the two sets
+    has alone become rows.
+    """
+    kind = "array<struct<ordercol:int,column_name:string>>"
+    none, nameless = F.array().cast("array<string>"), F.array(F.lit(None).cast("string"))
+    listed, names = F.coalesce("_listed", none), F.coalesce("_names", none)
+
+    def named(check: str, columns: Column) -> Column:
+        return F.transform(columns, lambda c: F.struct(F.lit(ORDER[check]).alias("ordercol"), c.alias("column_name")))
+
+    known = F.coalesce("_known", F.lit(False))
+    found = {
+        "C-TNF": lambda: F.when(~known, named("C-TNF", nameless)),
+        # Listed columns of a vanished table are left to C-TNF.
+        "C-CNF": lambda: F.when(known, named("C-CNF", F.concat(F.array_except(listed, names), F.when(F.col("_listed_nameless"), nameless).otherwise(none)))),
+        "C-CNS": lambda: named("C-CNS", F.concat(F.array_except(names, listed), F.when(F.col("_nameless"), nameless).otherwise(none))),
+        "C-DCC": lambda: F.when(F.col("_off"), named("C-DCC", nameless)),
+    }
+    parts = [F.coalesce(found[check]().cast(kind), F.array().cast(kind)) for check in wanted]
+    return met.select(*kept, F.inline(F.concat(*parts)))
+
+
+def _compared(
+    snapshot: Snapshot, subs: Subscriptions, options: Options, wanted: tuple[str, ...] = ("C-CNF", "C-CNS")
+) -> DataFrame:
+    """Columns that differ between catalogue and configuration, by sets of names."""
+    met = listing(snapshot, subs).join(catalogue(snapshot, subs, tables="C-CNF" in wanted), [*_TABLE, SALT], "left")
+    drift = _differences(met, _kept(options), wanted)
+    return drift.withColumn("_unlisted", F.col("ordercol") == ORDER["C-CNS"]).drop("ordercol")
+
+
+def all_drift(
+    snapshot: Snapshot, options: Options, wanted: tuple[str, ...], subs: Subscriptions | None = None, met: DataFrame | None = None
+) -> DataFrame:
+    """Any of the four checks from one meeting of subscriptions, listings and catalogue, before
+    texts. ``met`` is that meeting, if it is stored already."""
+    subs = Subscriptions(snapshot, options) if subs is None else subs
+    if met is None:
+        met = listing(snapshot, subs).join(catalogue(snapshot, subs), [*_TABLE, SALT], "left")
+    drift = _differences(met, [*_kept(options), "sendq"], wanted)
+    kinds = [_KINDS[list(ORDER).index(check)] for check in wanted]
+    if "C-TNF" in wanted:
+        gone = F.col("ordercol") == ORDER["C-TNF"]
+        drift = _with_queue(drift, snapshot, options, "left", only=gone).where(~gone | F.col("_queued"))
+    if "C-CNS" in wanted and options.generator:
+        unlisted = F.col("ordercol") == ORDER["C-CNS"]
+        drift = drift.withColumn("target_name", F.when(unlisted, F.col("target_name")))
+        drift = _with_clause(drift, subs, snapshot).where(~unlisted | _clause_reports())
+    kinds = [replace(kind, when=F.col("ordercol") == ORDER[kind.check], has_clause=kind.has_clause and options.generator) for kind in kinds]
+    return _drift(drift, kinds, options)
+
+
+def _compared_by_row(snapshot: Snapshot, subs: Subscriptions, options: Options) -> DataFrame:
+    """The same with a row per subscription and column.
 
     The columns each subscription should know (from the catalogue) and those it lists
     are put under each other and grouped per subscription and column; a group seen on
     one side only is drift. The grouping combines before it shuffles and keeps two
     flags per group, so neither copies nor hot tables burden it.
     """
-    subs = Subscriptions(snapshot, options)
-    kept = [*_SUBSCRIPTION, *_TABLE[1:], "state", "target_server", SALT]
-    if options.generator:
-        kept += _TARGET
+    kept = _kept(options)
     rows = subs.rows.select(kept)
     known = subs.tables(snapshot.tables).withColumn("_known", F.lit(True))
 
@@ -179,17 +300,12 @@ def column_drift(snapshot: Snapshot, options: Options = Options()) -> DataFrame:
         )
     )
     # Listed columns of a vanished table are left to C-TNF.
-    drift = (
+    return (
         sides.groupBy(*kept, "column_name", "_nameless")
         .agg(*[F.max(c).alias(c) for c in ("_in_catalogue", "_listed", "_known")])
         .where((F.col("_in_catalogue") != F.col("_listed")) & F.col("_known"))
+        .withColumn("_unlisted", F.col("_in_catalogue") == 1)
     )
-    unlisted = F.col("_in_catalogue") == 1
-    if options.generator:
-        # Only unlisted columns look for a clause; the target is needed for nothing else.
-        drift = drift.withColumn("target_name", F.when(unlisted, F.col("target_name")))
-        drift = _with_clause(drift, subs, snapshot).where(~unlisted | _clause_reports())
-    return _findings(drift, [_column_unlisted(options, when=unlisted), _column_gone()], options)
 
 
 def _with_queue(
@@ -242,21 +358,20 @@ def _clause_reports() -> Column:
 
 @dataclass(frozen=True)
 class _Kind:
-    """How rows become findings of one check. ``catalogued`` tells whether the
-    catalogue has the table or column; only then are its catalogue names shown."""
+    """One check: how its rows are told from those of others found with it (``when``), and
+    what its findings show. ``catalogued`` tells whether the catalogue has the table or
+    column; only then are its catalogue names shown."""
 
     check: str
     catalogued: bool
     has_column: bool
-    sev: Column | None = None
-    clause: Column | None = None
-    prefix: Column | None = None
+    has_clause: bool = False
+    has_queue: bool = False
     when: Column | None = None
 
 
 def _table_gone(when=None) -> _Kind:
-    sev = F.when(F.col("state") == "A", "ERROR").otherwise("WARNING")
-    return _Kind("C-TNF", catalogued=False, has_column=False, sev=sev, when=when)
+    return _Kind("C-TNF", catalogued=False, has_column=False, has_queue=True, when=when)
 
 
 def _column_gone() -> _Kind:
@@ -264,43 +379,102 @@ def _column_gone() -> _Kind:
 
 
 def _column_unlisted(options: Options, when=None) -> _Kind:
-    clause = texts.clause_note(F.col("_keyword"), options.lang) if options.generator else None
-    prefix = None
-    if options.flag_prefix:
-        prefix = F.concat(*[F.coalesce(c, F.lit("")) for c in ("_keyword", "_included", "_excluded")])
-    return _Kind("C-CNS", catalogued=True, has_column=True, clause=clause, prefix=prefix, when=when)
+    return _Kind("C-CNS", catalogued=True, has_column=True, has_clause=options.generator, when=when)
 
 
 def _capture_off() -> _Kind:
     return _Kind("C-DCC", catalogued=True, has_column=False)
 
 
-def _findings(df: DataFrame, kinds: list[_Kind], options: Options) -> DataFrame:
-    """The fifteen finding columns; a row is of the first kind whose ``when`` holds."""
+_KINDS = (_table_gone(), _column_gone(), _column_unlisted(Options(mode="generator")), _capture_off())
+# What texts are made of. Findings are equal exactly if these are, see ``_drift``.
+DRIFT = (
+    "ordercol", SERVER, CAPTURE_SCHEMA, "subname", "target_server", "state", "source_owner", "source_name",
+    "column_name", "pubqmapname", "_keyword", "_included", "_excluded",
+)
+
+
+def _drift(df: DataFrame, kinds: list[_Kind], options: Options) -> DataFrame:
+    """Rows of the checks as the narrow columns ``DRIFT``; a row is of the first kind whose
+    ``when`` holds.
+
+    Findings are distinct over what they show, so what two equal findings may differ in is
+    made equal here: what only shows trimmed is trimmed, what a NULL elsewhere in its only
+    text hides becomes NULL. Then the narrow rows are distinct exactly where the findings are.
+    """
+    *first, last = kinds
+
+    def of_kind(value) -> Column:
+        out = value(last)
+        for kind in reversed(first):
+            out = F.when(kind.when, value(kind)).otherwise(out)
+        return out
+
+    nothing = F.lit(None).cast(T.StringType())
+
+    def shown(name: str, has: str, value: Column | None = None) -> Column:
+        if not any(getattr(k, has) for k in kinds):
+            return nothing.alias(name)
+        value = F.col(name) if value is None else value
+        return of_kind(lambda kind: value if getattr(kind, has) else nothing).alias(name)
+
+    complete = F.lit(True)
+    for name in ("subname", "state", "source_owner", "source_name", "column_name"):
+        complete &= F.col(name).isNotNull()
+    clause = {c: F.when(complete, F.col(c)) if c == "_keyword" or options.flag_prefix else nothing for c in DRIFT[-3:]}
+    return df.select(
+        of_kind(lambda kind: F.lit(ORDER[kind.check])).alias("ordercol"),
+        SERVER,
+        F.trim(CAPTURE_SCHEMA).alias(CAPTURE_SCHEMA),
+        *[F.col(c) for c in ("subname", "target_server", "state", "source_owner", "source_name")],
+        shown("column_name", "has_column", _shown_column() if any(k.has_column for k in kinds) else nothing),
+        shown("pubqmapname", "has_queue", F.when(F.col("subname").isNotNull(), F.col("pubqmapname")) if any(k.has_queue for k in kinds) else nothing),
+        *[shown(c, "has_clause", clause[c]) for c in DRIFT[-3:]],
+    )
+
+
+def _shown_column() -> Column:
+    """A column name as far as it shows: whole in the texts, without blanks around, and its first
+    characters as they are. Without the name of its subscription no text shows it."""
+    start, rest = F.substring("column_name", 1, DEBUG_WIDTH), F.substring("column_name", DEBUG_WIDTH + 1, 1 << 30)
+    whole = F.when(F.trim(start) == "", F.concat(start, F.ltrim(rest))).otherwise(F.col("column_name"))
+    return F.when(F.col("subname").isNull(), start).otherwise(whole)
+
+
+def with_texts(drift: DataFrame, options: Options) -> DataFrame:
+    """The fifteen finding columns of narrow rows."""
     shared = {
+        "ordercol": F.col("ordercol"),
         "program": texts.program_name(F.col(CAPTURE_SCHEMA)),
         "current_server": F.col(SERVER),
         **{c: F.col(c) for c in ("subname", "target_server", "state", "source_owner", "source_name")},
     }
-    *first, last = [(kind.when, _own_columns(kind, options)) for kind in kinds]
-    columns = []
-    for f in FINDINGS:
-        value = shared[f.name] if f.name in shared else last[1][f.name]
-        if f.name not in shared:
-            for when, own in first:
-                value = F.when(when, own[f.name]).otherwise(value)
-        columns.append(value.cast(f.dataType).alias(f.name))
-    return df.select(columns)
+    own = [_own_columns(kind, options) for kind in _KINDS]
+
+    def value(name: str) -> Column:
+        if name in shared:
+            return shared[name]
+        out = F.lit(None)
+        for kind, columns in zip(reversed(_KINDS), reversed(own)):
+            out = F.when(F.col("ordercol") == ORDER[kind.check], columns[name]).otherwise(out)
+        return out
+
+    return drift.select([value(f.name).cast(f.dataType).alias(f.name) for f in FINDINGS])
 
 
 def _own_columns(kind: _Kind, options: Options) -> dict[str, Column]:
     nothing = F.lit(None).cast(T.StringType())
-    text = texts.message(kind.check, options.lang, kind.clause)
+    clause = prefix = None
+    if kind.has_clause and options.generator:
+        clause = texts.clause_note(F.col("_keyword"), options.lang)
+        if options.flag_prefix:
+            prefix = F.concat(*[F.coalesce(c, F.lit("")) for c in DRIFT[-3:]])
+    text = texts.message(kind.check, options.lang, clause)
+    active = F.when(F.col("state") == "A", "ERROR").otherwise("WARNING")
     return {
-        "ordercol": F.lit(ORDER[kind.check]),
         "mtyp": F.lit(kind.check),
-        "sev": F.lit("ERROR") if kind.sev is None else kind.sev,
-        "mtxt": text if kind.prefix is None else F.concat(kind.prefix, text),
+        "sev": active if kind.check == "C-TNF" else F.lit("ERROR"),
+        "mtxt": text if prefix is None else F.concat(prefix, text),
         "fixit": texts.repair(kind.check, options.addcol_delimiter),
         "tbcreator": F.substring("source_owner", 1, DEBUG_WIDTH) if kind.catalogued else nothing,
         "tbname": F.substring("source_name", 1, DEBUG_WIDTH) if kind.catalogued else nothing,

@@ -175,18 +175,39 @@ def silent_queues(
 
 
 def _recent(rows, parms, window, unit, as_of, keys, join):
-    now = timestamp(as_of)
-    # The widest window of any scope bounds the scan: a scalar subquery against the
-    # bare column reaches the file scan as a pushed filter.
-    longest = F.greatest(F.max(window), F.lit(PARM_APPLY.defaults[window]))
-    horizon = effective_parms(parms, PARM_APPLY, keys=keys).select(now - unit(longest)).scalar()
-    bounded = rows.where((F.col("sample_ts") > horizon) & (F.col("sample_ts") <= now))
+    # Of the type of the samples, as a cast of their column would keep comparisons from the scan.
+    now = timestamp(as_of).cast(rows.schema["sample_ts"].dataType)
+    bounded = rows.where((F.col("sample_ts") <= now) & _horizon(parms, window, unit, now, keys))
     scoped = with_parms(bounded, parms, PARM_APPLY, [window], keys, **join)
     return scoped.where(grading.in_window(F.col("sample_ts"), now, unit(_parm(window)))).select(
         *rows.columns
     )
 
 
+def _horizon(parms: DataFrame, window: str, unit, now: Column, keys: tuple[str, ...]) -> Column:
+    """What a sample in any window fulfils, made of comparisons with bare columns, so that it
+    reaches the file scan as a pushed filter.
+
+    Parquet skips row groups by it where the column is a timestamp with time zone; other columns
+    are only filtered behind the scan. Most scopes have windows up to a usual length (twice the median, or the default), which
+    bounds the scan for all of them. Scopes with wider windows, if any, are looked for further
+    back, between the first and the last of them only: one scope that wants a year does
+    not make the scan of all others a year long. Every value is a scalar subquery.
+    """
+    scoped = effective_parms(parms, PARM_APPLY, keys=keys)
+    usual = F.greatest(2 * F.percentile_approx(window, 0.5), F.lit(PARM_APPLY.defaults[window]))
+    start = scoped.select(now - unit(usual)).scalar()
+    wide = scoped.where(now - unit(F.col(window)) < start)
+    key, ts = keys[0], F.col("sample_ts")
+    # First rows, not aggregates: Spark merges aggregates over one table into a single subquery,
+    # whose parts it does not push.
+    first = lambda order, value: wide.orderBy(order).limit(1).select(value).scalar()
+    oldest = first(F.desc(window), now - unit(F.col(window)))
+    between = (F.col(key) >= first(F.asc_nulls_last(key), key)) & (F.col(key) <= first(F.desc_nulls_last(key), key))
+    recent, further = ts > start, (ts > oldest) & between
+    return recent | further
+
+
 def timestamp(value: str | Column) -> Column:
     """A timestamp without zone, from text or a column."""
     return value if isinstance(value, Column) else F.lit(value).cast("timestamp_ntz")

@@ -1,6 +1,7 @@
 """Findings and reports built from the checks."""
 
 from subdrift.plans.findings import CHECKS, findings
+from subdrift.plans.prepared import Prepared, prepare
 from subdrift.plans.report import create_report_view, report
 
-__all__ = ["CHECKS", "create_report_view", "findings", "report"]
+__all__ = ["CHECKS", "Prepared", "create_report_view", "findings", "prepare", "report"]

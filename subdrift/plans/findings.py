@@ -6,37 +6,45 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
-from subdrift.operators.checks import (
-    Options,
-    column_drift,
-    column_not_subscribed,
-    data_capture_missing,
-    source_table_not_found,
-    subscribed_column_missing,
-    table_drift,
-)
+from subdrift.operators import checks as of
+from subdrift.operators.checks import Options
+from subdrift.plans.prepared import Prepared
 from subdrift.sources import Snapshot
 
 CHECKS = {
-    "C-TNF": source_table_not_found,
-    "C-CNF": subscribed_column_missing,
-    "C-CNS": column_not_subscribed,
-    "C-DCC": data_capture_missing,
+    "C-TNF": of.source_table_not_found,
+    "C-CNF": of.subscribed_column_missing,
+    "C-CNS": of.column_not_subscribed,
+    "C-DCC": of.data_capture_missing,
 }
-# Pairs of checks over the same inputs, answered in one pass.
-PASSES = {("C-TNF", "C-DCC"): table_drift, ("C-CNF", "C-CNS"): column_drift}
+# The same before texts, alone and as pairs over the same inputs, answered in one pass.
+_DRIFT = {
+    "C-TNF": of.vanished_tables,
+    "C-CNF": of.missing_columns,
+    "C-CNS": of.unlisted_columns,
+    "C-DCC": of.unflagged_tables,
+}
+PASSES = {("C-TNF", "C-DCC"): of.table_drift, ("C-CNF", "C-CNS"): of.column_drift}
 
 
 def findings(
-    snapshot: Snapshot, options: Options = Options(), checks: tuple[str, ...] = tuple(CHECKS)
+    snapshot: Snapshot | Prepared, options: Options = Options(), checks: tuple[str, ...] = tuple(CHECKS)
 ) -> DataFrame:
     """Distinct union of the chosen checks over all fifteen columns.
 
     Rows are made distinct before the report drops columns, so a report may still
-    show equal rows. Only findings are shuffled here, not the inputs.
+    show equal rows. Only what the texts are made of is shuffled here, neither the inputs
+    nor the texts. ``prepare`` stores a snapshot so that not even the inputs are shuffled.
     """
-    plans = []
-    for pair, both in PASSES.items():
-        wanted = [c for c in pair if c in checks]
-        plans += [both] if len(wanted) == 2 else [CHECKS[c] for c in wanted]
-    return reduce(DataFrame.unionByName, [plan(snapshot, options) for plan in plans]).distinct()
+    wanted = tuple(c for c in CHECKS if c in checks)
+    if isinstance(snapshot, Prepared):
+        drift = snapshot.drift(options, wanted)
+    elif options.packed and not any(set(wanted) <= set(pair) for pair in PASSES):
+        drift = of.all_drift(snapshot, options, wanted)
+    else:
+        plans = []
+        for pair, both in PASSES.items():
+            of_pair = [c for c in pair if c in wanted]
+            plans += [both] if len(of_pair) == 2 else [_DRIFT[c] for c in of_pair]
+        drift = reduce(DataFrame.unionByName, [plan(snapshot, options) for plan in plans])
+    return of.with_texts(drift.distinct(), options)

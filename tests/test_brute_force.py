@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from subdrift import Options, Snapshot, findings
+from subdrift import Options, Snapshot, findings, prepare
 from subdrift.functions import texts
 from subdrift.plans import CHECKS
 from tests.helpers import contents, raw
@@ -123,11 +124,12 @@ def expected(data, lang, generator):
     return found
 
 
-@pytest.mark.parametrize(
-    "seed,lang,mode,rows_per_salt",
-    [(1, "EN", "plain", 10**6), (2, "DE", "plain", 1), (3, "EN", "generator", 1), (4, "DE", "generator", 10**6),
-     (5, "EN", "generator", 2)],
-)
+CASES = [
+    (1, "EN", "plain", 10**6), (2, "DE", "plain", 1), (3, "EN", "generator", 1), (4, "DE", "generator", 10**6), (5, "EN", "generator", 2),
+]
+
+
+@pytest.mark.parametrize("seed,lang,mode,rows_per_salt", CASES)
 def test_against_loops(spark, seed, lang, mode, rows_per_salt):
     """A ``rows_per_salt`` of 1 or 2 salts nearly every key; results stay the same."""
     data = random_rows(seed)
@@ -140,6 +142,52 @@ def test_against_loops(spark, seed, lang, mode, rows_per_salt):
         assert {tuple(r) for r in single(shot, options).collect()} == {r for r in wanted if r[3] == check}, check
 
 
+@pytest.mark.parametrize("seed,lang,mode,rows_per_salt", [(6, "DE", "plain", 2), (7, "EN", "generator", 1)])
+def test_columns_row_by_row(spark, seed, lang, mode, rows_per_salt):
+    data = random_rows(seed)
+    shot = Snapshot.of(raw(spark, data, server=True), capture_schema=SCHEMA)
+    options = Options(lang=lang, mode=mode, rows_per_salt=rows_per_salt, packed=False)
+    wanted = expected(data, lang, mode == "generator")
+    assert {tuple(r) for r in findings(shot, options).collect()} == wanted
+    for check in ("C-CNF", "C-CNS"):
+        assert {tuple(r) for r in CHECKS[check](shot, options).collect()} == {r for r in wanted if r[3] == check}, check
+
+
+@pytest.mark.parametrize("seed,lang,mode,rows_per_salt", [(8, "EN", "plain", 1), (9, "DE", "generator", 10**6)])
+def test_prepared_snapshot(spark, scratch, seed, lang, mode, rows_per_salt):
+    data = random_rows(seed)
+    shot = prepare(Snapshot.of(raw(spark, data, server=True), capture_schema=SCHEMA), scratch, buckets=5, rows_per_salt=rows_per_salt)
+    options = Options(lang=lang, mode=mode)
+    wanted = expected(data, lang, mode == "generator")
+    assert {tuple(r) for r in findings(shot, options).collect()} == wanted
+    for checks in (("C-CNS",), ("C-TNF", "C-CNF"), ("C-DCC",)):
+        assert {tuple(r) for r in findings(shot, options, checks).collect()} == {r for r in wanted if r[3] in checks}, checks
+
+
+def test_findings_are_distinct_over_what_they_show(spark):
+    """Inputs that differ only in what no finding shows: blanks around a schema's name, parts of a
+    column name that neither a text nor the cut name holds, clauses of a text that is NULL."""
+    long = "COLUMN_NAME_OF_EIGHTEEN"
+    rows = {
+        "subs": [("S", None, "O", "T", "TO", "T", None, "Q", "G"), ("S", "N", "O", "T", "TO", "T", None, "Q", "G")],
+        "sendqueues": [("S", "Q", "M")],
+        "src_cols": [],
+        "tables": [("S", "O", "T", "N")],
+        "columns": [("S", "O", "T", long + "A"), ("S", "O", "T", long + "B"), ("S", "O", "T", " " * 18 + "A"), ("S", "O", "T", " " * 19 + "A")],
+        "q_base": [("S", "O", "T", "TO", "T", "TRGCOLS ALL"), ("S", "O", "T", "TO", "T", None), ("S", "O", "T", "TO", "T", f"TRGCOLS INCLUDE ({long}A)")],
+    }
+    both = {
+        t: df if t in ("tables", "columns") else df.withColumn("capture_schema", F.lit("ASN")).unionByName(df.withColumn("capture_schema", F.lit(" ASN")))
+        for t, df in raw(spark, rows, server=True).items()
+    }
+    for mode in ("plain", "generator"):
+        for prefix in (False, mode == "generator"):
+            options = Options(mode=mode, flag_prefix=prefix)
+            found = findings(Snapshot.of(both), options).collect()
+            singles = {tuple(r) for single in CHECKS.values() for r in single(Snapshot.of(both), options).collect()}
+            assert len(found) == len(singles) and {tuple(r) for r in found} == singles
+
+
 def test_findings_hold_no_repeated_row(spark):
     shot = Snapshot.of(raw(spark, random_rows(6), server=True), capture_schema=SCHEMA)
     found = contents(findings(shot))

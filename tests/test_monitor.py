@@ -203,3 +203,61 @@ def test_the_window_reaches_the_scan(spark, shipped, scratch):
     plan = found._jdf.queryExecution().executedPlan().toString()
     pushed = next(line for line in plan.splitlines() if "PushedFilters" in line)
     assert "sample_ts" in pushed.split("PushedFilters")[1] and "EqualTo(kind,error)" in pushed
+
+
+def rows_scanned(df):
+    """Rows that the file scans of a query gave, after row groups were skipped."""
+    df.collect()
+    plan, total, seen = df._jdf.queryExecution().executedPlan(), 0, [df._jdf.queryExecution().executedPlan()]
+    while seen:
+        node = seen.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            seen.append(node.executedPlan())
+            continue
+        if hasattr(node, "plan") and "QueryStage" in name:
+            seen.append(node.plan())
+        if name.startswith("Scan parquet"):
+            total += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        seen += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+def test_one_wide_window_does_not_widen_the_scan_of_others(spark, scratch):
+    """Forty servers with a year of hourly exceptions each; one of them wants the whole year."""
+    hours = 24 * 365
+    n = spark.range(40 * hours)
+    data = n.select(
+        F.format_string("S%02d", (F.col("id") % 40).cast("int")).alias("server"),
+        F.lit("Q").alias("queue"),
+        (F.lit(NOW) - F.make_dt_interval(hours=F.floor(F.col("id") / 40).cast("int"), mins=F.lit(1))).cast("timestamp").alias("sample_ts"),
+        F.lit("error").alias("kind"),
+    )
+    spark.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")  # has statistics
+    try:
+        data.repartitionByRange(160, "server", "sample_ts").sortWithinPartitions("server", "sample_ts").write.parquet(f"{scratch}/s")
+    finally:
+        spark.conf.unset("spark.sql.parquet.outputTimestampType")
+    stored = spark.read.parquet(f"{scratch}/s")
+    parms = spark.createDataFrame([(f"S{i:02d}", 24 * 365 if i == 17 else 12) for i in range(40)], "server string, exception_time_window int")
+    found = sd.recent_exceptions(stored, parms, AS_OF)
+    counts = {r.server: r["count"] for r in found.groupBy("server").count().collect()}
+    assert counts == {f"S{i:02d}": hours if i == 17 else 12 for i in range(40)}
+    # The files with recent rows and those of the one scope; a common horizon would read all files.
+    narrow = rows_scanned(sd.recent_exceptions(stored, parms.where("server <> 'S17'"), AS_OF))
+    assert rows_scanned(found) <= narrow + 2 * hours
+    assert rows_scanned(found) < 40 * hours / 2
+
+
+def test_windows_of_any_spread(spark):
+    """Against a plain loop: many widths, several of them far beyond the median, absent rows and NULLs."""
+    import random
+
+    r = random.Random(2)
+    windows = {f"S{i}": r.choice([None, 1, 5, 20, 30, 100, 400, 2000]) for i in range(30)}
+    parms = spark.createDataFrame([(s, w) for s, w in windows.items() if s != "S3"], "server string, exception_time_window int")
+    data = [(r.choice(["S%d" % r.randint(0, 34), None]), "Q", r.randint(-3600, 2500 * 3600), 1, 1, "error") for _ in range(3000)]
+    got = sd.recent_exceptions(samples(spark, data), parms, AS_OF)
+    want = [i for i, d in enumerate(data) if 0 <= d[2] < 3600 * (windows.get(d[0] if d[0] != "S3" else None) or 24)]
+    assert sorted(x.sample_id for x in got.collect()) == want

@@ -1,10 +1,12 @@
 """Hot keys are spread, and results do not depend on it."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from subdrift import Options, Snapshot, findings
-from subdrift.operators.checks import column_drift, table_drift
+from subdrift.operators.checks import Subscriptions, catalogue, column_drift, listing, table_drift
 from subdrift.operators.skew import SALT, add_salt, copy_per_salt, hot_keys
 from tests.helpers import contents
 
@@ -157,15 +159,15 @@ def final_plan(df):
 
 def test_no_task_gets_a_hot_table(spark, no_broadcast):
     """Rows per shuffle key of the salted side stay near the wanted number."""
-    from subdrift.operators.checks import Subscriptions
-
     subs = Subscriptions(hot_snapshot(spark), Options(rows_per_salt=200))
     heaviest = subs.rows.groupBy("source_owner", "source_name", SALT).count().agg(F.max("count")).first()[0]
     assert heaviest < 400
 
 
 def test_wide_tables_are_split_by_the_adaptive_skew_join(spark, no_broadcast):
-    assert "skew=true" in final_plan(column_drift(hot_snapshot(spark), Options(rows_per_salt=200)))
+    rows = Options(rows_per_salt=200, packed=False)
+    assert "skew=true" in final_plan(column_drift(hot_snapshot(spark), rows))
+    assert contents(column_drift(hot_snapshot(spark), rows)) == contents(column_drift(hot_snapshot(spark), Options()))
 
 
 def test_salted_table_pass_leaves_no_skew(spark, no_broadcast):
@@ -175,16 +177,36 @@ def test_salted_table_pass_leaves_no_skew(spark, no_broadcast):
 
 def test_no_nested_loops_and_nothing_broadcast_but_hot_keys(spark, no_broadcast):
     shot = hot_snapshot(spark)
-    for plan in (table_drift, column_drift):
-        text = final_plan(plan(shot, Options(mode="generator")))
+    plans = [plan(shot, Options(mode="generator", packed=packed)) for plan in (table_drift, column_drift) for packed in (True, False)]
+    for df in [*plans, findings(shot, Options(mode="generator"))]:
+        text = final_plan(df)
         assert "NestedLoop" not in text and "Cartesian" not in text
         for line in text.splitlines():
             if "BroadcastHashJoin" in line:
                 assert "_hot_" in line
 
 
-def test_both_passes_shuffle_flags_not_texts(spark):
-    """Message texts are made after the joins, so no exchange below them carries any."""
-    text = final_plan(column_drift(hot_snapshot(spark)))
-    exchanges = [line for line in text.splitlines() if "Exchange" in line]
-    assert exchanges and not any("mtxt" in line for line in exchanges)
+def exchanges(df):
+    """The attributes each exchange of the final plan carries, by the details behind the tree."""
+    df.collect()
+    text = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    nodes = re.findall(r"\(\d+\) (?:Shuffle)?(?:Exchange|ShuffleQueryStage)\b.*?\nInput \[\d+\]: \[(.*?)\]\n", text, re.S)
+    return [{re.sub(r"#.*", "", name.strip()) for name in node.split(",")} for node in nodes]
+
+
+@pytest.mark.parametrize("mode", ["plain", "generator"])
+def test_no_exchange_carries_a_text(spark, mode):
+    """Texts are made behind the last exchange, those of the distinct included; columns of the
+    catalogue and the configuration cross as sets but for their own grouping."""
+    carried = exchanges(findings(hot_snapshot(spark), Options(mode=mode)))
+    assert len(carried) > 4
+    for names in carried:
+        assert not names & {"mtxt", "fixit", "program", "tbcreator"}
+
+
+def test_one_row_per_table_and_subscription_after_the_grouping(spark):
+    shot, options = hot_snapshot(spark), Options()
+    subs = Subscriptions(shot, options)
+    assert listing(shot, subs).count() == subs.rows.count()
+    tables = catalogue(shot, subs)
+    assert tables.count() == tables.select("server", "source_owner", "source_name", SALT).distinct().count()

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from subdrift import Snapshot, findings, normalise, read_table
+from subdrift import Snapshot, findings, normalise, prepare, read_table
 from tests.helpers import contents, raw, rows
 from tests.test_brute_force import SCHEMA, random_rows
 
@@ -124,3 +124,17 @@ def test_server_and_flag_reach_the_scan(spark, tables, scratch):
 def test_unknown_servers_give_an_empty_snapshot(spark, tables):
     assert Snapshot.of(tables, capture_schema=SCHEMA, servers=("nowhere",)).subs.count() == 0
     assert Snapshot.of(tables, capture_schema=SCHEMA, servers=()).subs.count() == 0
+
+
+def test_checks_of_a_prepared_snapshot_shuffle_no_input(spark, tables, scratch):
+    """The one join of the checks reads both sides bucket by bucket: no exchange of the inputs."""
+    shot = prepare(Snapshot.of(tables, capture_schema=SCHEMA), scratch, buckets=4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = shot.subscribed.join(shot.catalogue, ["server", "source_owner", "source_name", "_salt"], "left")
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and plan.count("Bucketed: true") == 2
+        found = contents(findings(shot))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found == contents(findings(Snapshot.of(tables, capture_schema=SCHEMA)))

@@ -352,6 +352,11 @@ def _silent(fleet: bool = False) -> str:
     )
 
 
+def _in_two_languages() -> str:
+    return f"""WITH {_inputs(True, "ASN")}, en AS ({_all()}), de AS ({_all("DE")})
+      SELECT 'EN' AS lang, {_REPORT_COLUMNS} FROM en UNION ALL SELECT 'DE' AS lang, {_REPORT_COLUMNS} FROM de"""
+
+
 def oracle_sql() -> dict[str, str]:
     long_schema = "CAPTURESCHEM"
     return {
@@ -366,6 +371,7 @@ def oracle_sql() -> dict[str, str]:
         "findings_fleet": _check(_all(), fleet=True),
         "findings_fleet_generator": _check(_all(generator=True), fleet=True),
         "findings_fleet_stored": _check(_all(generator=True), fleet=True),
+        "findings_fleet_prepared": _check(_all(generator=True), fleet=True),
         "report": _report(_all(), _REPORT_COLUMNS),
         "report_de": _report(_all("DE"), _REPORT_COLUMNS),
         "report_de_generator": _report(_all("DE", generator=True), _REPORT_COLUMNS),
@@ -376,8 +382,8 @@ def oracle_sql() -> dict[str, str]:
         "report_fleet": _report(_all(), _REPORT_COLUMNS, fleet=True),
         "report_delimiter": _report(_all(delimiter="#"), _REPORT_COLUMNS),
         "report_view_filtered": _report(_all(), _VIEW_COLUMNS, fleet=True) + " WHERE ordercol > 120 AND source_owner = 'OWN3'",
-        "reports_stored": f"""WITH {_inputs(True, "ASN")}, en AS ({_all()}), de AS ({_all("DE")})
-      SELECT 'EN' AS lang, {_REPORT_COLUMNS} FROM en UNION ALL SELECT 'DE' AS lang, {_REPORT_COLUMNS} FROM de""",
+        "reports_stored": _in_two_languages(),
+        "reports_prepared": _in_two_languages(),
         "parm_apply_effective": _effective(_APPLY_DEFAULTS),
         "parm_capture_effective": _effective(_CAPTURE_DEFAULTS),
         "parm_row_violations": _violations("QREP_MON_APPLY_PARM"),

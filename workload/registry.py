@@ -80,7 +80,7 @@ def _shared_folder(spark: SparkSession) -> str:
     where all executors are on this machine anyway."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder all executors share")
         shared = tempfile.mkdtemp(prefix="run-")
     return f"{shared}/subdrift-{uuid.uuid4().hex}"
@@ -93,16 +93,30 @@ def _stored(options: Options = Options()) -> Query:
     )
 
 
-def _reports_stored(spark: SparkSession, sf: str) -> DataFrame:
-    """Two reports from one snapshot that was cleaned and stored once."""
-    stored = inputs.snapshot(spark, sf, fleet=True).stored(_shared_folder(spark))
+def _prepared(options: Options = Options()) -> Query:
+    """The fleet snapshot stored in the form the checks compare, then checked."""
+    return lambda spark, sf: sd.findings(sd.prepare(inputs.snapshot(spark, sf, fleet=True), _shared_folder(spark)), options)
+
+
+def _reports_prepared(spark: SparkSession, sf: str) -> DataFrame:
+    """Two reports from one prepared snapshot."""
+    prepared = sd.prepare(inputs.snapshot(spark, sf, fleet=True), _shared_folder(spark))
+    return _in_two_languages(prepared)
+
+
+def _in_two_languages(snapshot) -> DataFrame:
     reports = [
-        sd.report(sd.findings(stored, Options(lang=lang)), inputs.CHECK_TS, ordered=False).select(F.lit(lang).alias("lang"), "*")
+        sd.report(sd.findings(snapshot, Options(lang=lang)), inputs.CHECK_TS, ordered=False).select(F.lit(lang).alias("lang"), "*")
         for lang in ("EN", "DE")
     ]
     return reports[0].unionByName(reports[1])
 
 
+def _reports_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Two reports from one snapshot that was cleaned and stored once."""
+    return _in_two_languages(inputs.snapshot(spark, sf, fleet=True).stored(_shared_folder(spark)))
+
+
 def _view_filtered(spark: SparkSession, sf: str) -> DataFrame:
     """The report as a view, asked for the later checks of one owner."""
     sd.create_report_view("subscription_report", sd.findings(inputs.snapshot(spark, sf, fleet=True)), inputs.CHECK_TS)
@@ -159,6 +173,8 @@ def queries() -> dict[str, Query]:
         "report_delimiter": _report(Options(addcol_delimiter="#")),
         "report_view_filtered": _view_filtered,
         "reports_stored": _reports_stored,
+        "findings_fleet_prepared": _prepared(GENERATOR),
+        "reports_prepared": _reports_prepared,
         "parm_apply_effective": _effective(inputs.fleet_parms_apply, sd.PARM_APPLY),
         "parm_capture_effective": _effective(inputs.fleet_parms_capture, sd.PARM_CAPTURE),
         "parm_row_violations": _violations(inputs.fleet_parms_apply, sd.PARM_APPLY),
