@@ -35,7 +35,8 @@ WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWIS
 THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
 """
 
-# (label, text); a label may have several texts.
+# (label, text); a label may have several texts. Of Apache, GPL, LGPL, AGPL, MPL and Creative Commons these are
+# notices, not the bodies of the licences.
 TEMPLATES = [
     ("mit", "Released under the MIT License."),
     ("mit", "This project is licensed under the terms of the MIT license."),
@@ -146,3 +147,43 @@ commercial or non-commercial, and by any means.
     ("cc-by-nc-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
 ]
+
+# Words, one behind another, without which a text of many words is that of another version or licence.
+MARKS = {
+    "gpl-2.0": "either version 2 of the license",
+    "gpl-3.0": "either version 3 of the license",
+    "lgpl-2.1": "gnu lesser general public license",
+    "agpl-3.0": "gnu affero general public license",
+    "apache-2.0": "apache license version 2 0",
+    "mpl-2.0": "mozilla public license v 2 0",
+    "bsd-3-clause": "neither the name of",
+    "isc": "with or without fee is hereby granted",
+}
+
+# Names with their versions, by rule.
+_VARIANTS = {
+    "by": "Attribution",
+    "by-sa": "Attribution-ShareAlike",
+    "by-nc": "Attribution-NonCommercial",
+    "by-nd": "Attribution-NoDerivatives",
+    "by-nc-sa": "Attribution-NonCommercial-ShareAlike",
+    "by-nc-nd": "Attribution-NonCommercial-NoDerivatives",
+}
+TEMPLATES += [
+    (f"cc-{variant}-{version}", text)
+    for variant, name in _VARIANTS.items()
+    for version in ("1.0", "2.0", "2.5", "3.0", "4.0")
+    for text in (f"CC {variant.upper()} {version}", f"Creative Commons {name} {version}")
+]
+TEMPLATES += [
+    (f"{label}-{version}", f"{name} {word} {version.removesuffix('.0') if short else version}")
+    for label, name, versions, short in (
+        ("gpl", "GNU General Public License", ("1.0", "2.0", "3.0"), True),
+        ("lgpl", "GNU Lesser General Public License", ("2.1", "3.0"), True),
+        ("agpl", "GNU Affero General Public License", ("3.0",), True),
+        ("apache", "Apache License", ("1.0", "1.1", "2.0"), False),
+        ("mpl", "Mozilla Public License", ("1.1", "2.0"), False),
+    )
+    for version in versions
+    for word in ("version", "v")
+]

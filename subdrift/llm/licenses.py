@@ -4,7 +4,9 @@ One automaton holds the words of all texts. A document streams through it once:
 each word the automaton knows the longest text piece that ends there (the matching
 statistics). Pieces that cannot be extended are chained, per text, in the order of the
 document and of the text, with bounded gaps; a chain that covers enough of a text is a
-span of its licence. Phrases that name a licence are read off the same states.
+span of its licence, if it holds the words that set the text apart from similar ones. A
+short text has few words and each may matter, so it must be there whole. Where spans
+of several licences lie over each other, the one that covers most words stays. Phrases that name a licence are read off the same states.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subdrift.llm.common import steps, text_column, utf8
-from subdrift.llm.license_texts import PHRASES, TEMPLATES
+from subdrift.llm.license_texts import MARKS, PHRASES, TEMPLATES
 from subdrift.llm.suffix_automaton import SuffixAutomaton
 
 # ASCII letters in lower case, digits and every byte above ASCII make words.
@@ -35,11 +37,13 @@ SCHEMA = (
 @dataclass(frozen=True)
 class Chaining:
     """A piece counts from ``min_piece`` words, two pieces of a chain lie at most
-    ``max_gap`` words apart, and a chain needs ``min_share`` of its text."""
+    ``max_gap`` words apart, and a chain needs ``min_share`` of its text; texts of fewer
+    than ``short`` words must be found whole, in a row."""
 
     min_piece: int = 4
     max_gap: int = 24
     min_share: float = 0.6
+    short: int = 20
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -47,15 +51,16 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Automaton(SuffixAutomaton):
-    """The automaton of some texts; the note of a state is the end of its pieces in each text
-    that has them (their first place)."""
+    """The automaton of some texts; the note of a state are the ends of its pieces in each text
+    that has them, all of them."""
 
     def __init__(self, texts: list[list[bytes]]):
         super().__init__()
         for number, text in enumerate(texts):
             for end, state in enumerate(self.add(text), 1):
-                while state > 0 and number not in (self.note[state] or ()):
-                    self.note[state] = (self.note[state] or {}) | {number: end}
+                while state > 0:
+                    known = self.note[state] or {}  # may be shared with a state split off
+                    self.note[state] = known | {number: (*known.get(number, ()), end)}
                     state = self.link[state]
 
     def state_of(self, words: list[bytes]) -> int:
@@ -68,17 +73,21 @@ class Automaton(SuffixAutomaton):
 class Scanner:
     """The automaton with its phrases, ready for documents."""
 
-    def __init__(self, templates=TEMPLATES, phrases=PHRASES, chaining: Chaining = Chaining()):
+    def __init__(self, templates=TEMPLATES, phrases=PHRASES, chaining: Chaining = Chaining(), marks=MARKS):
         self.chaining = chaining
-        self.labels = [label for label, _ in templates]
-        texts = [words_of(text.encode()) for _, text in templates]
-        named = [(words_of(phrase.encode()), label) for phrase, label in phrases.items()]
+        self.marks = {label: b" " + b" ".join(words_of(mark.encode())) + b" " for label, mark in marks.items()}
+        split = [(label, words_of(text.encode())) for label, text in templates]
+        self.labels = [label for label, words in split if len(words) >= chaining.short]
+        texts = [words for _, words in split if len(words) >= chaining.short]
+        # Short texts are found like the phrases, whole, but give spans and no base places.
+        named = [(words_of(phrase.encode()), label, True) for phrase, label in phrases.items()]
+        named += [(words, label, False) for label, words in split if 0 < len(words) < chaining.short]
         self.sizes = [len(t) for t in texts]
-        self.automaton = Automaton(texts + [words for words, _ in named])
-        self.vocabulary = frozenset(w for t in [*texts, *[words for words, _ in named]] for w in t)
+        self.automaton = Automaton(texts + [words for words, _, _ in named])
+        self.vocabulary = frozenset(w for t in [*texts, *[words for words, _, _ in named]] for w in t)
         at = {}
-        for words, label in named:
-            at.setdefault(self.automaton.state_of(words), []).append((len(words), label))
+        for words, label, is_base in named:
+            at.setdefault(self.automaton.state_of(words), []).append((len(words), label, is_base))
         # Phrases that end wherever a state ends: those of the state and of its suffixes.
         self.phrases: list[tuple] = []
         for state in range(len(self.automaton.link)):
@@ -90,13 +99,13 @@ class Scanner:
 
     def scan(self, text: bytes) -> tuple:
         words = words_of(text)
-        places, pieces = [], []
+        places, whole, pieces = [], [], []
         known = [i for i, word in enumerate(words) if word in self.vocabulary]
         for _, run in groupby(enumerate(known), lambda x: x[1] - x[0]):
             run = [i for _, i in run]
             if len(run) > 1:
-                self._run(words, run[0], run[-1] + 1, places, pieces)
-        spans = self._chains(pieces)
+                self._run(words, run[0], run[-1] + 1, places, whole, pieces)
+        spans = self._chosen(self._chains(pieces) + whole, words)
         base = {label for _, label in places}
         starts = [start for start, _ in places]
         return (
@@ -110,13 +119,15 @@ class Scanner:
             spans,
         )
 
-    def _run(self, words, first, stop, places, pieces):
+    def _run(self, words, first, stop, places, whole, pieces):
         shortest = self.chaining.min_piece
         held = (0, 0, 0)
         for i, state, length in self.automaton.statistics(words, first, stop):
-            for size, label in self.phrases[state]:
-                if size <= length:
+            for size, label, is_base in self.phrases[state]:
+                if size <= length and is_base:
                     places.append((i + 1 - size, label))
+                elif size <= length:
+                    whole.append({"label": label, "start": i + 1 - size, "end": i + 1, "score": 1.0, "covered": size, "chained": False})
             if length <= held[2] and held[2] >= shortest:
                 pieces.append(held)
             held = (i + 1, state, length)
@@ -129,9 +140,9 @@ class Scanner:
         gap = self.chaining.max_gap
         by_text: dict[int, list] = {}
         for end, state, length in pieces:
-            for text, place in self.automaton.note[state].items():
+            for text, places in self.automaton.note[state].items():
                 if text < len(self.sizes):
-                    by_text.setdefault(text, []).append((end, place, length))
+                    by_text.setdefault(text, []).extend((end, place, length) for place in places)
         spans = []
         for text, found in by_text.items():
             best: list[tuple[int, int]] = []  # words covered by the best chain up to a piece, and its start
@@ -148,14 +159,34 @@ class Scanner:
                     j -= 1
                 best.append((covered, start))
                 groups[start] = max(groups.get(start, (0, 0)), (covered, end))
+            size = self.sizes[text]
             for start, (covered, end) in groups.items():
-                share = min(1.0, covered / self.sizes[text])
+                share = min(1.0, covered / size)
                 if share >= self.chaining.min_share:
-                    spans.append({"label": self.labels[text], "start": start, "end": end, "score": share})
-        return sorted(spans, key=lambda s: (s["start"], s["end"], s["label"]))
-
-
-def scan_licenses(documents: DataFrame, templates=TEMPLATES, phrases=PHRASES, chaining: Chaining = Chaining()) -> DataFrame:
+                    spans.append({"label": self.labels[text], "start": start, "end": end, "score": share, "covered": covered, "chained": True})
+        return spans
+
+    def _chosen(self, spans: list[dict], words: list[bytes]) -> list[dict]:
+        """Of the chains those with the words that set their licence apart, without those that lie
+        by half or more under a chain of another licence that covers more words."""
+        marked = []
+        for s in spans:
+            mark = self.marks.get(s["label"])
+            if not s["chained"] or mark is None or mark in b" " + b" ".join(words[s["start"] : s["end"]]) + b" ":
+                marked.append(s)
+        marked.sort(key=lambda s: (-s["covered"], -s["score"], s["label"], s["start"]))
+        kept: list[dict] = []
+        for s in marked:
+            over = lambda k, s=s: 2 * (min(k["end"], s["end"]) - max(k["start"], s["start"])) >= s["end"] - s["start"]
+            if not any(k["label"] != s["label"] and over(k) for k in kept):
+                kept.append(s)
+        out = [{k: s[k] for k in ("label", "start", "end", "score")} for s in kept]
+        return sorted(out, key=lambda s: (s["start"], s["end"], s["label"]))
+
+
+def scan_licenses(
+    documents: DataFrame, templates=TEMPLATES, phrases=PHRASES, chaining: Chaining = Chaining(), marks=MARKS
+) -> DataFrame:
     """Licence labels and spans for every row of ``documents`` (``doc_id``, ``text``).
 
     Words count from 0, ends are exclusive. A null or empty text has no words, empty labels
@@ -165,11 +196,11 @@ def scan_licenses(documents: DataFrame, templates=TEMPLATES, phrases=PHRASES, ch
     the given texts only and is built once per task.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
-    return docs.mapInArrow(lambda batches: _scan(batches, templates, phrases, chaining), SCHEMA)
+    return docs.mapInArrow(lambda batches: _scan(batches, templates, phrases, chaining, marks), SCHEMA)
 
 
-def _scan(batches: Iterator[pa.RecordBatch], templates, phrases, chaining) -> Iterator[pa.RecordBatch]:
-    scanner = Scanner(templates, phrases, chaining)
+def _scan(batches: Iterator[pa.RecordBatch], templates, phrases, chaining, marks) -> Iterator[pa.RecordBatch]:
+    scanner = Scanner(templates, phrases, chaining, marks)
     span = pa.struct(
         [("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]
     )
