@@ -24,7 +24,7 @@ from subdrift.operators.monitor import (
     silent_queues,
 )
 from subdrift.operators.params import effective_parms, row_violations, shipped_row
-from subdrift.plans import Prepared, create_report_view, findings, prepare, report
+from subdrift.plans import Prepared, create_report_view, findings, prepare, register_functions, report
 from subdrift.schemas import PARM_APPLY, PARM_CAPTURE
 from subdrift.sources import Snapshot, normalise, read_table
 
@@ -48,6 +48,7 @@ __all__ = [
     "read_table",
     "recent_exceptions",
     "recent_heartbeats",
+    "register_functions",
     "report",
     "row_violations",
     "shipped_row",

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from subdrift import Options, Snapshot, create_report_view, findings, report
+from subdrift import Options, Snapshot, create_report_view, findings, register_functions, report
 from tests.helpers import contents, raw
 from tests.test_brute_force import SCHEMA, random_rows
 
@@ -100,3 +100,22 @@ def test_a_new_column_adds_one_finding_per_subscription(spark):
     data["columns"].append(("SRV0", owner, table, "ADDED"))
     after = findings(Snapshot.of(raw(spark, data, server=True), capture_schema=SCHEMA), checks=("C-CNS",)).count()
     assert after == before + 5
+
+
+def test_checks_as_table_functions(spark, scratch):
+    """Each function gives the findings of its check, of one server or all, and a server reaches the scans."""
+    shot = Snapshot.of(raw(spark, random_rows(26), server=True), capture_schema=SCHEMA).stored(scratch)
+    options = Options(lang="DE", mode="generator")
+    assert register_functions(shot, options, CHECK_TS) == ["c_tnf", "c_cnf", "c_cns", "c_dcc", "drift_report"]
+    whole = findings(shot, options).persist()
+    for name in ("c_tnf", "c_cnf", "c_cns", "c_dcc"):
+        check = whole.where(F.col("mtyp") == name.upper().replace("_", "-"))
+        assert contents(spark.sql(f"SELECT * FROM {name}()")) == contents(check)
+        server = check.first().current_server
+        one = spark.sql(f"SELECT * FROM {name}('{server}') WHERE subname IS NOT NULL")
+        assert contents(one) == contents(check.where((F.col("current_server") == server) & F.col("subname").isNotNull()))
+        assert f"EqualTo(server,{server})" in one._jdf.queryExecution().executedPlan().toString()
+    view = report(whole, CHECK_TS, view=True)
+    assert contents(spark.sql("SELECT * FROM drift_report(NULL)")) == contents(view)
+    lateral = spark.sql("SELECT s.x, r.mtyp FROM VALUES ('SRV3'), ('SRV4') AS s(x), LATERAL drift_report(s.x) AS r")
+    assert lateral.count() == view.where("current_server IN ('SRV3', 'SRV4')").count()

@@ -352,6 +352,14 @@ def _silent(fleet: bool = False) -> str:
     )
 
 
+def _by_function() -> str:
+    columns = "current_server, mtyp, sev, subname, mtxt, fixit"
+    return f"""WITH {_inputs(True, "ASN")}, f AS ({_all(generator=True)})
+      SELECT {columns} FROM f WHERE current_server = 'SRV1' AND mtyp = 'C-CNS' AND source_owner = 'OWN3'
+      UNION ALL SELECT {columns} FROM f WHERE current_server = 'SRV2' AND mtyp = 'C-DCC'
+      UNION ALL SELECT current_server, mtyp, sev, NULL AS subname, mtxt, fixit FROM f WHERE current_server = 'SRV0'"""
+
+
 def _in_two_languages() -> str:
     return f"""WITH {_inputs(True, "ASN")}, en AS ({_all()}), de AS ({_all("DE")})
       SELECT 'EN' AS lang, {_REPORT_COLUMNS} FROM en UNION ALL SELECT 'DE' AS lang, {_REPORT_COLUMNS} FROM de"""
@@ -382,6 +390,7 @@ def oracle_sql() -> dict[str, str]:
         "report_fleet": _report(_all(), _REPORT_COLUMNS, fleet=True),
         "report_delimiter": _report(_all(delimiter="#"), _REPORT_COLUMNS),
         "report_view_filtered": _report(_all(), _VIEW_COLUMNS, fleet=True) + " WHERE ordercol > 120 AND source_owner = 'OWN3'",
+        "checks_by_function": _by_function(),
         "reports_stored": _in_two_languages(),
         "reports_prepared": _in_two_languages(),
         "parm_apply_effective": _effective(_APPLY_DEFAULTS),

@@ -123,6 +123,16 @@ def _view_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql("SELECT * FROM subscription_report WHERE ordercol > 120 AND source_owner = 'OWN3'")
 
 
+def _by_function(spark: SparkSession, sf: str) -> DataFrame:
+    """Two checks of one server each, asked in SQL, and the report of a third."""
+    sd.register_functions(inputs.snapshot(spark, sf, fleet=True), GENERATOR, inputs.CHECK_TS)
+    columns = "current_server, mtyp, sev, subname, mtxt, fixit"
+    return spark.sql(
+        f"SELECT {columns} FROM c_cns('SRV1') WHERE source_owner = 'OWN3' UNION ALL SELECT {columns} FROM c_dcc('SRV2') "
+        "UNION ALL SELECT current_server, mtyp, sev, NULL, mtxt, fixit FROM drift_report('SRV0')"
+    )
+
+
 def _streamed(grade, table, shuffled: bool = False) -> Query:
     """The events table read as a stream, graded, and written to the shared folder."""
 
@@ -172,6 +182,7 @@ def queries() -> dict[str, Query]:
         "report_fleet": _report(fleet=True),
         "report_delimiter": _report(Options(addcol_delimiter="#")),
         "report_view_filtered": _view_filtered,
+        "checks_by_function": _by_function,
         "reports_stored": _reports_stored,
         "findings_fleet_prepared": _prepared(GENERATOR),
         "reports_prepared": _reports_prepared,
