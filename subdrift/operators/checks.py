@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -244,10 +244,16 @@ def _compared(
 
 
 def all_drift(
-    snapshot: Snapshot, options: Options, wanted: tuple[str, ...], subs: Subscriptions | None = None, met: DataFrame | None = None
+    snapshot: Snapshot,
+    options: Options,
+    wanted: tuple[str, ...],
+    subs: Subscriptions | None = None,
+    met: DataFrame | None = None,
+    observation: Observation | None = None,
 ) -> DataFrame:
     """Any of the four checks from one meeting of subscriptions, listings and catalogue, before
-    texts. ``met`` is that meeting, if it is stored already."""
+    texts. ``met`` is that meeting, if it is stored already; ``observation`` counts what it leaves
+    out, see ``findings``."""
     subs = Subscriptions(snapshot, options) if subs is None else subs
     if met is None:
         met = listing(snapshot, subs).join(catalogue(snapshot, subs), [*_TABLE, SALT], "left")
@@ -255,7 +261,11 @@ def all_drift(
     kinds = [_KINDS[list(ORDER).index(check)] for check in wanted]
     if "C-TNF" in wanted:
         gone = F.col("ordercol") == ORDER["C-TNF"]
-        drift = _with_queue(drift, snapshot, options, "left", only=gone).where(~gone | F.col("_queued"))
+        queued = _with_queue(drift, snapshot, options, "left", only=gone)
+        if observation is not None:
+            unreported = F.count_if(gone & F.col("_queued").isNull()).alias("vanished_without_queue")
+            queued = queued.observe(observation, unreported, F.count_if(gone & F.col("_queued")).alias("vanished_with_queue"))
+        drift = queued.where(~gone | F.col("_queued"))
     if "C-CNS" in wanted and options.generator:
         unlisted = F.col("ordercol") == ORDER["C-CNS"]
         drift = drift.withColumn("target_name", F.when(unlisted, F.col("target_name")))

@@ -10,11 +10,11 @@ keep every sample and work on streams as well.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from subdrift.functions import grading
-from subdrift.operators.params import effective_parms, no_second_rows
+from subdrift.operators.params import effective_parms, no_second_rows, single_rows
 from subdrift.operators.skew import SALT, hot_keys
 from subdrift.schemas import PARM_APPLY, PARM_CAPTURE, SERVER, ParmTable
 
@@ -37,6 +37,8 @@ def with_parms(
     keys: tuple[str, ...] = _KEYS,
     hot: DataFrame | None = None,
     strategy: str | None = None,
+    on_second_row: str = "fail",
+    observation: Observation | None = None,
 ) -> DataFrame:
     """Samples with the named parameters of their scope, as columns ``_parm_<name>``.
 
@@ -48,8 +50,18 @@ def with_parms(
     ``hot_scopes``): their samples are spread over as many tasks, their parameters copied.
     ``strategy`` is a join hint of Spark for the side of the parameters, where its own choice
     does not suit.
+
+    A scope with a second row fails the job, which names it. With ``on_second_row="skip"`` neither
+    row is used and its samples are graded with the defaults; an ``observation`` then tells, once
+    the job has run, how many such scopes there were (``scopes_with_second_rows``) and how
+    many had one row (``scopes_with_one_row``), counted in the same pass.
     """
-    scoped = effective_parms(parms, table, keys=keys).where(no_second_rows(parms, table, keys))
+    if on_second_row == "skip":
+        scoped = effective_parms(single_rows(parms, keys, observation), table, keys=keys)
+    elif on_second_row == "fail" and observation is None:
+        scoped = effective_parms(parms, table, keys=keys).where(no_second_rows(parms, table, keys))
+    else:
+        raise ValueError("on_second_row must be 'fail', or 'skip', which alone takes an observation")
     scoped = scoped.select(*[F.col(c).alias(_OWN + c) for c in (*keys, *names)])
     joined = [F.col(k) == F.col(_OWN + k) for k in keys]
     if hot is not None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,3 +61,13 @@ def no_second_rows(parms: DataFrame, table: ParmTable, keys: tuple[str, ...] = (
     refused = counted.select(F.min(scope)).scalar()
     refusal = F.raise_error(F.concat(F.lit(texts.SECOND_PARM_ROW.format(table=table.name) + ": "), refused)).cast("boolean")
     return F.when(refused.isNotNull(), refusal).otherwise(F.lit(True))
+
+
+def single_rows(parms: DataFrame, keys: tuple[str, ...] = (SERVER,), observation: Observation | None = None) -> DataFrame:
+    """The rows of scopes that have just one, in one grouping; ``observation`` counts both kinds of scopes."""
+    values = [F.first(c).alias(c) for c in parms.columns if c not in keys]
+    counted = parms.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *values)
+    if observation is not None:
+        several = F.count_if(F.col("_n") > 1).alias("scopes_with_second_rows")
+        counted = counted.observe(observation, several, F.count_if(F.col("_n") == 1).alias("scopes_with_one_row"))
+    return counted.where("_n = 1").drop("_n")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 
 from subdrift.operators import checks as of
 from subdrift.operators.checks import Options
@@ -28,19 +28,28 @@ PASSES = {("C-TNF", "C-DCC"): of.table_drift, ("C-CNF", "C-CNS"): of.column_drif
 
 
 def findings(
-    snapshot: Snapshot | Prepared, options: Options = Options(), checks: tuple[str, ...] = tuple(CHECKS)
+    snapshot: Snapshot | Prepared,
+    options: Options = Options(),
+    checks: tuple[str, ...] = tuple(CHECKS),
+    observation: Observation | None = None,
 ) -> DataFrame:
     """Distinct union of the chosen checks over all fifteen columns.
 
     Rows are made distinct before the report drops columns, so a report may still
     show equal rows. Only what the texts are made of is shuffled here, neither the inputs
     nor the texts. ``prepare`` stores a snapshot so that not even the inputs are shuffled.
+
+    Subscriptions of vanished tables are reported only with a send queue. An ``observation``
+    (with C-TNF, packed) tells, once the job has run, how many rows were left out for want of
+    one (``vanished_without_queue``) and how many were not (``vanished_with_queue``), in the same pass.
     """
     wanted = tuple(c for c in CHECKS if c in checks)
+    if observation is not None and not ("C-TNF" in wanted and options.packed):
+        raise ValueError("only C-TNF, with packed columns, has something to observe")
     if isinstance(snapshot, Prepared):
-        drift = snapshot.drift(options, wanted)
-    elif options.packed and not any(set(wanted) <= set(pair) for pair in PASSES):
-        drift = of.all_drift(snapshot, options, wanted)
+        drift = snapshot.drift(options, wanted, observation)
+    elif options.packed and (observation is not None or not any(set(wanted) <= set(pair) for pair in PASSES)):
+        drift = of.all_drift(snapshot, options, wanted, observation=observation)
     else:
         plans = []
         for pair, both in PASSES.items():

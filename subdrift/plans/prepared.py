@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 
 from subdrift.operators.checks import TABLE_KEYS, Options, Subscriptions, all_drift, catalogue, listing
 from subdrift.operators.skew import SALT
@@ -25,9 +25,9 @@ class Prepared:
     catalogue: DataFrame
     hot: DataFrame
 
-    def drift(self, options: Options, wanted: tuple[str, ...]) -> DataFrame:
+    def drift(self, options: Options, wanted: tuple[str, ...], observation: Observation | None = None) -> DataFrame:
         met = self.subscribed.join(self.catalogue, _KEYS, "left")
-        return all_drift(self.snapshot, options, wanted, Subscriptions(self.snapshot, options, self.hot), met)
+        return all_drift(self.snapshot, options, wanted, Subscriptions(self.snapshot, options, self.hot), met, observation)
 
 
 def prepare(snapshot: Snapshot, path: str, buckets: int | None = None, rows_per_salt: int | None = None) -> Prepared:
