@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subdrift.llm.common import portions, steps, text_column, utf8, written
+from subdrift.llm.common import steps, text_column, utf8, written
 from subdrift.llm.exchange import among, mixed
 from subdrift.llm.licenses import words_of
 from subdrift.llm.repeated_words import Words
@@ -197,17 +197,17 @@ def without_items(documents: DataFrame, benchmark: DataFrame, matching: Matching
     by row without a join."""
     left = documents
     for items in _blocks(benchmark, matching):
-        block = documents.sparkSession.sparkContext.broadcast(items)
+        left = left.where(_clean(documents.sparkSession.sparkContext.broadcast(items), matching)(text_column()))
+    return left
 
-        @F.pandas_udf("boolean")
-        def clean(texts, block=block):
-            import pandas as pd
 
-            hashes = Words(1, 1)
-            kept = (
-                next(search(raw, block.value, matching, hashes), None) is None for part in portions(texts) for raw in part
-            )
-            return pd.Series(list(kept), dtype=bool)
+def _clean(block, matching: Matching):
+    """A vectorised function from a text column to whether it holds none of the items."""
 
-        left = left.where(clean(text_column()))
-    return left
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        hashes = Words(1, 1)
+        parts = steps([pa.RecordBatch.from_arrays([texts], names=["text"])], "text")
+        return pa.array([next(search(raw, block.value, matching, hashes), None) is None for part in parts for raw in utf8(part, "text")], pa.bool_())
+
+    return clean

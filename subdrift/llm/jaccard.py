@@ -30,13 +30,15 @@ from pyspark.sql import functions as F
 
 from subdrift.llm.common import text_column, written
 from subdrift.llm.components import components
-from subdrift.llm.exchange import BLOCK_BYTES, among, answered_levels, blocked, distinct_keys, mixed, repeated_keys
+from subdrift.llm.exchange import among, answered_levels, blocked, distinct_keys, mixed, repeated_keys
 from subdrift.llm.repeated_words import Words
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 # Sizes that may be taken for small; their subsets stay few.
 _LARGEST_SMALL = 12
+# Text of a block: its elements take about as many bytes again, several times while they are sorted.
+BLOCK_BYTES = 4 << 20
 # Bits of a sketch for each element of its set.
 _BITS_EACH = 4
 # Numbers of blocks that tell frequent elements from rarer ones.

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subdrift.llm.common import portions, steps, text_column, utf8
+from subdrift.llm.common import steps, text_column, utf8
 
 # Characters counted as symbols, and white space between words.
 SYMBOLS = b"#*$%&|<>"
@@ -26,7 +26,7 @@ BASE_WINDOW = 3
 BASE_MIN_WORDS = 50
 BASE_MAX_REPEAT_PERCENT = 50
 # Text whose suffixes are sorted together, in bytes.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -76,20 +76,18 @@ def keep_good(documents: DataFrame, limits: Limits = Limits()) -> DataFrame:
 def quality_of_text(limits: Limits = Limits()):
     """A vectorised function from a text column to the verdict."""
 
-    @F.pandas_udf("boolean")
-    def good(texts):
-        import pandas as pd
-
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
         # A batch is a number of rows, whatever their length; what is sorted together is cut by bytes.
         verdicts = [np.zeros(0, bool)]
-        for part in portions(texts, BATCH_BYTES):
-            c = measure(part, limits)
+        for part in steps([pa.RecordBatch.from_arrays([texts], names=["text"])], "text", BATCH_BYTES):
+            c = measure(utf8(part, "text"), limits)
             failed = (c["n_words"] < BASE_MIN_WORDS) | (100 * c["n_repeat_words"] > BASE_MAX_REPEAT_PERCENT * c["n_words"])
             repetitive = (100 * c["covered_words"] > limits.max_covered_percent * c["n_words"]) | (
                 c["longest_repeat"] >= limits.long_repeat
             )
             verdicts.append(~failed & ~repetitive)
-        return pd.Series(np.concatenate(verdicts))
+        return pa.array(np.concatenate(verdicts))
 
     return good
 
