@@ -108,7 +108,8 @@ def measure(texts: list[bytes], limits: Limits) -> dict[str, np.ndarray]:
     for text in texts:
         words = text.split()
         sizes.append(len(words))
-        ids += [vocabulary.setdefault(w, len(vocabulary)) for w in words]
+        ids.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int32, len(words)))
+        del words
         bare = text.translate(None, WHITE_SPACE)
         word_chars.append(len(bare.decode("utf-8", "surrogatepass")))
         symbols.append(len(bare) - len(bare.translate(None, SYMBOLS)))
@@ -116,7 +117,7 @@ def measure(texts: list[bytes], limits: Limits) -> dict[str, np.ndarray]:
         dup_lines.append(len(lines) - len(set(lines)))
     n_docs = len(texts)
     doc = np.repeat(np.arange(n_docs, dtype=np.int64), sizes)
-    repeats = longest_repeats(np.array(ids, dtype=np.int64), doc)
+    repeats = longest_repeats(np.concatenate(ids) if ids else np.zeros(0, np.int32), doc)
     inner = np.where(repeats >= limits.min_repeat, repeats, 0)
     # A span whose left neighbour reaches as far does not start a maximal repeat.
     follows = np.zeros(len(inner), bool)
@@ -147,37 +148,82 @@ def _covered(spans: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
 
 def longest_repeats(ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For each place the length of the longest substring that starts there and at another
-    place of the same document too (places may overlap). ``doc`` ascends."""
+    place of the same document too (places may overlap). ``doc`` ascends.
+
+    Memory is a fixed number of arrays of the length of the text, however repetitive it is.
+    """
     n = len(ids)
-    if n < 2:
-        return np.zeros(n, np.int64)
-    order, levels = _suffix_array(ids, doc)
-    # Common prefix of neighbours, put together from the doubled lengths.
-    i, j = order[:-1].copy(), order[1:].copy()
-    common = np.zeros(n - 1, np.int64)
-    for length, rank in reversed(levels):
-        inside = np.flatnonzero((i < n) & (j < n))
-        same = inside[rank[i[inside]] == rank[j[inside]]]
-        common[same] += length
-        i[same] += length
-        j[same] += length
     longest = np.zeros(n, np.int64)
-    longest[order[1:]] = common
-    longest[order[:-1]] = np.maximum(longest[order[:-1]], common)
+    if n < 2:
+        return longest
+    order = _suffix_array(ids, doc)
+    before = np.full(n, -1, order.dtype)
+    before[order[1:]] = order[:-1]
+    del order
+    common = _common_prefixes(ids, doc, before)
+    longest[:] = common
+    shared = np.flatnonzero(common)
+    np.maximum.at(longest, before[shared], common[shared])
     return longest
 
 
-def _suffix_array(ids: np.ndarray, doc: np.ndarray):
-    """Suffixes in the order of (document, words), and the ranks by their first 1, 2, 4 ...
-    words. Equal ranks at a level mean equal words within one document."""
+def _common_prefixes(ids: np.ndarray, doc: np.ndarray, before: np.ndarray, together: int = 64) -> np.ndarray:
+    """Common prefix of every suffix with the one ``before`` it in their order.
+
+    Where the words to the left of both are equal, the prefix is that of the place to the
+    left less one; only the other places are compared, word by word, and their prefixes
+    add up to n log n words at most. The first ``together`` words are compared for all
+    places at once, longer ones in doubling slices.
+    """
+    n = len(ids)
+    place = np.flatnonzero((before >= 0) & (doc == doc[before]))
+    near = before[place]
+    left = (place > 0) & (near > 0)
+    left &= (ids[place - 1] == ids[near - 1]) & (doc[place - 1] == doc[place]) & (doc[near - 1] == doc[near])
+    # The place to the left must have that very neighbour's left neighbour before it.
+    left &= before[place - 1] == near - 1
+    follows = np.zeros(n, bool)
+    follows[place[left]] = True
+    i, j = place[~left], near[~left]
+    room = np.searchsorted(doc, doc[i], side="right") - np.maximum(i, j)
+    common = np.zeros(n, np.int64)
+    length = np.zeros(len(i), np.int64)
+    active = np.arange(len(i))
+    for step in range(together):
+        active = active[room[active] > step]
+        active = active[ids[i[active] + step] == ids[j[active] + step]]
+        if not len(active):
+            break
+        length[active] += 1
+    for k in active.tolist():
+        a, b, have, end, width = int(i[k]), int(j[k]), int(length[k]), int(room[k]), together
+        while have < end:
+            width = min(width, end - have)
+            differ = np.flatnonzero(ids[a + have : a + have + width] != ids[b + have : b + have + width])
+            if len(differ):
+                have += int(differ[0])
+                break
+            have, width = have + width, 2 * width
+        length[k] = have
+    common[i] = length
+    # A run of places that follow one another counts down from its first.
+    at = np.arange(n)
+    first = np.maximum.accumulate(np.where(follows, 0, at))
+    return np.where(follows, common[first] - (at - first), common)
+
+
+def _suffix_array(ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Suffixes in the order of (document, words)."""
     n = len(ids)
     last = np.searchsorted(doc, doc, side="right")  # end of the own document
-    key = doc * (ids.max() + 1) + ids
-    rank = _ranks(key, np.zeros(n, np.int64))
-    levels, length = [(1, rank.copy())], 1
+    rank = _ranks(doc * (int(ids.max()) + 1) + ids, np.zeros(n, np.int64))
+    length = 1
+    tied = np.arange(n)
     while True:
-        sizes = np.bincount(rank, minlength=n)
-        tied = np.flatnonzero(sizes[rank] > 1)
+        # Only what is tied still can be told apart by more words.
+        sizes = np.bincount(rank[tied], minlength=n)
+        tied = tied[sizes[rank[tied]] > 1]
+        del sizes
         if not len(tied):
             break
         ahead = tied + length
@@ -186,8 +232,9 @@ def _suffix_array(ids: np.ndarray, doc: np.ndarray):
         old = rank[tied]
         rank[tied] = old + _offsets(old, follower, n)
         length *= 2
-        levels.append((length, rank.copy()))
-    return np.argsort(rank, kind="stable"), levels
+    order = np.empty(n, np.int64)
+    order[rank] = np.arange(n)
+    return order
 
 
 def _ranks(key: np.ndarray, base: np.ndarray) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -29,6 +30,26 @@ def test_longest_repeats_of_random_sequences():
         assert longest_repeats(ids, doc).tolist() == want
 
 
+def test_long_repeats_are_whole():
+    """Repeats far above the words compared at once, broken in one place or cut at the end."""
+    part = np.random.default_rng(3).integers(0, 40, 5000)
+    other = part.copy()
+    other[3000] = 77
+    ids = np.concatenate([part, other, part[:1000]])
+    got = longest_repeats(ids, np.zeros(len(ids), np.int64))
+    assert got[5000] == 3000 and got[8001] == 1999 and got[0] == 3000 and got[10000] == 1000
+    assert got[5500] == 2500 and got[4999] == max(got[4998] - 1, 0)
+
+
+def test_memory_is_linear_in_a_repetitive_text():
+    ids = np.tile(np.arange(7, dtype=np.int32), 60000)
+    tracemalloc.start()
+    got = longest_repeats(ids, np.zeros(len(ids), np.int64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0] == len(ids) - 7 and peak < 160 * len(ids)
+
+
 def brute(text, limits):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
