@@ -3,19 +3,20 @@
 Strict patterns give the base spans. Wide patterns propose further spans, which may
 overlap; boosted trees score each by its format and its context, and a threshold found
 on held-out candidates selects those to add. The trees are fitted by Spark's own library
-on a bounded sample of candidates and then written out as plain column expressions, so
-the whole corpus is scored beside its text: DataFrame functions only, no shuffle.
+on all labelled candidates, counted by their features, and then written out as plain column
+expressions, so the whole corpus is scored beside its text: DataFrame functions only, and
+no shuffle but that of the counts.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
 from functools import reduce
-from math import log2
+from math import isqrt
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subdrift.llm.common import text_column, written
@@ -56,6 +57,10 @@ _SEEN = "array<struct<kind:string,start:int,end:int,match:string,left:string,rig
 # Matches whose places are added up together; the pieces are joined at the end, so that
 # work grows with the matches and not with their square.
 _CHUNK = 64
+# Steps of a margin of 1 that thresholds are told apart by.
+_STEPS = 1000
+# Rows of one part that trees learn from, and rows from whose values Spark always bounds its bins.
+_PART_ROWS, _BINNED_WHOLE = 50_000, 10_000
 _CUES = {
     "cue_contact": "(?i)phone|tel|call|fax|mobile|contact|mail|whatsapp",
     "cue_account": "(?i)card|account|iban|ssn|passport|visa|customer|number",
@@ -72,11 +77,10 @@ _FEATURES = [
 
 @dataclass(frozen=True)
 class Fit:
-    """``sample`` candidates at most, drawn by hash, train the trees (three quarters) and
-    set the threshold (one quarter): the lowest with ``precision`` or more above it, where
-    each class weighs as much as it has labelled candidates in the whole table."""
+    """All labelled candidates take part: three quarters, by hash, train the trees, where both
+    classes weigh the same; the others set the threshold: the lowest with ``precision`` or
+    more of them above it."""
 
-    sample: int = 8000
     trees: int = 8
     depth: int = 3
     precision: float = 0.95
@@ -90,8 +94,8 @@ def find_private(documents: DataFrame, fit: Fit = Fit()) -> DataFrame:
 
     Spans of one base kind never overlap, spans of different kinds may; an added span
     overlaps no base span. A null or empty text has none. Rows are searched one by one;
-    other columns pass through (columns of the two names are replaced). Where the sample
-    lacks one of the classes (an empty table, no candidates), nothing is added. The work
+    other columns pass through (columns of the two names are replaced). Where one of the
+    classes has no candidates (an empty table), nothing is added. The work
     on a text grows with its length and its matches (times the logarithm of the strict ones).
     """
     docs = documents.drop("base_spans", "spans").withColumn("base_spans", base_spans(text_column()))
@@ -274,7 +278,7 @@ def _account(match: Column) -> Column:
 
 
 def _label(span: Column, base: Column) -> Column:
-    """What the sample learns from: 1 for a candidate that holds a whole strict span, a value
+    """What is learned from: 1 for a candidate that holds a whole strict span, a value
     with a digit under the name of a secret, or what a checksum or a form with its cue
     shows to be personal; 0 for what touches no strict span and is shown to be something
     else; null (not learned from) for all that the strict patterns do not know."""
@@ -309,7 +313,7 @@ class Score:
 
     names: list[str]
     parts: list
-    threshold: float = 0.0
+    threshold: int = 0
 
     def features(self, span: Column) -> list[Column]:
         """The features the trees ask for, of the fitted order."""
@@ -319,60 +323,65 @@ class Score:
         at = {place: F.get(x, F.lit(names.index(name))) for place, name in enumerate(_FEATURES) if name in self.names}
         return reduce(lambda a, b: a + b, [F.lit(float(weight)) * _tree(root, at) for weight, root in self.parts])
 
+    def step(self, x: Column, names: list[str]) -> Column:
+        """The margin in whole steps, as thresholds are."""
+        return F.floor(self.margin(x, names) * F.lit(float(_STEPS)))
+
     def chosen(self, x: Column) -> Column:
-        return self.margin(x, self.names) >= self.threshold
+        return self.step(x, self.names) >= self.threshold
 
 
-def trained(docs: DataFrame, fit: Fit) -> Score | None:
-    """The trees and their threshold, or None."""
+def labelled_candidates(docs: DataFrame, fit: Fit) -> DataFrame:
+    """All candidates of the table that have a label, as ``label, x, held, n``: how many there
+    are of each label and features, and whether they are held out for the threshold (drawn by
+    hash of the candidate). Labels and features are found beside the text."""
 
-    def drawn(label: float) -> DataFrame:
-        """Candidates of one class; labels and features are found beside the text."""
+    def labelled(s: Column) -> Column:
+        judged = F.transform(s["wide"], lambda c: F.struct(_label(c, s["base"]).alias("label"), c.alias("c")))
+        own = F.filter(judged, lambda j: j["label"].isNotNull())
+        return F.transform(own, lambda j: F.struct(j["label"].alias("label"), j["c"]["kind"].alias("kind"), j["c"]["match"].alias("match"), F.array(*features(j["c"]).values()).alias("x")))
 
-        def labelled(s: Column) -> Column:
-            own = F.filter(s["wide"], lambda c: F.coalesce(_label(c, s["base"]) == label, F.lit(False)))
-            return F.transform(own, lambda c: F.struct(c["kind"].alias("kind"), c["match"].alias("match"), F.array(*features(c).values()).alias("x")))
+    both = F.struct(candidates(text_column(), fit.context).alias("wide"), by_kind(F.col("base_spans")).alias("base"))
+    found = docs.select(F.explode(_let(both, labelled)).alias("c")).select("c.*")
+    held = F.pmod(F.xxhash64(F.lit(fit.seed), "kind", "match", "x"), F.lit(4)) == 0
+    return found.groupBy("label", "x", held.alias("held")).agg(F.count(F.lit(1)).alias("n"))
 
-        both = F.struct(candidates(text_column(), fit.context).alias("wide"), by_kind(F.col("base_spans")).alias("base"))
-        return docs.select(F.explode(_let(both, labelled)).alias("c")).select(F.lit(label).alias("label"), "c.kind", "c.match", "c.x")
 
-    # The sample: equal numbers of both classes where there are enough, in hash order.
-    order = F.xxhash64(F.lit(fit.seed), "kind", "match", "x")
-    seen = {label: Observation() for label in (0.0, 1.0)}
-    halves = [
-        drawn(label).observe(seen[label], F.count(F.lit(1)).alias("n")).orderBy(order, "kind", "match").limit(fit.sample // 2)
-        for label in seen
-    ]
-    sample = written(
-        halves[0].union(halves[1]).select("label", "x", (F.pmod(order, F.lit(4)) == 0).alias("held")).coalesce(1), "sample"
-    ).withColumn("features", array_to_vector("x"))
-    counts = {(r["held"], r["label"]): r["n"] for r in sample.groupBy("held", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not (counts.get((False, 0.0)) and counts.get((False, 1.0))):
+def trained(docs: DataFrame, fit: Fit) -> Score | None:
+    """The trees and their threshold, or None."""
+    known = written(labelled_candidates(docs, fit), "known").withColumn("features", array_to_vector("x"))
+    counted = known.groupBy("held", "label").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).collect()
+    learned = {r["label"]: r for r in counted if not r["held"]}
+    if len(learned) < 2:
         return None
-    trees = GBTClassifier(maxIter=fit.trees, maxDepth=fit.depth, maxBins=16, seed=fit.seed, stepSize=0.3)
-    model = trees.fit(sample.where("not held"))
+    # In training both classes weigh the same.
+    weight = F.col("n") / F.when(F.col("label") == 1, learned[1.0]["n"]).otherwise(learned[0.0]["n"])
+    rows = sum(r["rows"] for r in learned.values())
+    parts = 1 + rows // _PART_ROWS
+    # In a fixed order, so that sums and with them the trees are the same every time.
+    ordered = known.where("not held").withColumn("weight", weight * rows).repartition(parts, "x").sortWithinPartitions("x", "label")
+    # Spark bounds its bins by a sample if it has more rows than the square of their number.
+    bins = max(16, isqrt(rows - 1) + 1 if rows > _BINNED_WHOLE else 0)
+    trees = GBTClassifier(maxIter=fit.trees, maxDepth=fit.depth, maxBins=bins, seed=fit.seed, stepSize=0.3, weightCol="weight")
+    model = trees.fit(ordered)
     asked = {i for i in range(len(_FEATURES)) if model.featureImportances[i] > 0}
     names = [name for i, name in enumerate(_FEATURES) if i in asked]
     score = Score(names, [(weight, tree._call_java("rootNode")) for weight, tree in zip(model.treeWeights, model.trees)])
-    # How much more the table has of a class than the sample. In powers of two, since a
-    # task run again after a loss may be counted twice.
-    drawn_of = {label: counts.get((False, label), 0) + counts.get((True, label), 0) for label in seen}
-    weights = {label: 2.0 ** round(log2(max(1, seen[label].get["n"] / drawn_of[label]))) for label in seen}
-    held = sample.where("held").select("label", score.margin(F.col("x"), _FEATURES).alias("margin"))
-    threshold = _threshold(held, fit.precision, weights)
+    held = known.where("held").select("label", "n", score.step(F.col("x"), _FEATURES).alias("step"))
+    threshold = _threshold(held, fit.precision)
     return None if threshold is None else replace(score, threshold=threshold)
 
 
-def _threshold(scored: DataFrame, precision: float, weights: dict[float, float]) -> float | None:
-    """The lowest margin with the wanted precision at and above it, over at most a quarter
-    of the sample; rows weigh as their class."""
-    by_margin = scored.groupBy("margin").agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("margin"))
-    good = bad = 0.0
+def _threshold(scored: DataFrame, precision: float) -> int | None:
+    """The lowest step with the wanted precision at and above it, over all held-out candidates.
+    Margins are few and small, so are their steps."""
+    by_step = scored.groupBy("step").agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n")).orderBy(F.desc("step"))
+    good = total = 0.0
     best = None
-    for row in by_margin.collect():
-        good, bad = good + weights[1.0] * row["good"], bad + weights[0.0] * (row["n"] - row["good"])
-        if good >= precision * (good + bad):
-            best = row["margin"]
+    for row in by_step.collect():
+        good, total = good + row["good"], total + row["n"]
+        if good >= precision * total:
+            best = row["step"]
     return best
 
 

@@ -5,7 +5,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from subdrift.llm.private_data import BASE, WIDE, _account, _holds, _touches, base_spans, by_kind, candidates, find_private, redact
+from subdrift.llm.private_data import (
+    BASE, WIDE, Fit, _account, _holds, _threshold, _touches, base_spans, by_kind, candidates, find_private, labelled_candidates, redact,
+)
 from tests.llm.helpers import awkward, documents, frame
 
 NASTY = [
@@ -159,3 +161,31 @@ def test_nothing_is_added_without_both_classes(spark):
     assert empty.count() == 0
     plain = find_private(spark.createDataFrame([(1, "no digits here")], "doc_id long, text string"))
     assert plain.first().spans == []
+
+
+def test_all_labelled_candidates_are_learned_from(spark):
+    """Two forms, each more often than any bounded sample held; before, all of the sample was one of them."""
+    rows = [(k, "his password=b7db7aa4a5fcc71 is old") for k in range(9000)]
+    rows += [(10000 + k, "write to anna.lind@post.example.org soon") for k in range(9000)]
+    rows += [(20000 + k, f"{k} apples in chapter {k % 90}.1 of 2024-01-{10 + k % 20}") for k in range(3000)]
+    rows += [(30000, "so write to berta.lund (at) post.example.net soon")]
+    found = {r.doc_id: r for r in find_private(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "password=b7db7aa4a5fcc71" in {s.match for s in found[0].spans}
+    assert "berta.lund (at) post.example.net" in {s.match for s in found[30000].spans}
+
+
+def test_counts_of_labelled_candidates(spark):
+    texts = ["mail a.b@example.org x"] * 700 + ["in version 1.25 of"] * 5000 + ["token=abc12345 x"] * 900 + [""]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").withColumn("base_spans", base_spans(F.col("text")))
+    each = docs.dropDuplicates(["text"])
+    once = {(r.label, tuple(r.x)): r.n for r in labelled_candidates(each, Fit()).collect()}
+    counted = {(r.label, tuple(r.x)): r.n for r in labelled_candidates(docs, Fit()).collect()}
+    assert set(counted) == set(once) and {label for label, _ in counted} == {0.0, 1.0}
+    assert sum(n for (label, _), n in counted.items() if label == 0) == 5000 * sum(n for (label, _), n in once.items() if label == 0)
+    assert max(n for (label, _), n in counted.items() if label == 1) >= 900
+
+
+def test_threshold_is_the_lowest_that_is_precise(spark):
+    steps = [(9, 1.0, 90), (8, 0.0, 4), (7, 1.0, 30), (6, 0.0, 5), (5, 1.0, 1), (4, 0.0, 900)]
+    scored = spark.createDataFrame(steps, "step long, label double, n long")
+    assert _threshold(scored, 0.95) == 7 and _threshold(scored, 0.9) == 5 and _threshold(scored.where("label = 0"), 0.9) is None
