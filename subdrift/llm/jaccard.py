@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subdrift.llm.common import text_column, written
+from subdrift.llm.common import batches_of, steps, text_column, utf8, written
 from subdrift.llm.components import components
 from subdrift.llm.exchange import among, answered_levels, blocked, distinct_keys, mixed, repeated_keys
 from subdrift.llm.repeated_words import Words
@@ -49,6 +49,8 @@ _BROADCAST_BYTES = 16 << 20
 _SPREAD = 256
 # Lists of a document that are tried first; all others follow, so this only changes the cost.
 _TRIED_FIRST = 4
+# Pairs of texts that a task holds at a time.
+_PAIR_ROWS = 256
 
 
 @dataclass(frozen=True)
@@ -263,7 +265,7 @@ def jaccard_components(
         .distinct()
     )
     checked = written(starred, "pairs")
-    links = written(linked(checked, chosen, blocks, threshold), "links")
+    links = linked(checked, chosen, blocks, threshold)
 
     # All lists, for what the first ones have not joined.
     parts = components(links).withColumnRenamed("node", "doc_id")
@@ -285,7 +287,7 @@ def jaccard_components(
         .distinct()
     )
     unchecked = written(across.join(checked, ["a", "b"], "left_anti"), "pairs")
-    more = written(linked(unchecked, chosen, blocks, threshold), "links")
+    more = linked(unchecked, chosen, blocks, threshold)
     final = written(components(links.union(more).union(equal)), "components")
     return described.select("doc_id", "n_shingles").join(final, described["doc_id"] == final["node"], "left").select(
         "doc_id",
@@ -326,7 +328,8 @@ def _digest(found: np.ndarray) -> bytes:
 
 
 def linked(pairs: DataFrame, chosen: DataFrame, documents: DataFrame, threshold: Threshold) -> DataFrame:
-    """The pairs (``a``, ``b``) whose sets are similar enough, by their sketches, then by their texts."""
+    """The pairs (``a``, ``b``) whose sets are similar enough, by their sketches, then by their
+    texts; written, since a task holds the texts of few pairs at a time only while this runs."""
     sketch = lambda side: chosen.select(*[F.col(c).alias(f"{c}_{side}") for c in ("n", "parity")], F.col("doc_id").alias(side))
     # Linked sets differ in so many elements at most, and parities in no more bits than the
     # sets in elements. Of two sizes that fit one sketch is at most twice as long.
@@ -353,9 +356,9 @@ def linked(pairs: DataFrame, chosen: DataFrame, documents: DataFrame, threshold:
     def check(batches):
         words = Words(threshold.n, threshold.n)
         held, of = None, None
-        for batch in batches:
+        for batch in steps(steps(batches, "text_a"), "text_b"):
             keep = []
-            for text_a, text_b in zip(*(batch.column(c).to_pylist() for c in ("text_a", "text_b"))):
+            for text_a, text_b in zip(utf8(batch, "text_a"), utf8(batch, "text_b")):
                 if of != text_a:  # pairs of one document mostly come one after another
                     held, of = shingles(text_a, words, threshold.n), text_a
                 other = shingles(text_b, words, threshold.n)
@@ -363,7 +366,8 @@ def linked(pairs: DataFrame, chosen: DataFrame, documents: DataFrame, threshold:
                 keep.append(100 * shared >= threshold.percent * (len(held) + len(other) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+    with batches_of(pairs.sparkSession, _PAIR_ROWS):
+        return written(both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"), "links")
 
 
 def one_of_each(documents: DataFrame, threshold: Threshold = Threshold()) -> DataFrame:

@@ -3,8 +3,10 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
+from subdrift.llm.common import batches_of
 from subdrift.llm.components import components
 from subdrift.llm.jaccard import Threshold, jaccard_components, one_of_each
 from tests.llm.helpers import awkward, frame, tuples
@@ -100,3 +102,26 @@ def test_components_of_links(spark):
 def test_empty_table(spark):
     empty = frame(spark, awkward(spark)).limit(0)
     assert jaccard_components(empty).count() == 0 and one_of_each(empty).count() == 0
+
+
+def test_words_are_parted_by_ascii_blanks_only(spark):
+    """A word with other blanks inside is one word wherever sets are compared."""
+    random.seed(4)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[:30], "  ".join(f"{i}p{random.random()}" for _ in range(40)), *words[30:]])) for i in range(6)]
+    assert tuples(jaccard_components(frame(spark, rows))) == brute(rows)
+    assert {c for _, _, c in brute(rows)} == {0}
+
+
+def test_batches_are_cut_by_rows_and_the_setting_comes_back(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    counted = lambda: [r.n for r in spark.range(3000).coalesce(1).mapInArrow(sizes, "n long").collect()]
+    with batches_of(spark, 256):
+        assert max(counted()) <= 256
+    assert spark.conf.get(name) == before and sum(counted()) == 3000 and max(counted()) > 256
