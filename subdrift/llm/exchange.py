@@ -79,7 +79,7 @@ def repeated_keys(
         keys = np.frombuffer(b"".join(packed), np.uint64)
         several = np.frombuffer(b"".join(table.column("several").to_pylist()), np.uint8)
         block = np.repeat(np.array(table.column("block").to_pylist(), np.int64), sizes)
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         starts = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
         counts = np.diff(starts, append=len(order))
         repeated = (counts > 1) | (np.maximum.reduceat(several[order], starts) > 0)
@@ -111,7 +111,7 @@ def answered_levels(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys of all answers to a block, and how many limits each exceeds."""
     keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64)
     levels = np.frombuffer(b"".join(table.column("hot").to_pylist()), np.uint8)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)  # a block is told of a key once
     return keys[order], levels[order]
 
 
@@ -127,8 +127,7 @@ def distinct_keys(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.
     """Sorted distinct keys and whether each has two or more different owners."""
     if not len(keys):
         return keys, np.zeros(0, bool)
-    order = np.lexsort((owners, keys))
+    order = np.argsort(keys)
     k, o = keys[order], owners[order]
     starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    last = np.append(starts[1:], len(k)) - 1
-    return k[starts], o[starts] != o[last]
+    return k[starts], np.minimum.reduceat(o, starts) != np.maximum.reduceat(o, starts)

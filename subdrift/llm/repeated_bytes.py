@@ -50,7 +50,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for i in range(8):
         key = key << np.uint64(8) | wide[i : i + n].astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)  # ties get one rank, so their order is free
     rank = np.empty(n, np.int64)
     new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
@@ -61,14 +61,14 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         if not len(tied):
             break
         group, follower = rank[tied], rank[(tied + length) % n]
-        by = np.argsort(group * n + follower, kind="stable")
+        by = np.argsort(group * n + follower)
         g, f = group[by], follower[by]
         at = np.arange(len(by))
         first = np.maximum.accumulate(np.where(np.concatenate([[True], g[1:] != g[:-1]]), at, 0))
         same = np.maximum.accumulate(np.where(np.concatenate([[True], (g[1:] != g[:-1]) | (f[1:] != f[:-1])]), at, 0))
         rank[tied[by]] = g + same - first
         length *= 2
-    return np.argsort(rank, kind="stable")
+    return np.argsort(rank * n + np.arange(n))
 
 
 def long_common(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
@@ -87,7 +87,7 @@ def long_common(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
         inside = np.repeat(low, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         of = np.repeat(np.arange(len(low)), sizes)
         longer = step[inside]
-        by = np.argsort(longer, kind="stable")
+        by = np.argsort(longer)
         longer, of = longer[by], of[by]
         # Neighbours with one interval and one byte form the interval of the longer string.
         parted = (longer[1:] != longer[:-1] + 1) | (of[1:] != of[:-1]) | (head[longer[1:]] != head[longer[:-1]])

@@ -4,11 +4,14 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from subdrift.llm.repeated_bytes import remove_repeated_bytes, repeated_starts
+from subdrift.llm.exchange import distinct_keys
+from subdrift.llm.repeated_bytes import Bytes, remove_repeated_bytes, repeated_starts
 from subdrift.llm.repeated_words import remove_repeated_words
 from subdrift.llm.suffix_automaton import SuffixAutomaton
+from subdrift.llm.windows import STRETCH
 from tests.llm.helpers import awkward, frame, tuples
 
 # Block size and number of blocks from which an anchor is hot.
@@ -103,3 +106,32 @@ def test_matching_statistics_of_random_sequences():
         known = {tuple(t[i:j]) for t in texts for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
         for i, _, length in automaton.statistics(asked, 0, len(asked)):
             assert length == max((n for n in range(i + 2) if n == 0 or tuple(asked[i + 1 - n : i + 1]) in known), default=0)
+
+
+def test_stretches_cover_every_window_once():
+    """Windows of one anchor form stretches that never cross documents, and equal windows have equal anchors and hashes."""
+    random.seed(7)
+    units, window = Bytes(9, 4), 9
+    for texts in ([bytes(random.choice(b"ab") for _ in range(random.randint(0, 40))) for _ in range(30)], [b"abab" * 3000], [b"x" * 9000, b"", b"y" * 9], [b"ab"]):
+        for step in units.steps(texts):
+            s = units.stretches(step)
+            raw, docs = step.raw, list(zip(step.starts[:-1].tolist(), step.starts[1:].tolist()))
+            want = [i for a, b in docs for i in range(a, b - window + 1)]
+            if s is None:
+                assert not want
+                continue
+            got = [(f + i, a) for f, c, a in zip(s.first.tolist(), s.count.tolist(), s.anchor.tolist()) for i in range(c)]
+            assert [i for i, _ in got] == want and (not want or s.count.max() <= STRETCH)
+            of = dict(zip(want, s.window_hash(np.array(want, np.int64)).tolist()))
+            windows = {i: raw[i : i + window] for i in want}
+            assert len(set(windows.values())) == len(set(of.values())) == len({(windows[i], of[i], a) for i, a in got})
+            pieces = [raw[f : f + c - 1 + window] for f, c in zip(s.first.tolist(), s.count.tolist())]
+            assert len(set(pieces)) == len(set(s.content.tolist())) == len(set(zip(pieces, s.content.tolist())))
+
+
+def test_keys_with_several_owners():
+    random.seed(9)
+    rows = [(random.randint(0, 40), random.randint(-2, 2)) for _ in range(120)]
+    keys, several = distinct_keys(np.array([k for k, _ in rows], np.uint64), np.array([o for _, o in rows], np.int64))
+    owners = {k: {o for q, o in rows if q == k} for k, _ in rows}
+    assert keys.tolist() == sorted(owners) and several.tolist() == [len(owners[k]) > 1 for k in sorted(owners)]
