@@ -31,6 +31,7 @@ _SUBSCRIPTION = [SERVER, CAPTURE_SCHEMA, "subname"]
 TABLE_KEYS = _TABLE = [SERVER, "source_owner", "source_name"]
 _QUEUE = [SERVER, CAPTURE_SCHEMA, "sendq"]
 _TARGET = ["target_owner", "target_name"]
+_INTENT = [*_TABLE, CAPTURE_SCHEMA, *_TARGET]
 _QUEUE_SALT = "_queue_salt"
 
 
@@ -178,15 +179,33 @@ def _kept(options: Options) -> list[str]:
     return [*_SUBSCRIPTION, *_TABLE[1:], "state", "target_server", SALT, *(_TARGET if options.generator else [])]
 
 
-def listing(snapshot: Snapshot, subs: Subscriptions) -> DataFrame:
-    """Every subscription with the set of the columns it lists."""
+def listing(snapshot: Snapshot, subs: Subscriptions, rows: DataFrame | None = None) -> DataFrame:
+    """Every subscription (``rows``, if they have got further columns) with the set of the columns it lists."""
     # A column without a name equals no other, so it is noted beside the set.
     listed = (
         snapshot.with_copies("src_cols")
         .groupBy(*_SUBSCRIPTION)
         .agg(F.collect_set("column_name").alias("_listed"), F.bool_or(F.col("column_name").isNull()).alias("_listed_nameless"))
     )
-    return subs.rows.join(listed, _SUBSCRIPTION, "left")
+    return (subs.rows if rows is None else rows).join(listed, _SUBSCRIPTION, "left")
+
+
+def subscribed(snapshot: Snapshot, subs: Subscriptions, options: Options, queues: bool, by_clause: bool) -> DataFrame:
+    """``listing`` with all that findings ask of a subscription: the map names of its queue
+    (``_maps``; null without a queue) and the clauses of its target (``_clauses``; null
+    without any). A subscription has very many findings, so it meets these before they are told."""
+    rows = subs.rows
+    if queues:
+        hot = hot_keys(snapshot.subs, _QUEUE, options.rows_per_salt)
+        maps = snapshot.sendqueues.groupBy(*_QUEUE).agg(F.collect_set(F.struct("pubqmapname")).alias("_maps"))
+        keys = [*_QUEUE, _QUEUE_SALT]
+        rows = add_salt(rows, hot, _QUEUE_SALT).join(copy_per_salt(maps, hot, _QUEUE_SALT), keys, "left").drop(_QUEUE_SALT)
+    if by_clause:
+        # No clause, a NULL and an empty one say the same.
+        compacted = F.coalesce(clauses.compact(F.col("targetcolclause")), F.lit(""))
+        held = snapshot.q_base.groupBy(*_INTENT).agg(F.collect_set(compacted).alias("_clauses"))
+        rows = rows.join(subs.partners(held), [*_INTENT, SALT], "left")
+    return listing(snapshot, subs, rows)
 
 
 def catalogue(snapshot: Snapshot, subs: Subscriptions, tables: bool = True) -> DataFrame:
@@ -251,25 +270,29 @@ def all_drift(
     met: DataFrame | None = None,
     observation: Observation | None = None,
 ) -> DataFrame:
-    """Any of the four checks from one meeting of subscriptions, listings and catalogue, before
-    texts. ``met`` is that meeting, if it is stored already; ``observation`` counts what it leaves
+    """Any of the four checks from one meeting of subscriptions (see ``subscribed``) and catalogue,
+    before texts: findings are told row by row then and cross no exchange. ``met`` is that meeting, if it is stored already; ``observation`` counts what it leaves
     out, see ``findings``."""
     subs = Subscriptions(snapshot, options) if subs is None else subs
+    queues, by_clause = "C-TNF" in wanted, "C-CNS" in wanted and options.generator
+    if by_clause:
+        _check_q_base(snapshot)
     if met is None:
-        met = listing(snapshot, subs).join(catalogue(snapshot, subs), [*_TABLE, SALT], "left")
-    drift = _differences(met, [*_kept(options), "sendq"], wanted)
+        met = subscribed(snapshot, subs, options, queues, by_clause).join(catalogue(snapshot, subs), [*_TABLE, SALT], "left")
+    kept = [*_SUBSCRIPTION, *_TABLE[1:], "state", "target_server", *["_maps"] * queues, *["_clauses"] * by_clause]
+    drift = _differences(met, kept, wanted)
     kinds = [_KINDS[list(ORDER).index(check)] for check in wanted]
-    if "C-TNF" in wanted:
+    if queues:
         gone = F.col("ordercol") == ORDER["C-TNF"]
-        queued = _with_queue(drift, snapshot, options, "left", only=gone)
+        queued = drift.select("*", F.explode_outer(F.when(gone, F.col("_maps"))).alias("_map"))
         if observation is not None:
-            unreported = F.count_if(gone & F.col("_queued").isNull()).alias("vanished_without_queue")
-            queued = queued.observe(observation, unreported, F.count_if(gone & F.col("_queued")).alias("vanished_with_queue"))
-        drift = queued.where(~gone | F.col("_queued"))
-    if "C-CNS" in wanted and options.generator:
-        unlisted = F.col("ordercol") == ORDER["C-CNS"]
-        drift = drift.withColumn("target_name", F.when(unlisted, F.col("target_name")))
-        drift = _with_clause(drift, subs, snapshot).where(~unlisted | _clause_reports())
+            unreported = F.count_if(gone & F.col("_map").isNull()).alias("vanished_without_queue")
+            queued = queued.observe(observation, unreported, F.count_if(gone & F.col("_map").isNotNull()).alias("vanished_with_queue"))
+        drift = queued.where(~gone | F.col("_map").isNotNull()).withColumn("pubqmapname", F.col("_map.pubqmapname"))
+    if by_clause:
+        unlisted, none = F.col("ordercol") == ORDER["C-CNS"], F.array(F.lit(""))
+        held = F.coalesce(F.when(unlisted, F.col("_clauses")), none)
+        drift = _with_mentions(drift.select("*", F.explode(held).alias("_clause"))).where(~unlisted | _clause_reports())
     kinds = [replace(kind, when=F.col("ordercol") == ORDER[kind.check], has_clause=kind.has_clause and options.generator) for kind in kinds]
     return _drift(drift, kinds, options)
 
@@ -342,15 +365,21 @@ def _with_queue(
 
 def _with_clause(unlisted: DataFrame, subs: Subscriptions, snapshot: Snapshot) -> DataFrame:
     """Adds the clause keyword and whether the clause includes or excludes the column."""
+    _check_q_base(snapshot)
+    compacted = snapshot.q_base.select(*_INTENT, clauses.compact(F.col("targetcolclause")).alias("_clause"))
+    return _with_mentions(unlisted.join(subs.partners(compacted), [*_INTENT, SALT], "left"))
+
+
+def _check_q_base(snapshot: Snapshot) -> None:
     if snapshot.q_base is None:
         raise ValueError("generator mode needs the q_base table")
-    intent = [*_TABLE, CAPTURE_SCHEMA, *_TARGET]
-    compacted = snapshot.q_base.select(
-        *intent, clauses.compact(F.col("targetcolclause")).alias("_clause")
-    ).withColumn("_keyword", clauses.keyword(F.col("_clause")))
+
+
+def _with_mentions(unlisted: DataFrame) -> DataFrame:
     clause, column = F.col("_clause"), F.col("column_name")
-    return unlisted.join(subs.partners(compacted), [*intent, SALT], "left").withColumns(
+    return unlisted.withColumns(
         {
+            "_keyword": clauses.keyword(clause),
             "_included": clauses.mention_flag(clauses.INCLUDE_MARK, clause, column),
             "_excluded": clauses.mention_flag(clauses.EXCLUDE_MARK, clause, column),
         }

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation
 
-from subdrift.operators.checks import TABLE_KEYS, Options, Subscriptions, all_drift, catalogue, listing
+from subdrift.operators.checks import TABLE_KEYS, Options, Subscriptions, all_drift, catalogue, subscribed
 from subdrift.operators.skew import SALT
 from subdrift.sources import Snapshot
 
@@ -16,8 +16,8 @@ _KEYS = [*TABLE_KEYS, SALT]
 
 @dataclass(frozen=True)
 class Prepared:
-    """A snapshot in the form the checks compare: subscriptions with their listings, and tables
-    with their columns, in equal buckets by table and salt. The salts of hot tables are counted
+    """A snapshot in the form the checks compare: subscriptions with their listings, queues and
+    clauses, and tables with their columns, in equal buckets by table and salt. The salts of hot tables are counted
     once, when it is stored."""
 
     snapshot: Snapshot
@@ -50,11 +50,12 @@ def prepare(snapshot: Snapshot, path: str, buckets: int | None = None, rows_per_
     for name, df in small.items():
         df.write.parquet(f"{path}/{name}")
     stored = {name: spark.read.parquet(f"{path}/{name}") for name in small}
-    subscribed = _bucketed(listing(snapshot, subs), f"{path}/subscribed", n)
+    asked = subscribed(snapshot, subs, Options(rows_per_salt=rows_per_salt), True, snapshot.q_base is not None)
+    stored_subs = _bucketed(asked, f"{path}/subscribed", n)
     tables = _bucketed(catalogue(snapshot, subs), f"{path}/catalogue", n)
     rest = {name: getattr(snapshot, name) for name in ("src_cols", "tables", "columns")}
     # What is counted of subscriptions later on (queues) is counted from the stored ones.
-    return Prepared(Snapshot(subs=subscribed.select(snapshot.subs.columns), **rest, **stored), subscribed, tables, hot)
+    return Prepared(Snapshot(subs=stored_subs.select(snapshot.subs.columns), **rest, **stored), stored_subs, tables, hot)
 
 
 def _bucketed(df: DataFrame, path: str, n: int) -> DataFrame:
