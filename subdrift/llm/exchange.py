@@ -4,7 +4,8 @@ Documents are dealt over blocks of bounded text by a hash. A block sends each of
 once, packed per bucket of the key space with all others of that bucket; a bucket sees a
 key at most once per block, however often it occurs, so a key that a third of all
 documents hold is no heavier than any other. Each bucket answers every block with
-those of its keys that occur elsewhere too.
+those of its keys that occur elsewhere too. Keys are sorted and travel as the gaps between
+them, whose high bytes are zeros (and the low ones, if the caller's keys have fewer bits).
 """
 
 from __future__ import annotations
@@ -41,6 +42,27 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def packed(keys: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """Numbers sorted between ``edges``, each part by itself: its first number and the gaps behind,
+    all lowest bytes, all second bytes, ...; runs of zeros, which the exchange compresses."""
+    gaps = np.diff(keys, prepend=keys[:1])
+    gaps[edges[:-1]] = keys[edges[:-1]]
+    planes = gaps.view(np.uint8).reshape(-1, 8)
+    return [planes[a:b].T.tobytes() for a, b in zip(edges[:-1], edges[1:])]
+
+
+def unpacked(parts: list[bytes]) -> np.ndarray:
+    """The numbers of packed parts, end to end."""
+    parts = [p for p in parts if p]
+    if not parts:
+        return np.zeros(0, np.uint64)
+    sizes = np.array([len(p) // 8 for p in parts])
+    planes = np.concatenate([np.frombuffer(p, np.uint8).reshape(8, -1) for p in parts], axis=1)
+    gaps = np.ascontiguousarray(planes.T).view(np.uint64).ravel()
+    sums, first = np.cumsum(gaps), np.cumsum(sizes) - sizes
+    return sums - np.repeat(sums[first] - gaps[first], sizes)
+
+
 def repeated_keys(
     blocks: DataFrame,
     n_buckets: int,
@@ -63,20 +85,20 @@ def repeated_keys(
         # Keys are spread numbers: their range cut evenly gives the buckets.
         bucket = np.minimum((keys >> np.uint64(32)).astype(np.int64) * n_buckets >> 32, n_buckets - 1)
         edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=n_buckets))
-        rows = [(bucket[a], keys[a:b], several[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+        rows = [(bucket[a], several[a:b]) for a, b in zip(edges[:-1], edges[1:])]
         return pa.table(
             {
                 "bucket": pa.array([r[0] for r in rows], pa.int32()),
                 "block": pa.array([block] * len(rows), pa.int32()),
-                "keys": pa.array([r[1].tobytes() for r in rows], pa.binary()),
-                "several": pa.array([r[2].astype(np.uint8).tobytes() for r in rows], pa.binary()),
+                "keys": pa.array(packed(keys, edges), pa.binary()),
+                "several": pa.array([r[1].astype(np.uint8).tobytes() for r in rows], pa.binary()),
             }
         )
 
     def answer(table: pa.Table) -> pa.Table:
-        packed = table.column("keys").to_pylist()
-        sizes = [len(p) // 8 for p in packed]
-        keys = np.frombuffer(b"".join(packed), np.uint64)
+        sent = table.column("keys").to_pylist()
+        sizes = [len(p) // 8 for p in sent]
+        keys = unpacked(sent)
         several = np.frombuffer(b"".join(table.column("several").to_pylist()), np.uint8)
         block = np.repeat(np.array(table.column("block").to_pylist(), np.int64), sizes)
         order = np.argsort(keys)
@@ -92,7 +114,7 @@ def repeated_keys(
         return pa.table(
             {
                 "block": pa.array([block[wanted[a]] for a, _ in parts], pa.int32()),
-                "keys": pa.array([keys[wanted[a:b]].tobytes() for a, b in parts], pa.binary()),
+                "keys": pa.array(packed(keys[wanted], edges), pa.binary()),
                 "hot": pa.array([hot[a:b].astype(np.uint8).tobytes() for a, b in parts], pa.binary()),
             }
         )
@@ -109,7 +131,7 @@ def answers(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def answered_levels(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys of all answers to a block, and how many limits each exceeds."""
-    keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64)
+    keys = unpacked(table.column("keys").to_pylist())
     levels = np.frombuffer(b"".join(table.column("hot").to_pylist()), np.uint8)
     order = np.argsort(keys)  # a block is told of a key once
     return keys[order], levels[order]

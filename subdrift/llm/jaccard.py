@@ -56,11 +56,13 @@ _PAIR_ROWS = 256
 @dataclass(frozen=True)
 class Threshold:
     """Sets link if ``percent`` of their union is shared; ``slots`` counters show how often lists
-    meet, for the cost of the boundary."""
+    meet, for the cost of the boundary. Blocks exchange the high ``told_bits`` of a key: keys that
+    are equal there are told as repeated and listed, which changes the cost, not the links."""
 
     percent: int = 75
     n: int = 5
     slots: int = 1 << 18
+    told_bits: int = 48
 
     def shared(self, n: int, m: int) -> int:
         """Elements two linked sets of these sizes share at least."""
@@ -74,6 +76,11 @@ class Threshold:
         """Sizes that a set of size n may link with."""
         return range(-(-self.percent * n // 100), 100 * n // self.percent + 1)
 
+    def told(self, keys: np.ndarray) -> np.ndarray:
+        """Keys as blocks exchange them."""
+        low = np.uint64(64 - self.told_bits)
+        return keys >> low << low
+
     def subsets(self, n: int, largest: int) -> int:
         return sum(comb(n, self.shared(n, m)) for m in self.partners(n) if m <= largest and self.shared(n, m) <= n)
 
@@ -177,11 +184,11 @@ def _keys(
     """The repeated keys of a set, sorted: subsets of a small one, the rarest elements of a large
     one; and the places of the elements by rarity (below 0: a subset)."""
     subsets = _subsets(found, small, threshold)
-    keys, places = [subsets[among(subsets, repeated)[0]]], []
+    keys, places = [subsets[among(threshold.told(subsets), repeated)[0]]], []
     places.append(np.full(len(keys[0]), -1, np.int32))
     n = len(found)
     if _is_listed(n, small, threshold):
-        there, at = among(found, repeated)
+        there, at = among(threshold.told(found), repeated)
         level = np.where(there, 1 + levels[at].astype(np.int64), 0) if len(repeated) else np.zeros(n, np.int64)
         order = np.lexsort((found, level))[: threshold.listed(n)]
         place = np.flatnonzero(there[order]).astype(np.int32)
@@ -214,7 +221,7 @@ def jaccard_components(
                 owners.append(np.full(len(keys[-1]), doc_id, np.int64))
                 keys.append(found if _is_listed(len(found), limit, threshold) else found[:0])
                 owners.append(np.full(len(keys[-1]), doc_id, np.int64))
-        return distinct_keys(np.concatenate(keys), np.concatenate(owners))
+        return distinct_keys(threshold.told(np.concatenate(keys)), np.concatenate(owners))
 
     def describe(docs: pa.Table, told: pa.Table) -> pa.Table:
         repeated, levels = answered_levels(told)
@@ -348,8 +355,7 @@ def linked(pairs: DataFrame, chosen: DataFrame, documents: DataFrame, threshold:
 
     # Texts of the documents that are left, whose ids are broadcast if they are few.
     ids = written(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct(), "ids")
-    few = 8 * ids.count() <= _BROADCAST_BYTES
-    texts = written(documents.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").distinct(), "texts")
+    texts = written(documents.select("doc_id", "text").join(_broadcast_if_few(ids), "doc_id", "left_semi").distinct(), "texts")
     second = likely.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = second.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
 
@@ -370,14 +376,22 @@ def linked(pairs: DataFrame, chosen: DataFrame, documents: DataFrame, threshold:
         return written(both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"), "links")
 
 
+def _broadcast_if_few(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if 8 * ids.count() <= _BROADCAST_BYTES else ids
+
+
 def one_of_each(documents: DataFrame, threshold: Threshold = Threshold()) -> DataFrame:
     """The rows of ``documents`` without those linked to a smaller id. Of rows of equal id the one
-    with the least digest of all its columns stays; rows without an id stay."""
+    with the least digest of all its columns stays; rows without an id stay.
+
+    Ids that go or come several times are broadcast if they are few, so that whole rows need no
+    exchange; else they are joined like any table."""
     found = written(jaccard_components(documents, threshold), "found")
-    stay = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
-    named = documents.where("doc_id is not null").join(stay, "doc_id", "left_semi")
-    several = written(stay.where("_rows > 1").select("doc_id"), "several")
-    single = named.join(several, "doc_id", "left_anti")
+    gone = _broadcast_if_few(written(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone"))
+    rows = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
+    several = _broadcast_if_few(written(rows.where("_rows > 1").select("doc_id"), "several"))
+    named = documents.where("doc_id is not null")
+    single = named.join(gone, "doc_id", "left_anti").join(several, "doc_id", "left_anti")
     digest = F.md5(F.to_json(F.struct(*[F.col(c) for c in documents.columns]), {"ignoreNullFields": "false"}))
     repeated = named.join(several, "doc_id", "left_semi").withColumn("_digest", digest)
     least = written(repeated.groupBy("doc_id").agg(F.min("_digest").alias("_digest")), "least")

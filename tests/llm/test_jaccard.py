@@ -6,6 +6,7 @@ import re
 import pyarrow as pa
 import pytest
 
+from subdrift.llm import jaccard
 from subdrift.llm.common import batches_of
 from subdrift.llm.components import components
 from subdrift.llm.jaccard import Threshold, jaccard_components, one_of_each
@@ -125,3 +126,29 @@ def test_batches_are_cut_by_rows_and_the_setting_comes_back(spark):
     with batches_of(spark, 256):
         assert max(counted()) <= 256
     assert spark.conf.get(name) == before and sum(counted()) == 3000 and max(counted()) > 256
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_whole_rows_stay_where_they_are_read(spark, monkeypatch, few):
+    """Also where Spark takes no table for small: if the ids that go are few, rows are joined where they are read."""
+    rows = near_copies(spark)
+    df = frame(spark, rows)
+    if not few:
+        monkeypatch.setattr(jaccard, "_BROADCAST_BYTES", 0)
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        kept = one_of_each(df)
+        got = sorted(r.doc_id for r in kept.where("doc_id is not null").collect())
+        plan = one_of_each(df)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+    assert got == sorted({d for d, _, c in brute(rows) if d is not None and d == c})
+    assert few == (not re.search(r"SortMergeJoin \[doc_id#\d+L\], \[doc_id#\d+L\]", plan))
+
+
+@pytest.mark.parametrize("told_bits", [4, 12, 64])
+def test_keys_that_are_told_alike(spark, told_bits):
+    rows = near_copies(spark)
+    assert tuples(jaccard_components(frame(spark, rows), Threshold(told_bits=told_bits), block_bytes=60_000)) == brute(rows)

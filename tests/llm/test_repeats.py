@@ -2,12 +2,13 @@
 
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from subdrift.llm.exchange import distinct_keys
+from subdrift.llm.exchange import distinct_keys, packed, unpacked
 from subdrift.llm.repeated_bytes import Bytes, remove_repeated_bytes, repeated_starts
 from subdrift.llm.repeated_words import remove_repeated_words
 from subdrift.llm.suffix_automaton import SuffixAutomaton
@@ -135,3 +136,17 @@ def test_keys_with_several_owners():
     keys, several = distinct_keys(np.array([k for k, _ in rows], np.uint64), np.array([o for _, o in rows], np.int64))
     owners = {k: {o for q, o in rows if q == k} for k, _ in rows}
     assert keys.tolist() == sorted(owners) and several.tolist() == [len(owners[k]) > 1 for k in sorted(owners)]
+
+
+@pytest.mark.parametrize("bits,most", [(64, 6.5), (48, 4.5)])
+def test_sorted_keys_travel_as_gaps(bits, most):
+    """As many keys as a block sends, in parts: they come back, and take less than their 8 bytes."""
+    keys = np.random.default_rng(bits).integers(0, 1 << bits, 300_000, np.uint64) << np.uint64(64 - bits)
+    keys = np.unique(np.concatenate([keys, np.array([0, (1 << 64) - 1], np.uint64)]))
+    edges = np.array([0, 1, 2, 1000, 150_000, len(keys)])
+    parts = packed(keys, edges)
+    assert [len(p) for p in parts] == [8 * n for n in np.diff(edges)]
+    assert (unpacked(parts) == keys).all() and (unpacked(parts[2:4]) == keys[2:150_000]).all()
+    assert len(zlib.compress(b"".join(parts), 1)) < most * len(keys)
+    assert unpacked([]).tolist() == unpacked([b""]).tolist() == []
+    assert packed(np.zeros(0, np.uint64), np.array([0])) == []
